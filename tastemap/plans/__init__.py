@@ -1,7 +1,7 @@
 """Queries over the given tables, grouped by area."""
 from importlib import import_module
 
-AREAS = ["timeline"]
+AREAS = ["timeline", "text", "gate"]
 
 
 def load_all() -> None:
