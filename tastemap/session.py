@@ -32,7 +32,20 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = use_utc(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Input of fewer splits than cores goes to all cores before costly text work.
+
+    A large input has many splits and passes unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

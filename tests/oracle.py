@@ -83,9 +83,9 @@ def main(argv):
                 else:
                     n, msg = queries[name](spark, sf).count(), ""
             except Exception as exc:  # a check tool reports and goes on
-                msg, n = f"{type(exc).__name__}: {str(exc)[:1500]}", 0
+                msg, n = f"{type(exc).__name__}: {str(exc)[:400]}", 0
             failed += bool(msg)
-            print(f"{'FAIL' if msg else 'ok  '} {name:40s} rows={n:<7d} {time.time() - t:5.1f}s {'' if name in oracles else '(no sql)'} {msg}", flush=True)
+            print(f"{'FAIL' if msg else 'ok  '} {name:40s} rows={n:<7d} {time.time() - t:5.1f}s {'' if name in oracles else '(no sql)'} {msg}".replace(chr(10), " "), flush=True)
     print("failed:", failed)
 
 
