@@ -188,9 +188,19 @@ def matched_labels(labels: pd.Series, forms: pd.Series, text: pd.Series) -> pd.S
     return pd.Series([hits(n, k, t) for n, k, t in zip(labels, forms, text)])
 
 
-@pandas_udf(T.BooleanType())
-def claim_text_hit(form: pd.Series, text: pd.Series) -> pd.Series:
-    return pd.Series([bool(f and t) and best_window_ratio(f, t, CLAIM_RATIO) >= CLAIM_RATIO for f, t in zip(form, text)])
+@pandas_udf(T.IntegerType())
+def claim_hits(texts: pd.Series, labels: pd.Series, body: pd.Series) -> pd.Series:
+    """Number of claims whose text, or any of whose linked labels, is (nearly) in the response."""
+
+    def near(form, text, cutoff):
+        return bool(form) and (form in text or best_window_ratio(form, text, cutoff) >= cutoff)
+
+    def hits(forms, linked, text):
+        if not text:
+            return 0
+        return sum(near(f, text, CLAIM_RATIO) or any(near(x, text, LABEL_RATIO) for x in ls) for f, ls in zip(forms, linked))
+
+    return pd.Series([hits(f, ls, t) for f, ls, t in zip(texts, labels, body)], dtype="int32")
 
 
 def clean_labels(labels: Column) -> Column:
@@ -272,12 +282,10 @@ def scored_turns(turns: DataFrame, responses: DataFrame) -> DataFrame:
     bad = F.filter("forbidden_labels", lambda x: recommended(x, F.col("response")))
     rows = rows.withColumn("forbidden_recommended", bad)
     rows = rows.withColumn("forbidden_negated", F.array_except("matched_forbidden", "forbidden_recommended"))
-    # Claims: one at present; a claim counts by its text or by any linked label.
-    claim = F.col("claims")[0]
-    linked = claim["labels"]
-    rows = rows.withColumn("_claim", claim_text_hit(response_form(claim["text"]), F.col("_body")))
-    rows = rows.withColumn("_linked", matched_labels(F.coalesce(linked, F.array().cast("array<string>")), F.coalesce(F.transform(linked, response_form), F.array().cast("array<string>")), "_body"))
-    claim_recall = F.when(F.size("claims") <= 0, 1.0).when(F.col("_claim") | (F.size("_linked") > 0), 1.0).otherwise(0.0)
+    forms = F.transform("claims", lambda c: response_form(c["text"]))
+    linked = F.transform("claims", lambda c: F.transform(F.coalesce(c["labels"], F.array().cast("array<string>")), response_form))
+    rows = rows.withColumn("_claims", claim_hits(forms, linked, "_body"))
+    claim_recall = F.when(F.size("claims") > 0, F.col("_claims") / F.size("claims")).otherwise(1.0)
 
     def rate(kind, default):
         return F.when(F.size(f"{kind}_labels") > 0, F.size(f"matched_{kind}") / F.size(f"{kind}_labels")).otherwise(default)
@@ -290,7 +298,7 @@ def scored_turns(turns: DataFrame, responses: DataFrame) -> DataFrame:
     total = weighted([F.col("_c"), F.col("_n"), F.col("_k"), F.col("_f")], DIALOGUE_WEIGHTS)
     return rows.select(
         "model", *keys, "scenario_type", word_count(F.col("response")).alias("word_count"), length_ok(F.col("response")).alias("length_ok"), format_ok(F.col("response")).alias("format_ok"),
-        claim_recall.alias("claim_recall"), round4(F.when(F.size(pool) > 0, F.size(hit) / F.size(pool)).otherwise(1.0)).alias("interest_hit_rate"),
+        round4(claim_recall).alias("claim_recall"), round4(F.when(F.size(pool) > 0, F.size(hit) / F.size(pool)).otherwise(1.0)).alias("interest_hit_rate"),
         round4(F.col("_r")).alias("required_hit_rate"), round4(F.col("_a")).alias("anchor_hit_rate"), round4(F.col("_o")).alias("optional_hit_rate"),
         round4(F.col("_c")).alias("interest_coverage"), F.col("_n").alias("negative_avoidance"), F.col("_k").alias("concreteness"), F.col("_f").alias("fluency"),
         round4(F.col("_c") / 5.0).alias("strategy_score"), "matched_required", "matched_anchor", "matched_optional", "forbidden_recommended", "forbidden_negated", round4(total).alias("turn_score"),
