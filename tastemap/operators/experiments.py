@@ -53,9 +53,9 @@ def wrong_profiles(profiles: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.when(has, F.col("domain")))), ",").alias("line"), F.sum(F.size("stable") + F.size("recent")).alias("profile_size")
     )
     sizes = users.groupBy("line").agg(F.count("*").alias("n"))
-    one = sizes.agg(F.sum((F.col("n") == 1).cast("int")).alias("alone"), F.min(F.when(F.col("n") > 1, F.col("line"))).alias("home"))
-    placed = users.join(sizes, "line").crossJoin(F.broadcast(one))  # one row
-    lone = F.when((F.col("alone") == 1) & F.col("home").isNotNull(), F.col("home")).otherwise("(alone)")
+    one = sizes.agg(F.sum((F.col("n") == 1).cast("int")).alias("alone"), F.min(F.when(F.col("n") > 1, F.col("line"))).alias("home")).first()
+    lone = F.lit(one["home"] if one["alone"] == 1 and one["home"] is not None else "(alone)")
+    placed = users.join(sizes, "line")
     placed = placed.withColumn("line", F.when(F.col("n") == 1, lone).otherwise(F.col("line"))).select("user_id", "line", "profile_size")
     spread = F.pmod(F.xxhash64("user_id"), F.lit(1 << 20))
     keyed = placed.withColumn("_h", spread)

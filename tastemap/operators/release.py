@@ -185,8 +185,9 @@ def release_counts(posts: DataFrame, interests: DataFrame, captions: DataFrame,
     )
     labels = interests.agg(F.count("*").alias("interest_entries"), F.coalesce(F.sum((F.col("label") != F.col("public_label")).cast("long")), F.lit(0)).alias("changed_labels"))
     images = captions.agg(F.count("*").alias("captions"), F.countDistinct("public_user_id", "image_id").alias("images"))
-    one_row = [rows, labels, images, n(repaired, "repaired_evidence_indices")]
-    return functools.reduce(lambda a, b: a.crossJoin(F.broadcast(b)), one_row)  # single rows
+    # Each part is one row with its own counters; together they fold into one.
+    parts = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows, labels, images, n(repaired, "repaired_evidence_indices")])
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 # ------------------------------------------------------------------ topic derivative

@@ -1,7 +1,7 @@
 """Queries over the given tables, grouped by area."""
 from importlib import import_module
 
-AREAS = ["timeline", "text", "gate", "similarity", "evaluation", "privacy", "dialogue", "experiments", "profiles"]
+AREAS = ["timeline", "text", "gate", "similarity", "evaluation", "privacy", "dialogue", "experiments", "profiles", "requests"]
 
 
 def load_all() -> None:
