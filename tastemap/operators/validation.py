@@ -285,11 +285,12 @@ def evidence_sources(evidence: DataFrame, sources: DataFrame, posts: DataFrame,
     return rows.join(posts.select("user_id", "post_id", "post_index"), ["user_id", "post_id"], "left").select(*keys, "evidence_modality", "post_id", "post_index").distinct()
 
 
-def domain_evidence_ids(status: DataFrame, exported: DataFrame, item_evidence: DataFrame, representatives: DataFrame, k: int = 4) -> DataFrame:
-    """First ``k`` evidence posts of a domain: of its interests when active, of its weak ones when not, else its representatives."""
+def domain_evidence_ids(status: DataFrame, items: DataFrame, item_evidence: DataFrame, representatives: DataFrame, n_items: int = 3, k: int = 4) -> DataFrame:
+    """First ``k`` evidence posts of a domain: of its exported interests when active, of all its weak ones when not, else its representatives."""
     rank = F.when(F.col("bucket") == "stable", 0).when(F.col("bucket") == "short", 1).otherwise(2)
-    wanted = ((F.col("status") == "active") & F.col("bucket").isin("stable", "short")) | ((F.col("status") != "active") & (F.col("bucket") == "weak"))
-    own = exported.filter(wanted).select(*SCOPE, "bucket", "merge_key", "position").join(item_evidence, [*SCOPE, "bucket", "merge_key"])
+    live = (F.col("status") == "active") & F.col("bucket").isin("stable", "short") & (F.col("position") < n_items)
+    own = items.join(status, SCOPE).filter(live | ((F.col("status") != "active") & (F.col("bucket") == "weak")))
+    own = own.select(*SCOPE, "bucket", "merge_key", "position").join(item_evidence, [*SCOPE, "bucket", "merge_key"])
     own = own.groupBy(*SCOPE, "post_id").agg(F.min(F.struct(rank.alias("r"), "position", "at")).alias("at"))
     first = top_rows(own, SCOPE, ["at"], k, "nth").select(*SCOPE, "nth", "post_id")
     rest = status.join(own.select(*SCOPE).distinct(), SCOPE, "left_anti").select(*SCOPE).join(representatives, SCOPE)

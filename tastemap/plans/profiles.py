@@ -263,14 +263,14 @@ def export_evidence_sources(spark, sf):
 
 
 @query("export_domain_evidence", f"""WITH {EXPORT}, o AS (SELECT d1.user_id, d1.domain, nb AS bucket, lower(trim(label)) AS merge_key, iev.post_id, min((moved::INT, d1.item)) AS w FROM d1 JOIN iev ON iev.user_id = d1.user_id AND iev.domain = d1.domain AND iev.bucket = d1.bucket AND iev.item = d1.item WHERE nb IS NOT NULL GROUP BY ALL
-), wl AS (SELECT o.user_id, o.domain, o.post_id, min((CASE ex.bucket WHEN 'stable' THEN 0 WHEN 'short' THEN 1 ELSE 2 END, ex.position, o.w, o.post_id)) AS w FROM o JOIN ex USING (user_id, domain, bucket, merge_key) WHERE (ex.status = 'active') = (ex.bucket <> 'weak') GROUP BY ALL
+), wl AS (SELECT o.user_id, o.domain, o.post_id, min((CASE ex.bucket WHEN 'stable' THEN 0 WHEN 'short' THEN 1 ELSE 2 END, ex.position, o.w, o.post_id)) AS w FROM o JOIN (SELECT mp.*, stt.status FROM mp JOIN stt USING (user_id, domain)) ex USING (user_id, domain, bucket, merge_key) WHERE (ex.status = 'active' AND ex.bucket <> 'weak' AND ex.position < 3) OR (ex.status <> 'active' AND ex.bucket = 'weak') GROUP BY ALL
 ), fs AS (SELECT user_id, domain, CAST(row_number() OVER (PARTITION BY user_id, domain ORDER BY w) AS INTEGER) AS nth, post_id FROM wl QUALIFY nth <= 4
-), rs AS (SELECT r.user_id, r.domain, CAST(row_number() OVER (PARTITION BY r.user_id, r.domain ORDER BY pick_order) AS INTEGER) AS nth, r.post_id FROM rep r SEMI JOIN stt USING (user_id, domain) ANTI JOIN wl USING (user_id, domain) QUALIFY nth <= 4)
+), rs AS (SELECT r.user_id, r.domain, CAST(row_number() OVER (PARTITION BY r.user_id, r.domain ORDER BY pick_order) AS INTEGER) AS nth, r.post_id FROM rep r SEMI JOIN stt USING (user_id, domain) ANTI JOIN wl USING (user_id, domain) QUALIFY row_number() OVER (PARTITION BY r.user_id, r.domain ORDER BY pick_order) <= 4)
 SELECT * FROM fs UNION ALL SELECT * FROM rs""")
 def export_domain_evidence(spark, sf):
     p, items, ev = _merged(spark, sf)
     status = validation.export_status(items, p["domains"])
-    return validation.domain_evidence_ids(status, validation.export_interests(items, status), ev, p["reps"])
+    return validation.domain_evidence_ids(status, items, ev, p["reps"])
 
 
 @query("rewrite_examples", f"""WITH {EXPORT}, xs AS (SELECT DISTINCT user_id, domain, post_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, domain, tag ORDER BY post_id) AS n FROM (SELECT DISTINCT user_id, domain, tag, post_id FROM rec)) WHERE n <= 3
