@@ -6,7 +6,6 @@ labels one row each, predictions one row per (model, task).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, distinct_ints, f1, match_label, nonblank, ratio

@@ -242,12 +242,17 @@ def summary_texts(domains: DataFrame, items: DataFrame) -> DataFrame:
 
 def domain_evidence_rows(items: DataFrame, item_evidence: DataFrame, evidence: DataFrame, representatives: DataFrame) -> DataFrame:
     """All evidence of a domain in order: interests (stable, short, weak), clusters, representative posts."""
-    bucket = F.when(F.col("bucket") == "stable", 0).when(F.col("bucket") == "short", 1).otherwise(2)
+    level = F.when(F.col("bucket") == "stable", 0).when(F.col("bucket") == "short", 1).otherwise(2)
     own = item_evidence.join(items.select(*SCOPE, "bucket", "merge_key", "position"), [*SCOPE, "bucket", "merge_key"])
-    at = F.row_number().over(W.partitionBy(*SCOPE, "bucket", "merge_key").orderBy("at"))  # posts of one interest
-    own = own.select(*SCOPE, "post_id", F.struct(bucket.alias("a"), F.col("position").alias("b"), F.lit("").alias("c"), at.alias("d")).alias("place"))
-    tags = evidence.select(*SCOPE, "post_id", F.struct(F.lit(3).alias("a"), F.lit(0).alias("b"), F.col("canonical_tag").alias("c"), F.lit(0).alias("d")).alias("place"))
-    reps = representatives.select(*SCOPE, "post_id", F.struct(F.lit(4).alias("a"), F.lit(0).alias("b"), F.lit("").alias("c"), F.col("pick_order").cast("int").alias("d")).alias("place"))
+    inside = own.schema["at"].dataType
+
+    def place(level, position, tag, at):
+        return F.struct(level.alias("a"), position.cast("int").alias("b"), tag.alias("c"), at.alias("d")).alias("place")
+
+    nowhere = F.lit(None).cast(inside)
+    own = own.select(*SCOPE, "post_id", place(level, F.col("position"), F.lit(""), F.col("at")))
+    tags = evidence.select(*SCOPE, "post_id", place(F.lit(3), F.lit(0), F.col("canonical_tag"), nowhere))
+    reps = representatives.select(*SCOPE, "post_id", place(F.lit(4), F.col("pick_order"), F.lit(""), nowhere))
     return own.unionByName(tags).unionByName(reps).groupBy(*SCOPE, "post_id").agg(F.min(F.struct("place", "post_id")).alias("place"))
 
 

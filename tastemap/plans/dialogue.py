@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import round4
 from ..operators import dialogue as dg
 from ..operators.evaluation import error_class
 from ..schemas import DOMAINS

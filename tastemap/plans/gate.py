@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import round6, tag_form
+from ..functions.text import round6
 from ..operators import gate
-from .adapters import CUES, POST, REC, RAW_TAGS, TAG_FORMS, events, posts, records, sql_list
+from .adapters import CUES, POST, REC, RAW_TAGS, TAG_FORMS, events, posts, sql_list
 from .registry import query
 
 

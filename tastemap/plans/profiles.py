@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import round6, tag_form
 from ..operators import packs, scoring, tags, timeline, validation
 from ..session import cut_lineage
-from .adapters import REC, TAG_FORMS, pick, records, sql_list
+from .adapters import REC, pick, records
 from .registry import query
 from .timeline import DOMAIN_AGG, FLAGS, INTEREST_AGG, REPRESENTATIVES, TAGGED, tagged_records
 

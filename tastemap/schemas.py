@@ -1,8 +1,6 @@
 """Canonical table schemas and fixed enumerations."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Names and order of the seven interest domains and their definitions.
@@ -187,8 +185,3 @@ CAPTION_FILE = T.StructType(
     ]
 )
 
-
-def domain_dimension(spark: SparkSession, domains: list[str] | None = None) -> DataFrame:
-    """The fixed domain table (seven rows), safe to broadcast."""
-    rows = [(i, d, DOMAIN_DEFINITIONS.get(d, "")) for i, d in enumerate(domains or DOMAINS)]
-    return F.broadcast(spark.createDataFrame(rows, "ord int, domain string, domain_definition string"))

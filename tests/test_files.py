@@ -4,7 +4,6 @@ import json
 
 import pytest
 
-from tastemap.operators.packs import summary_requests  # noqa: F401  (import check)
 from tastemap.plans.adapters import CUES
 from tastemap.sources import readers
 from tastemap.streaming import incremental
