@@ -21,7 +21,7 @@ URL = r"(?i)https?://\S+"
 
 
 @pandas_udf(T.StringType())
-def strip_accents(text: pd.Series) -> pd.Series:
+def _decomposed(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without the combining marks."""
 
     def fold(value):
@@ -33,7 +33,7 @@ def strip_accents(text: pd.Series) -> pd.Series:
 
 
 @pandas_udf(T.StringType())
-def compatibility_form(text: pd.Series) -> pd.Series:
+def _composed(text: pd.Series) -> pd.Series:
     """NFKC form without invisible format characters."""
 
     def fold(value):
@@ -44,6 +44,19 @@ def compatibility_form(text: pd.Series) -> pd.Series:
     return text.map(fold, na_action="ignore")
 
 
+def _where_needed(function, text: Column) -> Column:
+    """Only texts beyond ASCII travel to Python; the others are their own normal form."""
+    return F.coalesce(function(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def strip_accents(text: Column) -> Column:
+    return _where_needed(_decomposed, text)
+
+
+def compatibility_form(text: Column) -> Column:
+    return _where_needed(_composed, text)
+
+
 def blank(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
