@@ -211,6 +211,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, pattern: str, size: in
                 begin, total = k + 1, 0
 
 
+def _id_lists(ids: list[bytes]) -> pa.Array:
+    offsets = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id and ids (array<int>) of every row, as the rank file and the splitting pattern give them.
 
@@ -222,9 +227,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text:
 
     def run(batches):
         for part, ids, _ in _blocks(batches, path, pattern, block_bytes):
-            offsets = np.cumsum([0] + [len(x) // 4 for x in ids], dtype=np.int32)
-            flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _id_lists(ids)], ["doc_id", "ids"])
 
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
@@ -242,18 +245,18 @@ def decoded(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, content binary")
 
 
-def token_digests(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def token_digests(docs: DataFrame, path: str, pattern: str, doc: str = "doc_id", text: str = "text", block_bytes: int = 4 << 20, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers) and decoded_sha256.
 
-    The same replay as ``encode``; ids are decoded back and both are digested inside the task, so that no id
-    list leaves it.
+    The same replay as ``encode``; ids are decoded back and both are digested inside the task, and no id list
+    leaves it unless asked for ``with_ids``.
     """
 
     def run(batches):
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for part, ids, merges in _blocks(batches, path, pattern, block_bytes):
             columns = [part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids)), pa.array([sha(decode(merges, x)) for x in ids])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(columns + [_id_lists(ids)] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,3 +86,25 @@ def by_slices(function: Callable[[list[bytes]], list[pa.Array]], names: list[str
                     begin, total = k + 1, 0
 
     return run
+
+
+#: Bits of a hash filter: 4 MiB, whatever the corpus.
+FILTER_BITS = 25
+
+
+def hash_filter(values: DataFrame, column: str):
+    """A broadcast bitmap of fixed size that every hash in ``column`` passes, and of the others the fewer the fewer there are.
+
+    It keeps rows that cannot matter out of a shuffle; results never depend on it.
+    """
+    slot = F.expr(f"shiftrightunsigned({column}, {64 - FILTER_BITS})")
+    words = values.select(slot.alias("s")).groupBy(F.expr("cast(s div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("b"))
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    made = words.toPandas()  # at most 2**(FILTER_BITS - 6) words
+    bits[made["w"].to_numpy(int)] = made["b"].to_numpy(np.int64).view(np.uint64)
+    return values.sparkSession.sparkContext.broadcast(bits)
+
+
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0

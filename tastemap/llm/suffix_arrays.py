@@ -120,6 +120,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     at = np.flatnonzero(fresh)
     a, b = at, before[at]
     size = np.zeros(len(at), np.int64)
+    enough = limit + np.diff(np.append(at, n))  # the positions up to the next fresh one count down from here
     live = np.flatnonzero(b >= 0)
     padded = np.r_[data, np.zeros(8, np.uint8)]
     words = np.lib.stride_tricks.sliding_window_view(padded, 8)
@@ -132,7 +133,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
         differ = words[i] != words[j]
         step = np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
         size[live] += np.minimum(step, n - np.maximum(i, j))
-        live = live[(step == 8) & (size[live] < limit)]
+        live = live[(step == 8) & (size[live] < enough[live])]
     run = np.cumsum(fresh) - 1
     text_order = np.maximum(size[run] - (here - at[run]), 0)
     return np.minimum(text_order[order], limit)

@@ -9,8 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import as_bytes, by_slices
+from .common import by_slices, fresh
 from .samples import fold, labelled
 
 #: Bits of the hashed feature space: a weight table has at most 2**20 entries.
@@ -118,13 +119,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, r
     return Model(float(bias.iloc[0]) if len(bias) else 0.0, rest.id.to_numpy(), rest.value.to_numpy())
 
 
-def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``doc_id`` (or the columns ``keep``) and ``toxicity`` (0 to 1) of every row.
+def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
+    """The columns ``keep`` (``doc_id`` if none are named) and the score ``name`` (0 to 1) of every row.
 
     The whole text counts. Null and empty texts get the score of the bias alone. The weights travel as a
     broadcast of at most 2**20 entries.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.ids, model.values))
+    columns = keep or [doc]
+    inner = fresh(docs, "scored_text")
 
     def run(batches):
         bias, ids, values = shared.value
@@ -136,13 +139,11 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
             total = bias + np.bincount(found >> BITS, weights[found & _IDS], len(texts))
             return [pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35.0, 35.0))))]
 
-        yield from by_slices(one, ["toxicity"], "text" if keep is None else text, keep or ["doc_id"])(batches)
+        yield from by_slices(one, [name], inner, columns)(batches)
 
-    if keep is not None:
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in keep]).schema)
-        return docs.mapInArrow(run, f"{fields}, toxicity double")
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, toxicity double")
+    rows = docs.select(*[docs[f"`{c}`"] for c in columns], docs[f"`{text}`"].cast("string").alias(inner))
+    schema = StructType([*rows.schema.fields[:-1], StructField(name, DoubleType())])
+    return rows.mapInArrow(run, schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7) -> DataFrame:
