@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, slices
 
 #: Words whose ids a task remembers, and the longest word it remembers; others are replayed again.
 REMEMBERED, LONGEST = 300_000, 64
@@ -202,13 +202,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, pattern: str, size: in
     merges = _loaded(path)
     encoder = Encoder(merges, pattern)
     for batch in batches:
-        texts = as_bytes(batch.column("text"))
-        begin = total = 0
-        for k, text in enumerate(texts):
-            total += len(text)
-            if total >= size or k == len(texts) - 1:
-                yield batch.slice(begin, k + 1 - begin), encoder.encode([t.decode() for t in texts[begin : k + 1]]), merges
-                begin, total = k + 1, 0
+        for part in slices(batch, "text", size):
+            yield part, encoder.encode([t.decode() for t in as_bytes(part.column("text"))]), merges
 
 
 def _id_lists(ids: list[bytes]) -> pa.Array:

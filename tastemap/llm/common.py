@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,20 +71,22 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``size`` bytes of text."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    piece = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]]) if len(piece) else np.zeros(0, int)
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(piece)]):
+        yield batch.slice(a, b - a)
+
+
 def by_slices(function: Callable[[list[bytes]], list[pa.Array]], names: list[str], text: str, keep: list[str], size: int = 1 << 20):
     """A function for ``mapInArrow`` that adds the columns ``function`` makes of the texts, some ``size`` bytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(text))
-            begin = total = 0
-            for k, one in enumerate(texts):
-                total += len(one)
-                if total >= size or k == len(texts) - 1:
-                    part = batch.slice(begin, k + 1 - begin)
-                    made = function(texts[begin : k + 1])
-                    yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, keep + names)
-                    begin, total = k + 1, 0
+            for part in slices(batch, text, size):
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + function(as_bytes(part.column(text))), keep + names)
 
     return run
 

@@ -10,15 +10,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_slices, hash_filter, passes, written
+from .common import as_bytes, by_slices, hash_filter, passes, slices, written
 from .components import connected_components
 
-#: Shingles that count as frequent: seen this often in one batch; the most frequent of all batches are broadcast.
-BATCH_FREQUENT, FREQUENT = 8, 100_000
+#: Shingles that count as frequent: seen this often in so many bytes of text; the most frequent are broadcast.
+BATCH_BYTES, BATCH_FREQUENT, FREQUENT = 8 << 20, 4, 100_000
 #: Documents and shingles (one document counts 200 more) of a region that one task joins in memory.
 REGION_ROWS, REGION_WEIGHT = 500, 1 << 20
 #: Times a larger region is cut by a new pivot before its blocks are joined one by one.
 LEVELS = 3
+#: Counters of a set's outline; the sum of their differences is at most the symmetric difference of two sets.
+OUTLINE = 64
 #: Pivots of one step inside a task, and documents that are compared directly.
 PIVOTS, LEAF = 6, 24
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -62,6 +64,48 @@ def _digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def outline(shingles: np.ndarray) -> bytes:
+    """Shingles by hash bucket, up to 65535 each."""
+    counts = np.bincount((shingles.view(np.uint64) >> np.uint64(20)).astype(np.int64) % OUTLINE, minlength=OUTLINE)
+    return np.minimum(counts, 65535).astype("<u2").tobytes()
+
+
+def _with_possible_partner(sizes: np.ndarray, outlines: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a region may link with another, by sizes and outlines: sets that link differ by little."""
+    able = np.zeros(len(sizes), bool)
+    for i in range(len(sizes) - 1):
+        n, m = sizes[i], sizes[i + 1 :]
+        apart = n + m - 2 * -(-percent * (n + m) // (100 + percent))  # most elements that may be in one of the two only
+        close = np.flatnonzero(apart >= abs(m - n))
+        if len(close):
+            close = close[np.abs(outlines[i] - outlines[i + 1 :][close]).sum(1) <= apart[close]]
+            able[i] |= len(close) > 0
+            able[i + 1 + close] = True
+    return able
+
+
+def _possible_members(batches: Iterator[pa.RecordBatch], percent: int):
+    """Members of whole regions, which come one after another, that may have a partner there."""
+    region, ids, sizes, outlines = None, [], [], []
+
+    def release():
+        able = _with_possible_partner(np.array(sizes, np.int64), np.array(outlines, np.int32), percent)
+        some = [u for u, ok in zip(ids, able.tolist()) if ok]
+        return pa.RecordBatch.from_arrays([pa.array([region] * len(some), pa.string()), pa.array(some, pa.int64())], ["region", "uid"])
+
+    for batch in batches:
+        for name, uid, n, shape in zip(*(batch.column(c).to_pylist() for c in ("region", "uid", "n", "outline"))):
+            if name != region:
+                if len(ids) > 1:
+                    yield release()
+                region, ids, sizes, outlines = name, [], [], []
+            ids.append(uid)
+            sizes.append(n)
+            outlines.append(np.frombuffer(shape, "<u2"))
+    if len(ids) > 1:
+        yield release()
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles in order of frequency, then hash: two sets that link share one of them."""
     n = len(shingles)
@@ -265,8 +309,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
 
     Equal sets are one point of the metric space, whatever their copies. Linked sets share one of their rarest
     shingles; the points that share one gather round the least of them, their pivot, which makes the first
-    regions (a point without such a neighbour is linked with nothing). Each region is joined exactly: pivots
-    part it into Voronoi cells, points within twice the reach of a border are in both, and cells are joined
+    regions (a point without such a neighbour is linked with nothing). Members whose size and outline (shingles
+    counted by hash bucket) rule out a partner in a region leave it. Each region is joined exactly: pivots part it into Voronoi cells, points within twice the reach of a border are in both, and cells are joined
     recursively; pivots and triangle inequality rule out most comparisons. Regions too large for one task are
     first cut into rings by distance to the pivot, as a distributed step. A region gives only the links its
     components need.
@@ -279,9 +323,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
 
     def frequent(batches):
         known = _WordHashes()
-        for batch in batches:
-            sets = shingle_sets(as_bytes(batch.column("text")), size, known)
-            found, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_counts=True)
+        for part in (part for batch in batches for part in slices(batch, "text", BATCH_BYTES)):
+            found, count = np.unique(np.concatenate(shingle_sets(as_bytes(part.column("text")), size, known)), return_counts=True)
             some = count >= BATCH_FREQUENT
             yield pa.RecordBatch.from_arrays([pa.array(found[some]), pa.array(count[some])], ["shingle", "n"])
 
@@ -298,13 +341,13 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
             keys = [prefix(s, common, counts, percent) if len(s) else s for s in sets]
             cuts = np.cumsum([0] + [len(k) for k in keys])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))]
+            return [pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary()), pa.array(map(outline, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))]
 
-        yield from by_slices(one, ["n", "digest", "keys"], "text", ["doc_id"])(batches)
+        yield from by_slices(one, ["n", "digest", "outline", "keys"], "text", ["doc_id"])(batches)
 
-    signed = written(base.mapInArrow(signatures, "doc_id long, n long, digest binary, keys array<long>"))
+    signed = written(base.mapInArrow(signatures, "doc_id long, n long, digest binary, outline binary, keys array<long>"))
     able = signed.filter("n > 0 and doc_id is not null")
-    points = able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    points = able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("outline").alias("outline"), F.first("keys").alias("keys"))
     points = written(points.withColumn("uid", F.monotonically_increasing_id()))
     keys = points.select("uid", F.explode("keys").alias("key"))
     pivots = written(keys.groupBy("key").agg(F.min("uid").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot"))
@@ -312,6 +355,14 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     members = written(members)
     regions = members.union(members.select("pivot", F.col("pivot").alias("uid")).distinct()).select(F.col("pivot").cast("string").alias("region"), "uid")
 
+    # Sets that link have outlines to match: most members of small regions go before any text moves.
+    sized = regions.groupBy("region").agg((F.count("*") <= rows).alias("small"))
+    sized = written(sized)
+    small = regions.join(sized.filter("small"), "region", "left_semi").join(points.select("uid", "n", "outline"), "uid")
+    small = small.repartition("region").sortWithinPartitions("region", "uid").select("region", "uid", "n", "outline")
+    small = small.mapInArrow(lambda b: _possible_members(b, percent), "region string, uid long")
+    regions = written(small.union(regions.join(sized.filter("not small"), "region", "left_semi")))
+
     wanted = points.select("uid", "rep", "digest").join(regions.select("uid").distinct(), "uid")
     wanted = written(wanted)
     bits = hash_filter(wanted.select(F.xxhash64("rep").alias("h")), "h")

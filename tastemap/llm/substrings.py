@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_filter, passes, row_key, written
+from .common import as_bytes, hash_filter, passes, row_key, slices, written
 from .suffix_arrays import common_prefixes, suffix_order, window_anchors
 
 #: Bytes of a gram that can anchor a window.
 GRAM = 32
 #: Bytes that the anchor search takes at once, and contexts of one group that still go to one shard.
-SLICE_BYTES, GROUP_CONTEXTS = 1 << 20, 500
+SLICE_BYTES, GROUP_CONTEXTS = 1 << 18, 500
 #: Bytes of contexts in one suffix array.
 SHARD_BYTES = 1 << 18
 #: Windows in a part of a context when a group with more contexts is split, level after level.
@@ -30,14 +30,9 @@ def _digest(data) -> bytes:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], bytes, np.ndarray]]:
     """Row keys, texts one after another, and where each text ends; about SLICE_BYTES at a time."""
     for batch in batches:
-        keys, texts = batch.column("k").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-        begin = total = 0
-        for i, text in enumerate(texts):
-            total += len(text or b"")
-            if total >= SLICE_BYTES or i == len(texts) - 1:
-                some = [t or b"" for t in texts[begin : i + 1]]
-                yield keys[begin : i + 1], b"".join(some), np.cumsum([len(t) for t in some])
-                begin, total = i + 1, 0
+        for part in slices(batch, "text", SLICE_BYTES):
+            texts = as_bytes(part.column("text"))
+            yield part.column("k").to_pylist(), b"".join(texts), np.cumsum([len(t) for t in texts])
 
 
 def _anchor_hashes(batches, window: int):
@@ -70,7 +65,8 @@ def _split_contexts(batches, window: int, part: int):
     names = [f.split()[0] for f in _CONTEXT.split(", ")]
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        for group, k, lo, at, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "k", "lo", "at", "data"))):
+        rows = zip(*(batch.column(c).to_pylist() for c in ("grp", "k", "lo", "at", "data")))
+        for group, k, lo, at, data in rows:
             last = len(data) - window
             for p in range((at - last) // part, at // part + 1):
                 # Starts of the windows of this part, as they would be in a longer context; here some may lack.
@@ -205,14 +201,14 @@ class Shard:
 def _cut_out(batches):
     """The bytes of the asked contexts of each text."""
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("asked",)), batch.column("k").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist())
-        out: list[list] = [[] for _ in range(6)]
-        for asked, k, text in rows:
-            for a in asked:
-                for column, value in zip(out, (a["grp"], k, a["lo"], a["at"], a["copies"], text[a["lo"] : a["lo"] + a["size"]])):
-                    column.append(value)
-        kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["grp", "k", "lo", "at", "copies", "data"])
+        for part in slices(batch, "text", SLICE_BYTES):
+            out: list[list] = [[] for _ in range(6)]
+            for asked, k, text in zip(part.column("asked").to_pylist(), part.column("k").to_pylist(), as_bytes(part.column("text"))):
+                for a in asked:
+                    for column, value in zip(out, (a["grp"], k, a["lo"], a["at"], a["copies"], text[a["lo"] : a["lo"] + a["size"]])):
+                        column.append(value)
+            kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["grp", "k", "lo", "at", "copies", "data"])
 
 
 def _with_key(bits_of, wanted: bool = True):
@@ -296,9 +292,10 @@ def without_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", wi
 
     def cut(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            spans = batch.column("spans").to_pylist() if "spans" in batch.schema.names else [None] * len(texts)
-            yield _result(batch.column("doc_id"), texts, [[(s["lo"], s["hi"]) for s in x or ()] for x in spans])
+            for part in slices(batch, "text", 4 * SLICE_BYTES):
+                texts = as_bytes(part.column("text"))
+                spans = part.column("spans").to_pylist() if "spans" in part.schema.names else [None] * len(texts)
+                yield _result(part.column("doc_id"), texts, [[(s["lo"], s["hi"]) for s in x or ()] for x in spans])
 
     def untouched(batches):
         return cut(_with_key(hit, wanted=False)(batches))
