@@ -17,10 +17,13 @@ from .components import connected_components
 BATCH_BYTES, BATCH_FREQUENT, FREQUENT = 8 << 20, 4, 100_000
 #: Documents and shingles (one document counts 200 more) of a region that one task joins in memory.
 REGION_ROWS, REGION_WEIGHT = 500, 1 << 20
+#: Documents of a region whose outlines one task compares.
+OUTLINE_ROWS = 4_000
 #: Times a larger region is cut by a new pivot before its blocks are joined one by one.
 LEVELS = 3
-#: Counters of a set's outline; the sum of their differences is at most the symmetric difference of two sets.
-OUTLINE = 64
+#: Counters of the outline of a set, and of a set of LONG shingles or more; the sum of the differences between two
+#: outlines is at most the symmetric difference of the sets.
+OUTLINE, LONG_OUTLINE, LONG = 64, 512, 1_000
 #: Pivots of one step inside a task, and documents that are compared directly.
 PIVOTS, LEAF = 6, 24
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -30,7 +33,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word, 7)
         value -= value >> 63 << 64
-        if len(self) < 500_000 and len(word) <= 64:
+        if len(self) < 200_000 and len(word) <= 64:
             self[word] = value
         return value
 
@@ -65,20 +68,24 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def outline(shingles: np.ndarray) -> bytes:
-    """Shingles by hash bucket, up to 65535 each."""
-    counts = np.bincount((shingles.view(np.uint64) >> np.uint64(20)).astype(np.int64) % OUTLINE, minlength=OUTLINE)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    """Shingles by hash bucket."""
+    size = LONG_OUTLINE if len(shingles) >= LONG else OUTLINE
+    counts = np.bincount((shingles.view(np.uint64) >> np.uint64(20)).astype(np.int64) % size, minlength=size)
+    return counts.astype("<u4").tobytes()
 
 
-def _with_possible_partner(sizes: np.ndarray, outlines: np.ndarray, percent: int) -> np.ndarray:
+def _with_possible_partner(sizes: np.ndarray, outlines: list[np.ndarray], percent: int) -> np.ndarray:
     """Which members of a region may link with another, by sizes and outlines: sets that link differ by little."""
     able = np.zeros(len(sizes), bool)
+    short = np.stack([o.reshape(-1, OUTLINE).sum(0) for o in outlines])  # bucket numbers modulo OUTLINE
     for i in range(len(sizes) - 1):
         n, m = sizes[i], sizes[i + 1 :]
         apart = n + m - 2 * -(-percent * (n + m) // (100 + percent))  # most elements that may be in one of the two only
         close = np.flatnonzero(apart >= abs(m - n))
         if len(close):
-            close = close[np.abs(outlines[i] - outlines[i + 1 :][close]).sum(1) <= apart[close]]
+            close = close[np.abs(short[i] - short[i + 1 :][close]).sum(1) <= apart[close]]
+            if n >= LONG:
+                close = np.array([c for c in close.tolist() if m[c] < LONG or np.abs(outlines[i] - outlines[i + 1 + c]).sum() <= apart[c]], np.int64)
             able[i] |= len(close) > 0
             able[i + 1 + close] = True
     return able
@@ -89,7 +96,7 @@ def _possible_members(batches: Iterator[pa.RecordBatch], percent: int):
     region, ids, sizes, outlines = None, [], [], []
 
     def release():
-        able = _with_possible_partner(np.array(sizes, np.int64), np.array(outlines, np.int32), percent)
+        able = _with_possible_partner(np.array(sizes, np.int64), outlines, percent)
         some = [u for u, ok in zip(ids, able.tolist()) if ok]
         return pa.RecordBatch.from_arrays([pa.array([region] * len(some), pa.string()), pa.array(some, pa.int64())], ["region", "uid"])
 
@@ -101,7 +108,7 @@ def _possible_members(batches: Iterator[pa.RecordBatch], percent: int):
                 region, ids, sizes, outlines = name, [], [], []
             ids.append(uid)
             sizes.append(n)
-            outlines.append(np.frombuffer(shape, "<u2"))
+            outlines.append(np.frombuffer(shape, "<u4").astype(np.int64))
     if len(ids) > 1:
         yield release()
 
@@ -301,6 +308,24 @@ def _region_links(regions: DataFrame, texts: DataFrame, weights: DataFrame, size
     return out
 
 
+def _outlined(regions: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The regions without the members that size and outline show to have no partner there, before any text moves.
+
+    Large regions are first cut by size into rings that hold all sizes which can link, each with the ring before.
+    """
+    def by_size(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        sized = written(df.groupBy("region").agg((F.count("*") <= OUTLINE_ROWS).alias("small")))
+        return df.join(sized.filter("small"), "region", "left_semi"), df.join(sized.filter("not small"), "region", "left_semi")
+
+    small, large = by_size(regions)
+    ring = F.floor(F.log("n") / (float(np.log(100 / percent)) + 1e-9)).cast("int")
+    rings = large.join(points.select("uid", "n"), "uid").select("region", "uid", F.explode(F.array(ring, ring + 1)).alias("ring"))
+    rings = written(rings.select(F.concat_ws("~", "region", F.col("ring").cast("string")).alias("region"), "uid"))
+    more, dense = by_size(rings)
+    small = small.union(more).join(points, "uid").repartition("region").sortWithinPartitions("region", "uid").select("region", "uid", "n", "outline")
+    return written(small.mapInArrow(lambda b: _possible_members(b, percent), "region string, uid long").union(dense))
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 90, size: int = 3, rows: int = REGION_ROWS, weight: int = REGION_WEIGHT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest id reachable by links, its own included.
 
@@ -355,13 +380,14 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     members = written(members)
     regions = members.union(members.select("pivot", F.col("pivot").alias("uid")).distinct()).select(F.col("pivot").cast("string").alias("region"), "uid")
 
-    # Sets that link have outlines to match: most members of small regions go before any text moves.
-    sized = regions.groupBy("region").agg((F.count("*") <= rows).alias("small"))
-    sized = written(sized)
-    small = regions.join(sized.filter("small"), "region", "left_semi").join(points.select("uid", "n", "outline"), "uid")
-    small = small.repartition("region").sortWithinPartitions("region", "uid").select("region", "uid", "n", "outline")
-    small = small.mapInArrow(lambda b: _possible_members(b, percent), "region string, uid long")
-    regions = written(small.union(regions.join(sized.filter("not small"), "region", "left_semi")))
+    regions = _outlined(regions, points.select("uid", "n", "outline"), percent)
+    # The largest region of a document is its main one. A region whose members all have one other main region lies
+    # inside that one, and adds nothing.
+    sized = written(regions.groupBy("region").agg(F.count("*").alias("size")))
+    main = regions.join(sized, "region").groupBy("uid").agg(F.max(F.struct("size", "region"))["region"].alias("main"))
+    mains = regions.join(main, "uid").groupBy("region").agg(F.min("main").alias("least"), F.max("main").alias("most"))
+    inside = written(mains.filter("least = most and least != region").select("region"))
+    regions = written(regions.join(inside, "region", "left_anti"))
 
     wanted = points.select("uid", "rep", "digest").join(regions.select("uid").distinct(), "uid")
     wanted = written(wanted)
