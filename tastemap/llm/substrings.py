@@ -20,7 +20,7 @@ SLICE_BYTES, GROUP_CONTEXTS = 1 << 18, 500
 SHARD_BYTES = 1 << 18
 #: Windows in a part of a context when a group with more contexts is split, level after level.
 PARTS = (32, 4, 1)
-_CONTEXT = "grp binary, ctx binary, k binary, lo int, size int, at int"
+_CONTEXT = "grp long, ctx binary, k binary, lo int, size int, at int"
 
 
 def _digest(data) -> bytes:
@@ -52,31 +52,49 @@ def _contexts(batches, window: int, filter_):
         text = np.searchsorted(ends, lo, "right")
         begins = np.r_[0, ends[:-1]] if len(ends) else ends
         ctx = [_digest(data[a : z + window]) for a, z in zip(lo.tolist(), hi.tolist())]
-        groups = [h.to_bytes(8, "big", signed=True) for h in hashes.tolist()]
         columns = [
-            pa.array(groups, pa.binary()), pa.array(ctx, pa.binary()), pa.array([keys[t] for t in text.tolist()], pa.binary()),
+            pa.array(hashes), pa.array(ctx, pa.binary()), pa.array([keys[t] for t in text.tolist()], pa.binary()),
             pa.array((lo - begins[text]).astype(np.int32)), pa.array((hi - lo + window).astype(np.int32)), pa.array((at - lo).astype(np.int32)),
         ]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def _split_contexts(batches, window: int, part: int):
-    """Parts of contexts: ``part`` windows at the same distance from the anchor, grouped by the bytes they all share."""
-    names = [f.split()[0] for f in _CONTEXT.split(", ")]
+def _parts(row: tuple, window: int, part: int) -> Iterator[tuple[int, int, int]]:
+    """Parts of a context, ``part`` windows at the same distance from the anchor: group, first and last start.
+
+    The group is a hash of the bytes that all windows of the part share, cut as in a longer context.
+    """
+    group, _, _, at, data = row
+    last = len(data) - window
+    for p in range((at - last) // part, at // part + 1):
+        highest, lowest = at - p * part, at - p * part - part + 1
+        shared = b"%d:%d:" % (group, p) + data[highest : lowest + window]
+        yield int.from_bytes(_digest(shared)[:8], "big", signed=True), max(lowest, 0), min(highest, last)
+
+
+_LARGE = ("grp", "k", "lo", "at", "data")
+
+
+def _part_groups(batches, window: int, part: int):
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in _LARGE))
+        yield pa.record_batch([pa.array([group for row in rows for group, _, _ in _parts(row, window, part)], pa.int64())], names=["h"])
+
+
+def _split_contexts(batches, window: int, part: int, filter_):
+    """The parts whose group may repeat, as contexts with their bytes."""
+    names = [f.split()[0] for f in _CONTEXT.split(", ")] + ["data"]
     for batch in batches:
         out: list[list] = [[] for _ in names]
-        rows = zip(*(batch.column(c).to_pylist() for c in ("grp", "k", "lo", "at", "data")))
-        for group, k, lo, at, data in rows:
-            last = len(data) - window
-            for p in range((at - last) // part, at // part + 1):
-                # Starts of the windows of this part, as they would be in a longer context; here some may lack.
-                highest, lowest = at - p * part, at - p * part - part + 1
-                a, z = max(lowest, 0), min(highest, last)
-                shared = group + b"%d:" % p + data[highest : lowest + window]
-                row = (_digest(shared), _digest(data[a : z + window]), k, lo + a, z - a + window, at - a)
-                for column, value in zip(out, row):
-                    column.append(value)
-        kinds = [pa.binary()] * 3 + [pa.int32()] * 3
+        for row in zip(*(batch.column(c).to_pylist() for c in _LARGE)):
+            _, k, lo, at, data = row
+            parts = list(_parts(row, window, part))
+            for (group, a, z), some in zip(parts, passes(filter_.value, np.array([g for g, _, _ in parts], np.int64))):
+                if some:
+                    bytes_ = data[a : z + window]
+                    for column, value in zip(out, (group, _digest(bytes_), k, lo + a, z - a + window, at - a, bytes_)):
+                        column.append(value)
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names)
 
 
@@ -207,7 +225,7 @@ def _cut_out(batches):
                 for a in asked:
                     for column, value in zip(out, (a["grp"], k, a["lo"], a["at"], a["copies"], text[a["lo"] : a["lo"] + a["size"]])):
                         column.append(value)
-            kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["grp", "k", "lo", "at", "copies", "data"])
 
 
@@ -253,13 +271,14 @@ def repeated_spans(rows: DataFrame, window: int = 400, group_contexts: int = GRO
         if not part:
             return marks
         widths = written(distinct.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"))
-        asked = distinct.join(widths, "grp").select("k", "n", F.struct("grp", "lo", "size", "at", "copies").alias("asked"))
-        asked = written(asked.groupBy("k").agg(F.collect_list("asked").alias("asked"), F.max("n").alias("most")))
-        if asked.isEmpty():
-            return marks
-        needed = hash_filter(asked.select(_key_head().alias("h")), "h")
-        texts = rows.mapInArrow(_with_key(needed), rows.schema)
-        cut = texts.join(asked, "k").mapInArrow(_cut_out, "grp binary, k binary, lo int, at int, copies long, data binary")
+        asked = distinct.join(widths.select("grp"), "grp").select("grp", "k", "lo", "size", "at", "copies")
+        if "data" in contexts.columns:
+            cut = asked.join(contexts.select("grp", "k", "lo", "data").distinct(), ["grp", "k", "lo"]).select("grp", "k", "lo", "at", "copies", "data")
+        else:
+            asked = written(asked.groupBy("k").agg(F.collect_list(F.struct("grp", "lo", "size", "at", "copies")).alias("asked")))
+            needed = hash_filter(asked.select(_key_head().alias("h")), "h")
+            texts = rows.mapInArrow(_with_key(needed), rows.schema)
+            cut = texts.join(asked, "k").mapInArrow(_cut_out, "grp long, k binary, lo int, at int, copies long, data binary")
         cut = written(cut)
         hot = widths.filter(F.col("n") > group_contexts).select("grp")
         any_hot = not hot.isEmpty()
@@ -271,7 +290,10 @@ def repeated_spans(rows: DataFrame, window: int = 400, group_contexts: int = GRO
         large = cut.join(hot, "grp", "left_semi")
         # A context with copies goes in as often as needed for its parts to count as repeated.
         large = large.withColumn("twice", F.explode(F.when(F.col("copies") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-        contexts = written(large.mapInArrow(lambda b, part=part: _split_contexts(b, window, part), _CONTEXT))
+        large = written(large.select(*_LARGE))
+        groups = large.mapInArrow(lambda b, part=part: _part_groups(b, window, part), "h long")
+        again = hash_filter(groups.groupBy("h").count().filter("count > 1"), "h")
+        contexts = written(large.mapInArrow(lambda b, part=part, again=again: _split_contexts(b, window, part, again), _CONTEXT + ", data binary"))
     return marks
 
 
