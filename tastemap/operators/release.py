@@ -20,7 +20,7 @@ from .timeline import phases, relative_days
 
 VERSION = "targeted-deidentified-v2"
 TOPIC_VERSION = "privacy-derived-v1"
-PUBLIC_USER = r"^participant_\d{3}$"
+PUBLIC_USER = r"^participant_\d{3,}$"
 PHASES, MIN_USERS, MAX_TOPICS = 4, 5, 5
 
 # The topic vocabulary of each domain, label and pattern.

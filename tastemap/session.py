@@ -58,5 +58,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
     return df.checkpoint(eager=True)
