@@ -59,26 +59,53 @@ def argument_errors(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return whole.union(wrong.filter("error is not null")).groupBy(*CALL).agg(F.array_sort(F.collect_set("error")).alias("errors"))
 
 
+#: More than any chain of calls has; lengths around a cycle stop growing there.
+FAR = 1 << 40
+
+
 def topological_steps(calls: DataFrame, needs: DataFrame) -> DataFrame:
     """conv_id, call_id and ``step``: 0 without needs, else one more than the largest step among the calls needed.
 
-    ``needs``: conv_id, call_id, needed. Needs of calls that do not exist are left out. Each round settles the
-    calls whose needs are all settled, so there are as many rounds as the longest chain has calls. Calls in or
-    behind a cycle get step null.
+    ``needs``: conv_id, call_id, needed. Needs of calls that do not exist are left out. Calls in or behind a
+    cycle get step null.
+
+    Each round settles the calls without open needs, and passes every need of a call that itself has a single
+    open need on to that one, with the lengths added up. A chain thus halves each round and a tree shrinks about
+    as fast; only calls with several open needs, each on another such call, take one round a step.
     """
     known = calls.select(*CALL).distinct()
-    links = needs.select("conv_id", "call_id", "needed").distinct().join(known, CALL, "left_semi")
-    links = written(links.join(known.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi"))
-    settled = written(known.join(links, CALL, "left_anti").withColumn("step", F.lit(0)))
-    done, step = settled, 0
-    while not links.isEmpty():
-        step += 1
-        rest = written(links.join(settled.select("conv_id", F.col("call_id").alias("needed")), ["conv_id", "needed"], "left_anti"))
-        settled = written(links.select(*CALL).distinct().join(rest, CALL, "left_anti").withColumn("step", F.lit(step)))
+    links = needs.select(*CALL, "needed").distinct().join(known.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"], "left_semi")
+    # A row is a bound of its call's step: ``least``, and ``gap`` above the step of the call needed.
+    bounds = known.join(links, CALL, "left").select(*CALL, "needed", F.when(F.col("needed").isNotNull(), F.lit(1)).cast("long").alias("gap"), F.lit(0).cast("long").alias("least"))
+    bounds, done = written(bounds), None
+    while True:
+        state = written(bounds.groupBy(*CALL).agg(F.max("least").alias("at_least"), F.min("needed").alias("via"), F.max("needed").alias("last"), F.max("gap").alias("via_gap")))
+        settled = state.filter("last is null").select(*CALL, F.col("at_least").cast("int").alias("step"))
         if settled.isEmpty():
             break
-        done, links = done.union(settled), rest
-    return known.join(done, CALL, "left")
+        done = settled if done is None else done.union(settled)
+        bounds = written(_next_bounds(bounds, state))
+    return known.join(done, CALL, "left") if done is not None else known.withColumn("step", F.lit(None).cast("int"))
+
+
+def _next_bounds(bounds: DataFrame, state: DataFrame) -> DataFrame:
+    """Bounds of the calls still open, after the needs of settled calls and of calls with a single need."""
+    ends = state.filter("last is null").select("conv_id", F.col("call_id").alias("via"), F.col("at_least").alias("end"))
+    single = F.col("via") == F.col("last")
+    behind = state.join(ends, ["conv_id", "via"], "left").select(
+        "conv_id", F.col("call_id").alias("needed"), "at_least", "via_gap",
+        F.when(F.col("last").isNull(), F.col("at_least")).when(single, F.greatest("at_least", F.col("end") + F.col("via_gap"))).alias("reached"),
+        F.when(F.col("last").isNull() | (single & F.col("end").isNotNull()), True).otherwise(False).alias("ends"),
+        F.when(single & (F.col("via") != F.col("call_id")), F.col("via")).alias("onward"))
+    near = lambda c: F.least(c, F.lit(FAR))
+    met = bounds.filter("needed is not null").join(behind, ["conv_id", "needed"])
+    passed = F.col("onward").isNotNull()
+    moved = met.select(
+        *CALL, F.when(F.col("ends"), None).when(passed, F.col("onward")).otherwise(F.col("needed")).alias("needed"),
+        F.when(F.col("ends"), None).when(passed, near(F.col("gap") + F.col("via_gap"))).otherwise(F.col("gap")).alias("gap"),
+        F.greatest("least", near(F.when(F.col("ends"), F.col("reached")).otherwise(F.col("at_least")) + F.col("gap"))).alias("least"))
+    kept = state.filter("last is not null").select(*CALL, F.lit(None).cast(bounds.schema["needed"].dataType).alias("needed"), F.lit(None).cast("long").alias("gap"), F.col("at_least").alias("least"))
+    return moved.unionByName(kept)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, needs: DataFrame | None = None) -> DataFrame:

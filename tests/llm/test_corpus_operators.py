@@ -1,5 +1,6 @@
 """The corpus operators against brute force, libraries and SQL, with nulls, empty tables, ties and odd columns."""
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -324,3 +325,29 @@ def test_linked_calls(spark):
     found, results = calls.message_calls(messages)
     assert [(x.call_id, x.name, x.arguments) for x in found.collect()] == [("x", "f", '{"a":1}')]
     assert [(x.call_id, x.content) for x in results.filter("call_id is not null").collect()] == [("x", "ok")]
+
+
+def test_steps_of_long_chains_trees_and_cycles(spark):
+    """Longest paths of random graphs, of a chain of 300 calls and behind cycles, against a plain recursion."""
+    rng = random.Random(5)
+    needs = {("chain", str(k)): {str(k - 1)} for k in range(1, 300)}
+    for g in range(6):
+        for k in range(1, 40):
+            needs["dag%d" % g, str(k)] = {str(rng.randrange(max(0, k - 6), k)) for _ in range(rng.choice([0, 1, 1, 2, 3]))}
+    needs |= {("loop", "a"): {"b"}, ("loop", "b"): {"c"}, ("loop", "c"): {"a"}, ("loop", "d"): {"c", "e"}, ("loop", "f"): {"e"}, ("loop", "g"): {"g"}, ("loop", "h"): {"gone", "f"}}
+    known = set(needs) | {("chain", "0"), ("loop", "e")} | {("dag%d" % g, "0") for g in range(6)}
+
+    @functools.cache
+    def step(conv, call):
+        found = [step(conv, n) for n in needs.get((conv, call), ()) if (conv, n) in known]
+        return max(found, default=-1) + 1
+
+    want = {}
+    for k in range(300):  # fills the cache from below
+        step("chain", str(k))
+    for conv, call in known:
+        want[conv, call] = None if conv == "loop" and call in "abcdg" else step(conv, call)
+    df = spark.createDataFrame(sorted(known), "conv_id string, call_id string")
+    links = spark.createDataFrame([(c, k, n) for (c, k), ns in needs.items() for n in ns] * 2, "conv_id string, call_id string, needed string")
+    got = calls.topological_steps(df, links).collect()
+    assert len(got) == len(known) and {(r.conv_id, r.call_id): r.step for r in got} == want
