@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import compatibility_form
+from ..session import cut_lineage
 
 # Placeholders, identifier patterns in their order, and calendar and path patterns.
 PLACEHOLDER_NAMES = [
@@ -38,7 +39,6 @@ CALENDAR = [
 
 PLACEHOLDER = r"\[(?:" + "|".join(PLACEHOLDER_NAMES) + r")\]"
 AROUND_PLACEHOLDER = rf"(?<={PLACEHOLDER})|(?={PLACEHOLDER})"
-RULES_PER_PASS = 5000
 
 
 def in_jvm(pattern: str) -> str:
@@ -85,75 +85,100 @@ def placeholder_hits(before: Column, after: Column, names: list[str]) -> list[Co
     ]
 
 
-@functools.lru_cache(maxsize=256)
-def _compiled(rules: tuple) -> tuple:
-    """Patterns longest first, and one pattern that finds any of them (the quick test)."""
-    from unicodedata import category
-    from unicodedata import normalize as form
+@functools.lru_cache(maxsize=1 << 14)
+def _term_pattern(term: str) -> re.Pattern:
+    """A placeholder, or the term between word boundaries in any case."""
+    return re.compile(rf"(?P<held>{PLACEHOLDER})|(?<!\w)(?i:{re.escape(term)})(?!\w)")
 
-    terms = [("".join(c for c in form("NFKC", t) if category(c) != "Cf"), r) for t, r in sorted(rules, key=lambda x: -len(x[0]))]
-    each = [(re.compile(r"(?<!\w)" + re.escape(t) + r"(?!\w)", re.I), r) for t, r in terms]
-    anyone = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(t) for t, _ in terms) + r")(?!\w)", re.I) if terms else None
-    return each, anyone
 
+@pandas_udf(T.StringType())
+def replace_terms(text: pd.Series, rules: pd.Series) -> pd.Series:
+    """Each text under its own rules, in their order; placeholders are stepped over."""
 
-def phrase_replacer(rules: list[tuple[str, str]]):
-    """Sequential replacement of reviewed terms, outside placeholders, as an Arrow function.
+    def changed(value, found):
+        for rule in found:
+            value = _term_pattern(rule["form"]).sub(lambda m, new=rule["replacement"]: m.group() if m["held"] else new, value)
+        return value
 
-    Terms are tried one after the other, longest first, on the text as it then is. A user's
-    own rules come as an array and override shared ones.
-    """
-    shared = tuple(rules)
-    split = re.compile(f"({PLACEHOLDER})")
+    return pd.Series([t if r is None or t is None else changed(t, r) for t, r in zip(text, rules)], dtype="object")
+
+
+def _words(text: Column) -> Column:
+    """Distinct words of a text, alike for all that a pattern without case takes for equal."""
+    return F.array_distinct(F.regexp_extract_all(F.upper(F.translate(text, "İ", "I")), F.lit(r"[\p{L}\p{N}_]+"), 0))
 
-    def apply(text, own):
-        chosen = shared if own is None or len(own) == 0 else tuple({**dict(shared), **{o["term"]: o["replacement"] for o in own}}.items())
-        each, anyone = _compiled(chosen)
-        if anyone is None or text is None or not anyone.search(text):
-            return text
-        for pattern, replacement in each:
-            if pattern.search(text):
-                pieces = split.split(text)
-                pieces[::2] = [pattern.sub(lambda _: replacement, p) for p in pieces[::2]]
-                text = "".join(pieces)
-        return text
 
-    @pandas_udf(T.StringType())
-    def run(text: pd.Series, own: pd.Series) -> pd.Series:
-        return pd.Series([apply(t, o) for t, o in zip(text, own)], dtype="object")
+def _term_rules(rules: DataFrame, handles: list[str]) -> DataFrame:
+    """Replacement rules with normal form, rank (shared, own, handle), first word and the words they insert."""
+    spark = rules.sparkSession
+    given = rules.filter("kind = 'replace'").select("scope", "term", "replacement", F.when(F.col("scope").isNull(), 0).otherwise(1).alias("rank"))
+    named = spark.createDataFrame([(None, h, "[ACCOUNT]", 2) for h in dict.fromkeys(handles) if h], "scope string, term string, replacement string, rank int")
+    inserted = _words(F.regexp_replace("replacement", PLACEHOLDER, " "))
+    one = given.union(named).withColumn("form", compatibility_form(F.col("term")))
+    return one.withColumn("word", F.coalesce(F.get(_words(F.col("form")), F.lit(0)), F.lit(""))).withColumn("inserted", inserted)
 
-    return run
+
+def _rules_by_word(rules: DataFrame) -> DataFrame:
+    """Rules that a word of a text can bring into play: those that begin with it, and those that begin with what they insert.
+
+    Any word of a term stands alone where the term matches, so its first one finds it. A term without words
+    comes under the empty word.
+    """
+    start = rules.select("scope", "word", F.col("word").alias("first"), "term", "form", "replacement", "rank", "inserted")
+    if start.filter("size(inserted) > 0").isEmpty():
+        return start
+    start = cut_lineage(start)
+    found = new = start
+    while True:
+        by = new.select(F.col("scope").alias("s"), "word", F.explode("inserted").alias("first")).distinct()
+        more = by.join(start.drop("word"), "first").filter("s is null or scope is null or s = scope")
+        more = more.withColumn("scope", F.coalesce("scope", "s")).select(*start.columns)
+        known = found.select(F.col("scope").alias("_s"), F.col("word").alias("_w"), F.col("term").alias("_term"), F.col("rank").alias("_r"))
+        same = F.col("scope").eqNullSafe(F.col("_s")) & (F.col("word") == F.col("_w")) & (F.col("term") == F.col("_term")) & (F.col("rank") == F.col("_r"))
+        new = cut_lineage(more.distinct().join(known, same, "left_anti"))
+        if new.isEmpty():
+            return found
+        found = found.union(new)
 
 
 def scrub(texts: DataFrame, rules: DataFrame | None = None, handles: list[str] = (), calendar: bool = True, column: str = "text") -> DataFrame:
     """Scrub ``column`` of rows with ``user_id``.
 
-    ``rules``: reviewed ``(scope, kind, term, replacement)``; scope is a user or null for all,
-    kind is ``replace`` (a term) or ``rewrite`` (a whole scrubbed text). Terms are
-    configuration made by reviewers and go into the function in passes of bounded size;
-    rewrites can be many and are joined. Adds ``scrubbed``, ``was_rewritten``.
+    ``rules``: reviewed ``(scope, kind, term, replacement)``; scope is a user or null for all, kind is ``replace``
+    (a term) or ``rewrite`` (a whole scrubbed text). For equal terms a user's rule beats a shared one, and a
+    handle beats both. All terms that apply to a text run in one order, the longest first (ties by term), each on
+    the text as the one before has left it. An empty term, or one without replacement, is an error.
+
+    Rules of any number meet the texts in a join on words; a text carries only those it has a word of. Rewrites
+    are joined by hash and compared. Adds ``scrubbed``, ``was_rewritten``.
     """
-    out = texts.withColumn("_t", drop_marker(mask_identifiers(compatibility_form(F.col(column)))))
-    terms: list[tuple[str, str]] = []
-    out = out.withColumn("was_rewritten", F.lit(False)).withColumn("_own", F.lit(None).cast("array<struct<term:string,replacement:string>>"))
-    if rules is not None:
-        rewrites = rules.filter("kind = 'rewrite'")
-        own = rewrites.filter("scope is not null").select(F.col("scope").alias("user_id"), F.col("term").alias("_t"), F.col("replacement").alias("_own_text"))
-        common = rewrites.filter("scope is null").select(F.col("term").alias("_t"), F.col("replacement").alias("_text"))
-        out = out.join(common, "_t", "left").join(own, ["user_id", "_t"], "left")
-        chosen = F.coalesce("_own_text", "_text")
-        out = out.withColumn("was_rewritten", chosen.isNotNull()).withColumn("_t", F.coalesce(_replace_all(chosen, IDENTIFIERS), "_t")).drop("_own_text", "_text")
-        replace = rules.filter("kind = 'replace'")
-        terms = [(r["term"], r["replacement"]) for r in replace.filter("scope is null").orderBy(F.desc(F.length("term")), "term").toLocalIterator()]
-        scoped = replace.filter("scope is not null").groupBy(F.col("scope").alias("user_id")).agg(F.collect_list(F.struct("term", "replacement")).alias("_own_rules"))
-        out = out.join(scoped, "user_id", "left").withColumn("_own", F.col("_own_rules")).drop("_own_rules")
-    terms = list({**dict(terms), **{h: "[ACCOUNT]" for h in handles if h}}.items())
-    terms.sort(key=lambda r: -len(r[0]))
-    for start in range(0, max(1, len(terms)), RULES_PER_PASS):
-        part = terms[start : start + RULES_PER_PASS]
-        out = out.withColumn("_t", phrase_replacer(part)("_t", "_own" if start == 0 else F.lit(None).cast("array<struct<term:string,replacement:string>>")))
-    final = drop_marker(F.col("_t"))
-    return out.withColumn("scrubbed", mask_calendar(final) if calendar else final).drop("_t", "_own")
+    out = texts.withColumn("_t", drop_marker(mask_identifiers(compatibility_form(F.col(column))))).withColumn("was_rewritten", F.lit(False))
+    if rules is None and not handles:
+        final = drop_marker(F.col("_t"))
+        return out.withColumn("scrubbed", mask_calendar(final) if calendar else final).drop("_t")
+    if rules is None:
+        rules = texts.sparkSession.createDataFrame([], "scope string, kind string, term string, replacement string")
+    else:
+        if not rules.filter("term is null or replacement is null or (kind = 'replace' and term = '')").isEmpty():
+            raise ValueError("a rule needs a term and a replacement")
+        once = rules.filter("kind = 'rewrite'").groupBy(F.col("scope").alias("_scope"), F.col("term").alias("_term")).agg(F.max("replacement").alias("_new")).withColumn("_k", F.xxhash64("_term"))
+        common, own = once.filter("_scope is null").select("_k", "_term", "_new"), once.filter("_scope is not null").toDF("_own_scope", "_own_term", "_own_new", "_own_k")
+        out = out.withColumn("_k", F.xxhash64("_t"))
+        out = out.join(common, (out["_k"] == common["_k"]) & (out["_t"] == common["_term"]), "left").drop(common["_k"])
+        out = out.join(own, (out["_k"] == own["_own_k"]) & (out["_t"] == own["_own_term"]) & (out["user_id"] == own["_own_scope"]), "left")
+        chosen = F.coalesce("_own_new", "_new")
+        out = out.withColumn("was_rewritten", chosen.isNotNull()).withColumn("_t", F.coalesce(_replace_all(chosen, IDENTIFIERS), "_t"))
+        out = out.drop("_k", "_term", "_new", "_own_scope", "_own_term", "_own_new", "_own_k")
+    terms = _rules_by_word(_term_rules(rules, handles))
+    # One key for user and text, so that rows without a user meet the shared rules as well.
+    out = out.withColumn("_key", F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("user_id").cast("string")), F.lit("~")), F.lit("\n"), "_t")))
+    said = out.select("_key", "user_id", F.explode(F.array_union(_words(F.col("_t")), F.array(F.lit("")))).alias("word"))
+    hits = said.join(terms, "word").filter("scope is null or scope = user_id")
+    hits = hits.groupBy("_key", "term", "form").agg(F.max(F.struct("rank", "replacement"))["replacement"].alias("replacement"))
+    by_text = hits.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("place"), "term", "form", "replacement"))).alias("_rules"))
+    final = drop_marker(replace_terms("_t", "_rules"))
+    out = out.join(by_text, "_key", "left").withColumn("scrubbed", final)
+    return (out.withColumn("scrubbed", mask_calendar(F.col("scrubbed"))) if calendar else out).drop("_t", "_key", "_rules")
 
 
 def residual_patterns(text: Column) -> Column:

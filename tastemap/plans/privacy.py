@@ -74,23 +74,24 @@ def masked_calendar(spark, sf):
 
 
 RULES = [
-    (None, "replace", "the", "[PERSON]"), (None, "replace", "la", "[LOCATION]"), (None, "replace", "main street", "[ADDRESS]"), ("7", "replace", "the", "[PET]"), ("9", "replace", "und", "[ORGANIZATION]"),
+    (None, "replace", "the", "[PERSON]"), (None, "replace", "la", "[LOCATION]"), (None, "replace", "main street", "[ADDRESS]"), ("7", "replace", "the", "[PET]"), ("9", "replace", "und", "[ORGANIZATION]"), ("9", "replace", "la", "[ORGANIZATION]"),
 ]
 
 
 @query("scrubbed_posts", rf"""WITH {SCRUBBED}, t AS (SELECT post_id, user_id, plain, dated FROM sc),
-r AS (SELECT post_id, {_around(_around("plain", "the", "#T#", flags="gi"), "la", "[LOCATION]", flags="gi")} AS x, user_id, dated FROM t),
-s AS (SELECT post_id, replace(CASE WHEN user_id = 9 THEN {_around("x", "und", "[ORGANIZATION]", flags="gi")} ELSE x END, '#T#', CASE WHEN user_id = 7 THEN '[PET]' ELSE '[PERSON]' END) AS x, dated FROM r)
+r AS (SELECT post_id, {_around(_around(_around("plain", "the", "#T#", flags="gi"), "und", "[ACCOUNT]", flags="gi"), "la", "#L#", flags="gi")} AS x, user_id, dated FROM t),
+s AS (SELECT post_id, replace(replace(x, '#L#', CASE WHEN user_id = 9 THEN '[ORGANIZATION]' ELSE '[LOCATION]' END), '#T#', CASE WHEN user_id = 7 THEN '[PET]' ELSE '[PERSON]' END) AS x, dated FROM r)
 SELECT post_id, md5(x || dated) AS scrubbed_md5, post_id % 100 = 3 AS was_rewritten FROM s WHERE post_id % 100 <> 3 UNION ALL SELECT post_id, md5('A quiet note by [ACCOUNT]') , true FROM s WHERE post_id % 100 = 3""")
 def scrubbed_posts(spark, sf):
-    """Reviewed terms for all and for single users, and every hundredth text rewritten as a whole."""
+    """Terms for all and for single users, a handle, one term for each part (none occurs), and every hundredth text rewritten as a whole."""
     rows = _with_identifiers(spark, sf, dates=True).withColumn("user_id", F.col("user_id").cast("string"))
     rules = spark.createDataFrame(RULES, "scope string, kind string, term string, replacement string")
     rewrites = rows.filter(F.col("post_id") % 100 == 3).select(
         F.when(F.col("post_id") % 200 == 3, F.col("user_id")).alias("scope"), F.lit("rewrite").alias("kind"),
         privacy.masked(F.col("text")).alias("term"), F.lit("A quiet note by @someone").alias("replacement"),
     ).distinct()
-    out = privacy.scrub(rows, rules.unionByName(rewrites))
+    unseen = load(spark, sf, "part").select(F.lit(None).cast("string").alias("scope"), F.lit("replace").alias("kind"), F.concat(F.lit("part"), "p_partkey", F.lit("of")).alias("term"), F.lit("[IDENTIFIER]").alias("replacement"))
+    out = privacy.scrub(rows, rules.unionByName(rewrites).unionByName(unseen), ["und"])
     return out.select("post_id", F.md5("scrubbed").alias("scrubbed_md5"), "was_rewritten")
 
 

@@ -1,6 +1,7 @@
 """Hand-worked cases of gate, scores, scrubbing, dialogue rules and experiments."""
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tastemap.operators import context, dialogue, experiments, gate, privacy, ranking, release, scoring, timeline
@@ -74,6 +75,19 @@ def test_rewrite_cannot_bring_identifiers_back(spark):
     assert scrubbed(spark, ["a secret"], [(None, "rewrite", "a secret", "write to x@y.org")]) == ["write to [EMAIL]"]
 
 
+def test_scrub_rules_have_one_order(spark):
+    shared = [(None, "replace", "ann lee", "[PERSON]"), ("u", "replace", "ann", "[PET]"), ("v", "replace", "ann", "[ORGANIZATION]")]
+    many = [(None, "replace", f"term{k}", "[IDENTIFIER]") for k in range(20_000)]
+    assert scrubbed(spark, ["ann lee came", "Ann came, TERM19999 too", "ann term1 annx"], shared + many) == ["[PERSON] came", "[PET] came, [IDENTIFIER] too", "[PET] [IDENTIFIER] annx"]
+    # Handles beat own and shared rules; what a rule inserts is seen by the shorter ones after it.
+    assert scrubbed(spark, ["bobby"], [("u", "replace", "bobby", "[PERSON]"), (None, "replace", "bobby", "[PET]")], ["bobby"]) == ["[ACCOUNT]"]
+    assert scrubbed(spark, ["old harbour", "harbour"], [(None, "replace", "old harbour", "a city"), ("u", "replace", "city", "a b"), (None, "replace", "b", "[PATH]"), (None, "replace", "\u2605", "x")]) == ["a a [PATH]", "harbour"]
+    assert scrubbed(spark, ["\u2605 [PERSON] person", None, ""], [(None, "replace", "\u2605", "x"), (None, "replace", "person", "y")]) == ["x [PERSON] y", None, ""]
+    for bad in [(None, "replace", "", "[PERSON]"), ("u", "replace", "a", None), (None, "rewrite", None, "x")]:
+        with pytest.raises(ValueError):
+            scrubbed(spark, ["a, b"], [bad])
+
+
 def test_scrub_matches_python_patterns(spark):
     import re
 
