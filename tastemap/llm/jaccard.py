@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, by_slices, hash_filter, passes, slices, written
@@ -322,7 +322,12 @@ def _outlined(regions: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     rings = large.join(points.select("uid", "n"), "uid").select("region", "uid", F.explode(F.array(ring, ring + 1)).alias("ring"))
     rings = written(rings.select(F.concat_ws("~", "region", F.col("ring").cast("string")).alias("region"), "uid"))
     more, dense = by_size(rings)
-    small = small.union(more).join(points, "uid").repartition("region").sortWithinPartitions("region", "uid").select("region", "uid", "n", "outline")
+    # Sizes alone rule out most members, in rows of a few bytes; the window holds at most OUTLINE_ROWS of a region.
+    order = Window.partitionBy("region").orderBy("n")
+    sized = small.union(more).join(points.select("uid", "n"), "uid").withColumns({"under": F.lag("n").over(order), "over": F.lead("n").over(order)})
+    alike = (F.col("under") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("over") * percent)
+    small = written(sized.filter(alike).select("region", "uid"))
+    small = small.join(points, "uid").repartition("region").sortWithinPartitions("region", "uid").select("region", "uid", "n", "outline")
     return written(small.mapInArrow(lambda b: _possible_members(b, percent), "region string, uid long").union(dense))
 
 
