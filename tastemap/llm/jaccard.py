@@ -22,8 +22,8 @@ OUTLINE_ROWS = 4_000
 #: Times a larger region is cut by a new pivot before its blocks are joined one by one.
 LEVELS = 3
 #: Counters of the outline of a set, and of a set of LONG shingles or more; the sum of the differences between two
-#: outlines is at most the symmetric difference of the sets.
-OUTLINE, LONG_OUTLINE, LONG = 64, 512, 1_000
+#: outlines is at most the symmetric difference of the sets, also where counters stop at FULL.
+OUTLINE, LONG_OUTLINE, LONG, FULL = 64, 512, 1_000, 255
 #: Pivots of one step inside a task, and documents that are compared directly.
 PIVOTS, LEAF = 6, 24
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -68,16 +68,16 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def outline(shingles: np.ndarray) -> bytes:
-    """Shingles by hash bucket."""
+    """Shingles by hash bucket, one byte each."""
     size = LONG_OUTLINE if len(shingles) >= LONG else OUTLINE
     counts = np.bincount((shingles.view(np.uint64) >> np.uint64(20)).astype(np.int64) % size, minlength=size)
-    return counts.astype("<u4").tobytes()
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
 
 
 def _with_possible_partner(sizes: np.ndarray, outlines: list[np.ndarray], percent: int) -> np.ndarray:
     """Which members of a region may link with another, by sizes and outlines: sets that link differ by little."""
     able = np.zeros(len(sizes), bool)
-    short = np.stack([o.reshape(-1, OUTLINE).sum(0) for o in outlines])  # bucket numbers modulo OUTLINE
+    short = np.minimum(np.stack([o.reshape(-1, OUTLINE).sum(0) for o in outlines]), FULL)  # bucket numbers modulo OUTLINE
     for i in range(len(sizes) - 1):
         n, m = sizes[i], sizes[i + 1 :]
         apart = n + m - 2 * -(-percent * (n + m) // (100 + percent))  # most elements that may be in one of the two only
@@ -108,7 +108,7 @@ def _possible_members(batches: Iterator[pa.RecordBatch], percent: int):
                 region, ids, sizes, outlines = name, [], [], []
             ids.append(uid)
             sizes.append(n)
-            outlines.append(np.frombuffer(shape, "<u4").astype(np.int64))
+            outlines.append(np.frombuffer(shape, np.uint8).astype(np.int64))
     if len(ids) > 1:
         yield release()
 
