@@ -73,9 +73,9 @@ def train_ftrl(rows: list[tuple[int, np.ndarray]], passes: int = PASSES) -> Mode
         shrunk = np.sign(zi) * np.maximum(np.abs(zi) - np.where(ids == bias, 0.0, L1), 0.0)
         return -shrunk / ((BETA + np.sqrt(n[ids])) / ALPHA + L2)
 
-    rows = [(label, np.append(ids, bias)) for label, ids in rows]
     for _ in range(passes):
         for label, ids in rows:
+            ids = np.append(ids, bias)
             w = weights(ids)
             gradient = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35.0, 35.0))) - label
             if abs(gradient) < 1e-4:
@@ -108,7 +108,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, r
         yield from by_slices(one, ["ids"], "text", ["place", "label"])(batches)
 
     def train(batches: Iterator[pa.RecordBatch]):
-        seen = [(y, ids) for b in batches for y, ids in zip(b.column("label").to_pylist(), (np.asarray(x.values, np.int64) for x in b.column("ids")))]
+        seen = []  # views of the 32-bit ids in their batches: the sample is held once
+        for b in batches:
+            ids, cuts = (x.to_numpy() for x in (b.column("ids").values, b.column("ids").offsets))
+            seen += zip(b.column("label").to_pylist(), (ids[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())))
         model = train_ftrl(seen) if seen else Model(0.0, np.zeros(0, np.int64), np.zeros(0))
         yield pa.record_batch([pa.array(np.append(model.ids, -1)), pa.array(np.append(model.values, model.bias))], names=["id", "value"])
 
