@@ -190,16 +190,17 @@ def candidates_text(response: Column) -> Column:
 def reconciled(requests: DataFrame, output: DataFrame) -> DataFrame:
     """Typed outcome of every request from raw output lines ``(value)``.
 
-    A status, an unparsable answer and a missing row each give their own error.
+    A status, an unparsable answer, a missing row and an id on several lines each give their own error.
     """
     line = F.col("value")
     rows = output.filter(nonblank(line).isNotNull()).select(
         F.trim(blank(F.get_json_object(line, "$.custom_id"))).alias("custom_id"), F.trim(blank(F.get_json_object(line, "$.status"))).alias("status"),
         json_object(candidates_text(F.get_json_object(line, "$.response"))).alias("content"), F.lit(True).alias("_seen"),
     )
+    rows = rows.groupBy("custom_id").agg(*[F.first(c).alias(c) for c in ("status", "content", "_seen")], (F.count("*") > 1).alias("_again"))
     joined = requests.select("custom_id").join(rows, "custom_id", "left")
     error = (
-        F.when(F.col("_seen").isNull(), "missing_prediction_row").when(F.col("status") != "", F.concat(F.lit("batch_status_error: "), "status")).when(F.col("content").isNull(), "parse_failed")
+        F.when(F.col("_seen").isNull(), "missing_prediction_row").when(F.col("_again"), "duplicate_custom_id").when(F.col("status") != "", F.concat(F.lit("batch_status_error: "), "status")).when(F.col("content").isNull(), "parse_failed")
     )
     return joined.select("custom_id", F.when(error.isNull(), F.col("content")).alias("content"), error.alias("error"))
 
@@ -214,11 +215,14 @@ def unknown_lines(requests: DataFrame, output: DataFrame) -> DataFrame:
 
 
 def batch_results(requests: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:
-    """Response or error of every request; what is in neither table is missing."""
-    good = results.filter("error is null").select("custom_id", "content")
-    bad = results.filter("error is not null").select("custom_id", "error").unionByName(errors.select("custom_id", "error"))
-    joined = requests.join(good, "custom_id", "left").join(bad, "custom_id", "left")
-    return joined.withColumn("error", F.when(F.col("content").isNull(), F.coalesce("error", F.lit("missing result row"))))
+    """Response or error of every request; what is in neither table is missing, what is there several times an error."""
+    bad = errors.select("custom_id", F.lit(None).cast("string").alias("content"), "error")
+    rows = results.select("custom_id", F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error").unionByName(bad)
+    once = rows.groupBy("custom_id").agg(F.first("content").alias("content"), F.first("error").alias("error"), F.count("*").alias("_n"))
+    joined = requests.join(once, "custom_id", "left")
+    again = F.coalesce(F.col("_n") > 1, F.lit(False))
+    error = F.when(again, "duplicate result id").when(F.col("content").isNull(), F.coalesce("error", F.lit("missing result row")))
+    return joined.withColumn("content", F.when(~again, F.col("content"))).withColumn("error", error).drop("_n")
 
 
 def output_audit(lines: DataFrame) -> DataFrame:

@@ -81,9 +81,9 @@ def normalized(rows: DataFrame, parsed: str = "parsed") -> DataFrame:
     )
 
 
-def with_fallback(tasks: DataFrame, predictions: DataFrame, error: str) -> DataFrame:
-    """Every task of a run, with an inactive prediction and an error where none came back."""
-    joined = tasks.join(predictions, "task_id", "left")
+def with_fallback(tasks: DataFrame, predictions: DataFrame, error: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every task of a run, with an inactive prediction and an error where none came back; ``by`` names more key columns, such as the model."""
+    joined = tasks.join(predictions, [*by, "task_id"], "left")
     missing = F.col("pred_status").isNull()
     return joined.withColumn("error", F.when(missing, error).otherwise(F.col("error"))).withColumn("pred_status", F.coalesce("pred_status", F.lit("inactive")))
 
@@ -104,12 +104,13 @@ def same_run(rows: DataFrame, visual_mode: str, input_mode: str, method: str) ->
     return rows.filter(keep)
 
 
-def pending(tasks: DataFrame, reusable_rows: DataFrame, user_level: bool = False) -> DataFrame:
-    """Tasks without a reusable row; user-level methods redo all tasks of such users."""
-    open_tasks = tasks.join(reusable_rows.select("task_id"), "task_id", "left_anti")
+def pending(tasks: DataFrame, reusable_rows: DataFrame, user_level: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Tasks without a reusable row; user-level methods redo all tasks of such users. ``by`` names more key columns."""
+    key, user = [*by, "task_id"], [*by, "source_tag", "user_id"]
+    open_tasks = tasks.join(reusable_rows.select(*key), key, "left_anti")
     if not user_level:
         return open_tasks
-    return tasks.join(open_tasks.select("source_tag", "user_id").distinct(), ["source_tag", "user_id"], "left_semi")
+    return tasks.join(open_tasks.select(*user).distinct(), user, "left_semi")
 
 
 def _any_of(text: Column, needles: list[str]) -> Column:

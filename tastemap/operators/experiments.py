@@ -22,7 +22,8 @@ PROTOCOL, TEMPORAL_PROTOCOL = "profile_intervention_v1", "hash_order_v2"
 DIMENSIONS = ["coverage", "concreteness", "fluency"]
 # End of fixed values.
 
-VECTORS_PER_BUCKET = 5000
+#: Hash buckets of the clustered bootstrap, whatever the number of users, and cells of one array of draws.
+BUCKETS, DRAW_CELLS = 64, 4_000_000
 
 
 def domain_profiles(interests: DataFrame) -> DataFrame:
@@ -231,15 +232,13 @@ def temporal_confusion(per_user: DataFrame) -> DataFrame:
 def cluster_bootstrap(per_user: DataFrame) -> DataFrame:
     """95% interval of balanced accuracy over resampled users.
 
-    Users with equal count vectors are counted together. The distinct vectors lie in hash
-    buckets of bounded size. How many draws fall into each bucket is itself multinomial; each
+    Users with equal count vectors are counted together. The distinct vectors lie in a fixed
+    number of hash buckets, so that the draws do not depend on how many there are. How many draws fall into each bucket is itself multinomial; each
     task draws that split from the same seed, then its own vectors, and gives partial sums.
     """
     names = [f"{t}_{p}" for t, p in CELLS]
     vectors = per_user.groupBy("model", *names).agg(F.count("*").alias("users"))
-    distinct = vectors.groupBy("model").agg(F.count("*").alias("v")).agg(F.max("v").alias("v")).first()["v"] or 1
-    buckets = int(distinct // VECTORS_PER_BUCKET) + 1
-    placed = vectors.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int"))
+    placed = vectors.withColumn("bucket", F.pmod(F.xxhash64(*names), F.lit(BUCKETS)).cast("int"))
     totals = placed.groupBy("model", "bucket").agg(F.sum("users").alias("t")).groupBy("model").agg(F.array_sort(F.collect_list(F.struct("bucket", "t"))).alias("split"))
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -253,7 +252,8 @@ def cluster_bootstrap(per_user: DataFrame) -> DataFrame:
         p = x["users"].to_numpy(dtype=float)
         rng = np.random.default_rng([SEED, int(bucket)])
         table = x[names].to_numpy(dtype=np.int64)
-        sums = np.concatenate([rng.multinomial(mine[i : i + 250], p / p.sum()) @ table for i in range(0, RESAMPLES, 250)])
+        step = max(1, DRAW_CELLS // len(x))
+        sums = np.concatenate([rng.multinomial(mine[i : i + step], p / p.sum()) @ table for i in range(0, RESAMPLES, step)])
         return pd.DataFrame(sums, columns=names).assign(model=model, resample=range(RESAMPLES))
 
     schema = "model string, resample int, " + ", ".join(f"{c} long" for c in names)

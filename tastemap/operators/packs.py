@@ -42,7 +42,7 @@ def evidence_examples(evidence: DataFrame, posts: DataFrame, k: int = 3) -> Data
 
 
 def summary_requests(packs: DataFrame, clusters: DataFrame, representatives: DataFrame, pass_one: DataFrame | None = None, max_images: int = 12) -> DataFrame:
-    """Request rows of a summary stage; the second stage carries the first stage's answer."""
+    """Request rows of a summary stage; the second stage carries the first stage's answer, where one came back."""
     tags = clusters.groupBy(*SCOPE).agg(F.array_sort(F.collect_list(F.struct("canonical_tag", "display_label", "n_posts", "weighted_support", "status"))).alias("tag_clusters"))
     reps = representatives.groupBy(*SCOPE).agg(
         F.array_sort(F.collect_list(F.struct("pick_order", "post_id", "text"))).alias("representative_posts"),
@@ -51,7 +51,7 @@ def summary_requests(packs: DataFrame, clusters: DataFrame, representatives: Dat
     rows = packs.join(tags, SCOPE, "left").join(reps, SCOPE, "left")
     body = ["domain", "domain_definition", "status", "stable_score", "recent_score", "tag_clusters", "representative_posts"]
     if pass_one is not None:
-        rows = rows.join(pass_one.select(*SCOPE, F.col("content").alias("evidence_first_result")), SCOPE)
+        rows = rows.join(pass_one.select(*SCOPE, F.col("content").alias("evidence_first_result")), SCOPE, "left")
         body.append("evidence_first_result")
     key = F.concat_ws("__", F.lit("summary"), F.col("user_id").cast("string"), F.col("domain"), F.lit("2" if pass_one is not None else "1"))
     return rows.select(*SCOPE, key.alias("request_key"), F.to_json(F.struct(*body)).alias("user_prompt"), F.transform("images", lambda s: s["image_url"]).alias("image_urls"))

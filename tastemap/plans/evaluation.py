@@ -252,22 +252,23 @@ def reusable_predictions(spark, sf):
     return ev.same_run(p, "native", "text_image_captions", "direct").select("model", "task_id")
 
 
-@query("pending_tasks", f"""WITH {LABELS}, ok AS (SELECT task_id FROM pr WHERE model = 'beta' AND NOT failed AND NOT stale AND NOT (domain = 'view' AND user_id % 4 = 0)),
-op AS (SELECT user_id FROM tk WHERE task_id NOT IN (SELECT task_id FROM ok)) SELECT task_id, task_id NOT IN (SELECT task_id FROM ok) AS open FROM tk WHERE user_id IN (SELECT user_id FROM op)""")
+@query("pending_tasks", f"""WITH {LABELS}, ok AS (SELECT model, task_id FROM pr WHERE NOT failed AND NOT stale AND NOT (domain = 'view' AND user_id % 4 = 0)),
+x AS (SELECT a.*, ok.task_id IS NULL AS open FROM allt a LEFT JOIN ok ON ok.model = a.model AND ok.task_id = a.task_id) SELECT model, task_id, open FROM x SEMI JOIN (SELECT model, user_id FROM x WHERE open) o USING (model, user_id)""")
 def pending_tasks(spark, sf):
-    """User-level pending work: one open task reopens all tasks of its user."""
-    t = tasks(spark, sf).withColumn("source_tag", F.lit("set"))
-    p = predictions(spark, sf).filter("model = 'beta'")
+    """User-level pending work of both models: one open task reopens all tasks of its user."""
+    t = tasks(spark, sf).withColumn("source_tag", F.lit("set")).withColumn("model", F.explode(F.array(F.lit("alpha"), F.lit("beta"))))
+    p = predictions(spark, sf)
     ok = p.filter(ev.reusable(F.col("error"), F.col("retry_mode"), F.col("retry_context_version")) & ~((F.col("domain") == "view") & (F.col("user_id") % 4 == 0)))
-    again = ev.pending(t, ok, user_level=True)
-    return again.join(ok.select("task_id", F.lit(True).alias("done")), "task_id", "left").select("task_id", F.col("done").isNull().alias("open"))
+    again = ev.pending(t, ok, user_level=True, by=("model",))
+    return again.join(ok.select("model", "task_id", F.lit(True).alias("done")), ["model", "task_id"], "left").select("model", "task_id", F.col("done").isNull().alias("open"))
 
 
-@query("fallback_predictions", f"""WITH {LABELS} SELECT t.task_id, coalesce(p.status, 'inactive') AS pred_status, CASE WHEN p.task_id IS NULL THEN 'no_prediction' WHEN p.failed THEN 'HTTP 429' ELSE '' END AS error
-FROM tk t LEFT JOIN (SELECT * FROM pr WHERE model = 'beta') p USING (task_id)""")
+@query("fallback_predictions", f"""WITH {LABELS} SELECT t.model, t.task_id, coalesce(p.status, 'inactive') AS pred_status, CASE WHEN p.task_id IS NULL THEN 'no_prediction' WHEN p.failed THEN 'HTTP 429' ELSE '' END AS error
+FROM allt t LEFT JOIN pr p USING (model, task_id)""")
 def fallback_predictions(spark, sf):
-    p = predictions(spark, sf).filter("model = 'beta'").select("task_id", F.col("status").alias("pred_status"), "error")
-    return ev.with_fallback(tasks(spark, sf).select("task_id"), p, "no_prediction").select("task_id", "pred_status", "error")
+    p = predictions(spark, sf).select("model", "task_id", F.col("status").alias("pred_status"), "error")
+    t = tasks(spark, sf).select("task_id", F.explode(F.array(F.lit("alpha"), F.lit("beta"))).alias("model"))
+    return ev.with_fallback(t, p, "no_prediction", by=("model",)).select("model", "task_id", "pred_status", "error")
 
 
 @query("status_rates", """WITH x AS (SELECT lang, quality = 1 AS g, n_chars >= 2000 AS p FROM documents JOIN labels USING (doc_id)), c AS (

@@ -220,11 +220,11 @@ def _cache(spark, sf):
     return posts(spark, sf).select(
         F.when(d % 3 == 0, "old").otherwise("cap").alias("model_name"), F.lit("v1").alias("prompt_version"),
         F.when(d % 7 == 0, F.concat(F.lit("C:\\data\\"), "user_id", F.lit("\\media\\"), d, F.lit(".jpg"))).otherwise(F.concat(F.lit("/data/"), "user_id", F.lit("/media/"), d, F.lit(".jpg"))).alias("source"),
-        F.substring("text", 1, 20).alias("summary"), F.array(F.lit("x")).alias("visible_text"),
+        F.col("text").alias("summary"), F.array(F.lit("x")).alias("visible_text"),
     )
 
 
-@query("cached_captions", "SELECT CAST(doc_id % 50 AS VARCHAR) AS user_dir, doc_id || '.jpg' AS file_name, left(text, 20) AS summary, false AS conflict FROM documents WHERE doc_id % 3 <> 0")
+@query("cached_captions", "SELECT CAST(doc_id % 50 AS VARCHAR) AS user_dir, doc_id || '.jpg' AS file_name, text AS summary, false AS conflict FROM documents WHERE doc_id % 3 <> 0")
 def cached_captions(spark, sf):
     return ex.cached_captions(_cache(spark, sf), "cap", "v1").drop("visible_text")
 

@@ -285,13 +285,13 @@ def rewrite_examples(spark, sf):
 
 
 @query("summary_requests", f"""WITH {BASE}, c AS (SELECT user_id, domain, count(*) AS n FROM ce GROUP BY ALL), r AS (SELECT user_id, domain, count(*) AS n FROM rep GROUP BY ALL)
-SELECT 'summary__' || d.user_id || '__' || d.domain || '__2' AS request_key, CAST(c.n AS INTEGER) AS n_clusters, CAST(r.n AS INTEGER) AS n_representatives, CAST(least(12, r.n) AS INTEGER) AS n_images, d.status FROM dom d JOIN c USING (user_id, domain) JOIN r USING (user_id, domain) WHERE d.user_id % 2 = 0""")
+SELECT 'summary__' || d.user_id || '__' || d.domain || '__2' AS request_key, CAST(c.n AS INTEGER) AS n_clusters, CAST(r.n AS INTEGER) AS n_representatives, CAST(least(12, r.n) AS INTEGER) AS n_images, d.status, d.user_id % 2 = 0 AS has_first FROM dom d JOIN c USING (user_id, domain) JOIN r USING (user_id, domain)""")
 def summary_requests(spark, sf):
-    """Second-stage requests exist where the first stage answered (even users)."""
+    """Second-stage requests carry the first stage's answer where there is one (even users)."""
     p = _parts(spark, sf)
     pk = packs.all_domains(p["rec"], p["domains"])
     reps = p["reps"].join(p["posts"], ["user_id", "post_id"]).withColumn("image_url", F.concat(F.lit("https://img.example/"), "post_id"))
     first = p["domains"].filter("user_id % 2 = 0").select("user_id", "domain", F.lit('{"candidate_interests": []}').alias("content"))
     rows = packs.summary_requests(pk, p["clusters"], reps, first)
-    body = F.from_json("user_prompt", "status string, tag_clusters array<struct<canonical_tag:string>>, representative_posts array<struct<post_id:bigint>>")
-    return rows.select("request_key", F.size(body["tag_clusters"]).alias("n_clusters"), F.size(body["representative_posts"]).alias("n_representatives"), F.size("image_urls").alias("n_images"), body["status"].alias("status"))
+    body = F.from_json("user_prompt", "status string, tag_clusters array<struct<canonical_tag:string>>, representative_posts array<struct<post_id:bigint>>, evidence_first_result string")
+    return rows.select("request_key", body["evidence_first_result"].isNotNull().alias("has_first"), F.size(body["tag_clusters"]).alias("n_clusters"), F.size(body["representative_posts"]).alias("n_representatives"), F.size("image_urls").alias("n_images"), body["status"].alias("status"))

@@ -80,12 +80,12 @@ def image_limits(spark, sf):
     return posts(spark, sf).select("post_id", *[F.size(cx.limited(F.col("media"), n)).alias(name) for n, name in ((-1, "unlimited"), (1, "one"), (0, "none"))])
 
 
-@query("retry_payloads", r"""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, trim(regexp_replace(left(text, 3000), '\s+', ' ', 'g')) AS u FROM documents)
+@query("retry_payloads", r"""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t, trim(regexp_replace(text, '\s+', ' ', 'g')) AS u FROM documents)
 SELECT doc_id, CAST(least(280, length(t)) AS INTEGER) AS n_text, doc_id % 2 = 0 AS has_tags, false AS redacted_has_tags, CAST(least(140, length(u)) AS INTEGER) AS n_image_text FROM s""")
 def retry_payloads(spark, sf):
     d = F.col("doc_id")
     tags = F.when(d % 2 == 0, F.array(F.lit("#A"), F.lit("#a "), F.lit(" "))).otherwise(F.array().cast("array<string>"))
-    args = (F.lit("2024"), d, F.col("text"), tags, F.array(F.substring("text", 1, 3000), F.lit(" ")))
+    args = (F.lit("2024"), d, F.col("text"), tags, F.array(F.col("text"), F.lit(" ")))
     rows = load(spark, sf, "documents").select("doc_id", cx.retry_payload(*args).alias("a"), cx.retry_payload(*args, redact=True).alias("b"))
     body = F.from_json("a", "t string, h array<string>, img array<string>")
     return rows.select("doc_id", F.coalesce(F.length(body["t"]), F.lit(0)).alias("n_text"), (F.coalesce(F.size(body["h"]), F.lit(0)) == 1).alias("has_tags"), (F.coalesce(F.size(F.from_json("b", "h array<string>")["h"]), F.lit(0)) > 0).alias("redacted_has_tags"), F.coalesce(F.length(body["img"][0]), F.lit(0)).alias("n_image_text"))
@@ -144,10 +144,10 @@ def duplicate_request_ids(spark, sf):
     return cx.duplicate_ids(load(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("custom_id")))
 
 
-@query("message_texts", "SELECT doc_id, md5(trim(CASE WHEN doc_id % 2 = 0 THEN text ELSE text || chr(10) || 'more' END, chr(32))) AS text_md5 FROM documents WHERE NOT starts_with(trim(text), '[')")
+@query("message_texts", "SELECT doc_id, md5(trim(CASE WHEN doc_id % 2 = 0 THEN text ELSE text || chr(10) || 'more' END, chr(32))) AS text_md5 FROM documents")
 def message_texts(spark, sf):
     many = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("more").alias("text"))))
-    d = load(spark, sf, "documents").filter("not startswith(trim(text), '[')")
+    d = load(spark, sf, "documents")
     return d.select("doc_id", F.md5(cx.message_text(F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(many))).alias("text_md5"))
 
 
@@ -309,10 +309,10 @@ def next_unreviewed_user(spark, sf):
     return readers.next_unreviewed(users, readers.latest_labels(_reviews(spark, sf)), 100)
 
 
-@query("gated_and_masked", f"WITH {GATED} SELECT post_id, is_noise, md5({_mask_sql('text')}) AS masked_md5 FROM gated WHERE NOT is_noise")
+@query("gated_and_masked", f"WITH {GATED} SELECT post_id, is_noise, md5({_mask_sql('text')}) AS masked_md5 FROM gated")
 def gated_and_masked_posts(spark, sf):
     rows = gated_and_masked(posts(spark, sf), CUES)
-    return rows.filter("not is_noise").select("post_id", "is_noise", F.md5("masked_text").alias("masked_md5"))
+    return rows.select("post_id", "is_noise", F.md5("masked_text").alias("masked_md5"))
 
 
 @query("pending_requests", "SELECT doc_id AS request_key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

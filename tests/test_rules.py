@@ -163,3 +163,23 @@ def test_redaction_drops_hashtags_only(spark):
     none = F.array().cast("array<string>")
     out = df.select(context.retry_payload(F.lit(""), F.lit(0), F.col("t"), F.col("h"), none, True).alias("a"), context.retry_payload(F.lit(""), F.lit(0), F.col("t"), F.col("h"), none).alias("b")).first()
     assert out["a"] == '{"i":0,"t":"t"}' and out["b"] == '{"i":0,"t":"t","h":["#a"]}'
+
+
+def test_repeated_result_ids_are_errors_not_more_rows(spark):
+    requests = spark.createDataFrame([("a",), ("b",), ("c",)], "custom_id string")
+    results = spark.createDataFrame([("a", "x", None), ("a", "y", None), ("b", "z", None)], "custom_id string, content string, error string")
+    errors = spark.createDataFrame([], "custom_id string, error string")
+    got = {r["custom_id"]: (r["content"], r["error"]) for r in context.batch_results(requests, results, errors).collect()}
+    assert got == {"a": (None, "duplicate result id"), "b": ("z", None), "c": (None, "missing result row")}
+    line = '{"custom_id": "%s", "response": {"candidates": [{"content": {"parts": [{"text": "{\\"k\\": 1}"}]}}]}}'
+    output = spark.createDataFrame([(line % "a",), (line % "a",), (line % "b",)], "value string")
+    rows = context.reconciled(requests, output).collect()
+    assert {r["custom_id"]: r["error"] for r in rows} == {"a": "duplicate_custom_id", "b": None, "c": "missing_prediction_row"} and len(rows) == 3
+
+
+def test_clustered_draws_do_not_depend_on_other_vectors_of_the_array(spark, monkeypatch):
+    names = [f"{t}_{p}" for t, p in experiments.CELLS]
+    df = spark.createDataFrame([("m", *[(i * 7 + j) % 5 for j in range(len(names))]) for i in range(30)], ["model", *names])
+    whole = experiments.cluster_bootstrap(df).first()
+    monkeypatch.setattr(experiments, "DRAW_CELLS", 10)
+    assert experiments.cluster_bootstrap(df).first() == whole
