@@ -351,3 +351,20 @@ def test_steps_of_long_chains_trees_and_cycles(spark):
     links = spark.createDataFrame([(c, k, n) for (c, k), ns in needs.items() for n in ns] * 2, "conv_id string, call_id string, needed string")
     got = calls.topological_steps(df, links).collect()
     assert len(got) == len(known) and {(r.conv_id, r.call_id): r.step for r in got} == want
+
+
+@pytest.mark.parametrize("n", [3, 200, 995, 1_005, 40_000])
+def test_outlines_never_part_sets_that_link(n):
+    """Also where counters are full, and where only one of the two sets has a long outline."""
+    rng = np.random.default_rng(n)
+    for _ in range(20):
+        one = np.unique(rng.integers(-(1 << 63), 1 << 63, n, dtype=np.int64))
+        crowded = one & ~np.int64(511 << 20) if n > 1_000 else one  # all in one counter
+        for base in (one, np.unique(crowded)):
+            apart = len(base) // 20
+            other = np.union1d(base[apart:], rng.integers(-(1 << 63), 1 << 63, apart // 2, dtype=np.int64))
+            shared = len(np.intersect1d(base, other))
+            assert 100 * shared >= 90 * (len(base) + len(other) - shared)
+            pair = sorted((base, other), key=len)
+            shapes = [np.frombuffer(jaccard.outline(s), np.uint8).astype(np.int64) for s in pair]
+            assert jaccard._with_possible_partner(np.array([len(s) for s in pair]), shapes, 90).all()
