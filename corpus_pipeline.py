@@ -15,6 +15,8 @@ from tastemap.llm.common import ascii_lower, fresh, row_key, table, written
 #: A document goes from this toxicity score on.
 TOXIC = 0.7
 FOLDS, HELD = 3, 1
+#: Near copies share this percentage of their distinct shingles of so many words.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def _semi(docs: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -49,7 +51,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the smallest id; rows without id or shingles stay."""
-    found = jaccard.near_duplicates(docs)
+    found = jaccard.near_duplicates(docs, percent=NEAR_PERCENT, size=NEAR_WORDS)
     gone = written(found.filter("component_id is not null and component_id != doc_id").select("doc_id").distinct())
     return _semi(docs, gone, "left_anti")
 

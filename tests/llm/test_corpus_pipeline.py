@@ -58,3 +58,17 @@ def test_stages_with_no_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, folder).collect() == []
+
+
+def test_near_copies_from_four_fifths_of_five_word_shingles_on(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = {}
+    for i, (n, more) in enumerate([(204, 28), (204, 50), (204, 51)]):  # similarity 200/228, 200/250 and 200/251
+        texts[10 * i], texts[10 * i + 1] = (base := words(n)), base + words(more)
+    texts[30], texts[31] = (base := words(204)), base[:-40]  # 160/200
+    texts[40], texts[41] = (base := words(204)), base[:-41]  # 159/200
+    texts[50], texts[51] = (base := words(1000)), [f"edit{k}" if k % 50 == 25 else w for k, w in enumerate(base)]  # 896/1096
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {0, 10, 20, 21, 30, 40, 41, 50}
