@@ -50,10 +50,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest id; rows without id or shingles stay."""
-    found = jaccard.near_duplicates(docs, percent=NEAR_PERCENT, size=NEAR_WORDS)
-    gone = written(found.filter("component_id is not null and component_id != doc_id").select("doc_id").distinct())
-    return _semi(docs, gone, "left_anti")
+    """Of each component of near duplicates one row, of smallest id; rows without id or shingles stay.
+
+    Rows that repeat an id are rows of their own, which stay or go by their own text.
+    """
+    found = jaccard.near_duplicates(docs, percent=NEAR_PERCENT, size=NEAR_WORDS, by_row=True)
+    found = written(found.filter("component is not null").select("doc_id", "k", "component"))
+    firsts = found.groupBy("component").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count("*").alias("n"))
+    firsts = written(firsts.filter("n > 1").select("component", "first.k"))
+    name = fresh(docs, "row_key")
+    several = found.join(firsts.select("component"), "component", "left_semi")
+    gone = written(several.join(firsts.select("k"), "k", "left_anti").select(F.col("k").alias(name)).distinct())
+    out = _semi(docs.withColumn(name, row_key()), gone, "left_anti")
+    # Rows equal in id and text share their key.
+    twice = written(several.join(firsts.select("k"), "k", "left_semi").groupBy("k").count().filter("count > 1").select(F.col("k").alias(name)))
+    if not twice.isEmpty():
+        out = _semi(out, twice, "left_anti").union(_semi(out, twice).dropDuplicates([name]))
+    return out.drop(name)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

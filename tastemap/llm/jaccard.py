@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_slices, hash_filter, passes, slices, written
+from .common import as_bytes, by_slices, hash_filter, passes, row_key, slices, written
 from .components import connected_components
 
 #: Shingles that count as frequent: seen this often in so many bytes of text; the most frequent are broadcast.
@@ -331,7 +331,7 @@ def _outlined(regions: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return written(small.mapInArrow(lambda b: _possible_members(b, percent), "region string, uid long").union(dense))
 
 
-def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 90, size: int = 3, rows: int = REGION_ROWS, weight: int = REGION_WEIGHT) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 90, size: int = 3, rows: int = REGION_ROWS, weight: int = REGION_WEIGHT, by_row: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the smallest id reachable by links, its own included.
 
     Two documents link when their sets of distinct ``size``-word shingles have a Jaccard similarity of at least
@@ -348,8 +348,12 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     Null and empty texts, or texts of blanks, have no shingles and link with nothing. A row with a null id has a
     null component and takes no part. Rows that repeat an id are judged by their own text. Other columns are
     not read.
+
+    Components apart from each other can have the same smallest id when ids repeat. With ``by_row``, the row key
+    ``k`` and ``component``, a number of its own for each component (null for rows that take no part), follow.
     """
-    base = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    base = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([row_key(doc, text).alias("k")] if by_row else []))
+    mine = ["doc_id", "k"] if by_row else ["doc_id"]
 
     def frequent(batches):
         known = _WordHashes()
@@ -373,9 +377,9 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             return [pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_digest, sets), pa.binary()), pa.array(map(outline, sets), pa.binary()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))]
 
-        yield from by_slices(one, ["n", "digest", "outline", "keys"], "text", ["doc_id"])(batches)
+        yield from by_slices(one, ["n", "digest", "outline", "keys"], "text", mine)(batches)
 
-    signed = written(base.mapInArrow(signatures, "doc_id long, n long, digest binary, outline binary, keys array<long>"))
+    signed = written(base.mapInArrow(signatures, f"doc_id long, {'k binary, ' if by_row else ''}n long, digest binary, outline binary, keys array<long>"))
     able = signed.filter("n > 0 and doc_id is not null")
     points = able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("outline").alias("outline"), F.first("keys").alias("keys"))
     points = written(points.withColumn("uid", F.monotonically_increasing_id()))
@@ -409,15 +413,17 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
             sets = shingle_sets(as_bytes(batch.column("text")), size, known)
             yield batch.filter(pa.array([_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())).select(["uid", "text"])
 
-    some = base.withColumn("h", F.xxhash64("doc_id"))
+    some = base.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     some = some.mapInArrow(only, some.schema).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("uid", "digest", "text")
     texts = written(some.mapInArrow(checked, "uid long, text string").dropDuplicates(["uid"]))
     links = written(_region_links(regions, texts, points.select("uid", "n"), size, percent, rows, weight))
     roots = connected_components(links)
     labelled = points.select("uid", "rep").join(roots.withColumnRenamed("v", "uid"), "uid")
     least = labelled.groupBy("root").agg(F.min("rep").alias("least"))
-    labelled = labelled.join(least, "root").select("uid", "least")
-    named = written(points.select("uid", "digest", "rep").join(labelled, "uid", "left").select("digest", F.coalesce("least", "rep").alias("component_id")))
-    joined = signed.select("doc_id", "n", "digest").join(named, "digest", "left")
+    labelled = labelled.join(least, "root").select("uid", "root", "least")
+    named = points.select("uid", "digest", "rep").join(labelled, "uid", "left")
+    named = written(named.select("digest", F.coalesce("least", "rep").alias("component_id"), *([F.coalesce("root", "uid").alias("component")] if by_row else [])))
+    joined = signed.select(*mine, "n", "digest").join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    more = ["k", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component")] if by_row else []
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *more)

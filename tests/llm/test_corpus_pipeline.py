@@ -72,3 +72,14 @@ def test_near_copies_from_four_fifths_of_five_word_shingles_on(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string").repartition(3)
     kept = {r.doc_id for r in pipeline.drop_near_copies(spark, docs, "").collect()}
     assert kept == {0, 10, 20, 21, 30, 40, 41, 50}
+
+
+def test_near_copies_go_by_row_where_ids_repeat(spark):
+    rng = random.Random(13)
+    text = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(60))
+    a, b, c, d, own = (text() for _ in range(5))
+    rows = [(3, a), (5, a + " end"), (5, own), (7, b), (7, b + " end"), (8, c), (8, c), (9, c + " end"), (None, d), (6, d), (6, d.upper()), (1, None), (1, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in pipeline.drop_near_copies(spark, docs, "").collect()]
+    short = sorted((i or 0, (t or "").lower().removesuffix(" end")) for i, t in kept)
+    assert short == sorted([(3, a), (5, own), (7, b), (8, c), (0, d), (6, d), (1, ""), (1, " ")])
