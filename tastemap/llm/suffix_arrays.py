@@ -6,7 +6,8 @@ import numpy as np
 ONE = np.uint64(1)
 #: Multipliers of the rolling hash and of its final mix; any odd 64-bit numbers do.
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-POSITION_BITS = 23
+#: Bits of a packed position, and bytes of a stretch whose anchors are searched at once.
+POSITION_BITS, STRETCH_BYTES = 23, 1 << 20
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -38,8 +39,30 @@ def window_anchors(data: np.ndarray, ends: np.ndarray, window: int, gram: int):
 
     A window's anchor is its gram of least hash, the leftmost of equal ones: equal windows have equal
     anchors at the same offset. Returns, for each run of windows with one anchor inside one text: first
-    window, last window, anchor position, anchor hash. Fewer than 2**POSITION_BITS bytes.
+    window, last window, anchor position, anchor hash.
+
+    Data of any size is searched in stretches that overlap by all but one byte of a window, so that each
+    window lies whole in one of them; runs that go on in the next stretch are joined.
     """
+    size = min(max(STRETCH_BYTES, 2 * window), 1 << POSITION_BITS)
+    if size < window:
+        raise ValueError(f"windows of over {size} bytes")
+    found = []
+    for start in range(0, max(1, len(data) - window + 1), size - window + 1):
+        first, last, anchor, hashes = _stretch_anchors(data[start : start + size], ends - start, window, gram)
+        found.append((first + start, last + start, anchor + start, hashes))
+    if len(found) == 1:
+        return found[0]
+    first, last, anchor, hashes = map(np.concatenate, zip(*found))
+    if not len(first):
+        return first, last, anchor, hashes
+    # An anchor lies inside the text of its windows, so one anchor is one text.
+    new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    return first[new], last[np.r_[new[1:] - 1, len(first) - 1]], anchor[new], hashes[new]
+
+
+def _stretch_anchors(data: np.ndarray, ends: np.ndarray, window: int, gram: int):
+    """The same for at most 2**POSITION_BITS bytes; ``ends`` may lie outside of them."""
     none = np.zeros(0, np.int64)
     if len(data) < window:
         return none, none, none, none

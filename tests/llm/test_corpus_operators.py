@@ -70,6 +70,33 @@ def test_repeated_substrings_without_rows_and_with_repeated_rows(spark):
     assert [(r.n_removed, r.n_spans) for r in rows] == [(100, 1)] * 2
 
 
+@pytest.mark.parametrize("bits", [7, 8, 10])
+def test_anchors_of_texts_longer_than_a_position_holds(monkeypatch, bits):
+    rng = random.Random(bits)
+    texts = [(t or "").encode() for t in some_texts(bits)] + [bytes(rng.choices(b"abcd", k=3000))] * 2
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    whole = suffix_arrays.window_anchors(data, ends, 80, 32)
+    monkeypatch.setattr(suffix_arrays, "POSITION_BITS", bits)
+    parts = suffix_arrays.window_anchors(data, ends, 80, 32)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, parts)) and len(whole[0]) > 100
+    # Each window lies in one run, whose anchor is inside it.
+    first, last, anchor, _ = parts
+    starts = np.concatenate([np.arange(a, z + 1) for a, z in zip(first, last)])
+    assert starts.tolist() == [s + i for s, t in zip(np.r_[0, ends[:-1]].tolist(), texts) for i in range(len(t) - 79)]
+    assert (anchor >= last).all() and (anchor + 32 <= first + 80).all()
+    with pytest.raises(ValueError):
+        suffix_arrays.window_anchors(data, ends, 2**bits + 1, 32)
+
+
+def test_repeats_beyond_eight_mebibytes_of_a_text(spark):
+    rng = np.random.default_rng(8)
+    letters = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    one, two = letters(700), letters(600)
+    texts = [letters((1 << 23) + 5000) + one + "-" + two + letters(100), "<" + one + ">", letters(50) + two]
+    rows = {r.doc_id: (r.n_removed, r.n_spans) for r in substrings.without_repeats(frame(spark, texts)).select("doc_id", "n_removed", "n_spans").collect()}
+    assert rows == {0: (1300, 2), 1: (700, 1), 2: (600, 1)}
+
+
 def test_suffix_arrays_and_common_prefixes():
     rng = np.random.default_rng(1)
     for n in (1, 2, 60, 300):
