@@ -174,10 +174,18 @@ def duplicate_ids(rows: DataFrame, key: str = "custom_id") -> DataFrame:
 
 
 def message_text(content: Column) -> Column:
-    """Text of a message that is a string, or a JSON list of parts whose text parts are joined by lines."""
-    parts = F.from_json(content, "array<struct<type:string,text:string>>")
+    """Text of a message that is a string, or a JSON list of parts whose text parts are joined by lines.
+
+    A list of parts is the whole content, and each of its elements is an object with a type. Any other content is
+    plain text, whatever it begins with.
+    """
+    kind, strict = "array<struct<type:string,text:string>>", {"allowSingleQuotes": "false"}
+    # The parser stops after the first value; only a value without a tail is an element of both.
+    field = F.from_json(F.concat(F.lit('{"c":'), content, F.lit("}")), f"struct<c:{kind}>", strict)["c"]
+    alone = F.size(F.from_json(F.concat(F.lit("["), content, F.lit("]")), f"array<{kind}>", strict)) == 1
+    parts = F.when(F.trim(content).startswith("["), F.when(alone, field))
     listed = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "text"), lambda p: blank(p["text"])), "\n")
-    return F.trim(F.when(F.trim(content).startswith("["), listed).otherwise(blank(content)))
+    return F.trim(F.when(F.forall(parts, lambda p: p["type"].isNotNull()), listed).otherwise(blank(content)))
 
 
 def candidates_text(response: Column) -> Column:
