@@ -29,20 +29,43 @@ def node_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.coalesce(query, F.lit(""))))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments."""
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.split(F.regexp_replace(path, "^/", ""), "/", -1), F.array().cast("array<string>"), step)
+    last = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), last)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute form of a target found on the page ``url``; null for other schemes and for the page itself."""
+    scheme, authority = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1), host_of(url)
+    path, tail = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(?s:(.*))$", 1)
+    folder = F.regexp_extract(path_of(url), r"^(?s:(.*/))", 1)
+    at = lambda x: F.concat(scheme, F.lit("://"), authority, x)
+    return (
+        F.when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("/"), at(F.concat(_without_dots(path), tail)))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when((target == "") | target.startswith("#") | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(target.startswith("?"), at(F.concat(path_of(url), target)))
+        .otherwise(at(F.concat(_without_dots(F.concat(folder, path)), tail)))
+    )
+
+
 def alias_targets(html: Column, url: Column) -> Column:
-    """Absolute urls that a page names as its canonical link or as the target of a refresh."""
+    """Absolute urls that a page names as its canonical link or as the target of a refresh.
+
+    Relative targets start at the page's url; a ``<base>`` element is not read.
+    """
     attribute = r"""(?is)\b%s\s*=\s*["']?\s*([^"'\s>]+)"""
     links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), 0), lambda x: x.rlike(r"""(?i)\brel\s*=\s*["']?\s*canonical\b"""))
     canonical = F.transform(links, lambda x: F.regexp_extract(x, attribute % "href", 1))
     metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), 0), lambda x: x.rlike(r"""(?i)http-equiv\s*=\s*["']?\s*refresh\b"""))
-    refresh = F.transform(metas, lambda x: F.regexp_extract(x, r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)""", 1))
-    scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    absolute = lambda x: (
-        F.when(x.startswith("//"), F.concat(scheme, F.lit(":"), x))
-        .when(x.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), x))
-        .when(x.contains("://"), x)
-    )
-    return F.array_compact(F.transform(F.concat(canonical, refresh), absolute))
+    refresh = F.transform(metas, lambda x: F.regexp_extract(x, r"""(?is)\burl\s*=\s*["']?\s*((?:&(?:amp|#0*38|#x0*26);|[^"'\s>;])+)""", 1))
+    decoded = F.transform(F.concat(canonical, refresh), lambda x: F.regexp_replace(x, "&(?i:amp|#0*38|#x0*26);", "&"))
+    return F.array_compact(F.transform(decoded, lambda x: resolved(x, url)))
 
 
 def rule_matches(hosts: DataFrame, rules: DataFrame) -> DataFrame:

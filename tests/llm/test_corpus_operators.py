@@ -217,6 +217,24 @@ def test_url_verdicts_reach_aliases(spark):
     assert urls.judge(df.limit(0), rules).collect() == []
 
 
+def test_relative_and_encoded_url_aliases(spark):
+    page, link = "http://H.test/a/b/c.html?q=1#f", '<link rel="canonical" href="%s">'
+    want = {
+        "page.html": "h.test/a/b/page.html", "../a": "h.test/a/a", "?p=2": "h.test/a/b/c.html?p=2", "./x/../y?u=http://z.test": "h.test/a/b/y?u=http://z.test", "..": "h.test/a",
+        "../../../top": "h.test/top", "/r/../s?a=1&amp;b=2": "h.test/s?a=1&b=2", "//o.test/x": "o.test/x", "https://o.test/y?a=1&#38;b=2": "o.test/y?a=1&b=2", "#f": None, "mailto:a@b.test": None,
+    }
+    html = {t: link % t for t in want} | {"refresh": '<meta http-equiv="refresh" content="0; url=d.html?a=1&amp;b=2; x">'}
+    df = spark.createDataFrame([(t, page, h) for t, h in html.items()], "t string, url string, html string")
+    df = df.select("t", F.transform(urls.alias_targets(F.col("html"), F.col("url")), urls.node_of).alias("nodes"))
+    got = {r.t: r.nodes for r in df.collect()}
+    assert got == {t: [n] if n else [] for t, n in want.items()} | {"refresh": ["h.test/a/b/d.html?a=1&b=2"]}
+    bare = spark.createDataFrame([("http://h.test", link % "x")], "url string, html string")
+    assert bare.select(F.transform(urls.alias_targets(F.col("html"), F.col("url")), urls.node_of)).first()[0] == ["h.test/x"]
+    pages = spark.createDataFrame([(1, "http://e.test/d/p", link % "../q?a=1&amp;b=2"), (2, "http://e.test/q?a=1&b=2", link % "http://d.com/de/1"), (3, "http://d.com/de/1", "")], "page_id long, url string, html string")
+    rules = spark.createDataFrame([("com", "/de/", "block")], "host string, path string, verdict string")
+    assert {r.page_id: r.verdict for r in urls.judge(pages, rules).collect()} == {1: "block", 2: "block", 3: "block"}
+
+
 def brute_components(n, edges):
     label = list(range(n))
     changed = True
