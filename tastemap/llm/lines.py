@@ -32,8 +32,8 @@ def drop_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_d
     ``keep_first`` the first occurrence in order of document key and position stays.
 
     Key hashes are range-partitioned with document and position as the lower sort columns, so a line that
-    fills a third of the corpus spreads over many ranges; each range streams its first occurrences and
-    counts, which a second small step merges.
+    fills a third of the corpus spreads over many ranges. First occurrences and counts do not stream out of the
+    sorted ranges: hash aggregates find them, partly before a shuffle, from the ranges that were written.
 
     A document is a row; rows equal in id and text are one document. Null text is one empty line.
     """
