@@ -163,7 +163,8 @@ def candidate_evidence(evidence: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def candidate_captions(captions: DataFrame, mapping: DataFrame, rules: DataFrame | None = None, handles: list[str] = ()) -> DataFrame:
-    """Public captions: images renumbered in their order, summaries scrubbed. Unknown models are an error."""
+    """Public captions: images renumbered in their order, summaries scrubbed. Unknown models and captions without a user are errors."""
+    captions = captions.withColumn("user_id", F.coalesce("user_id", F.raise_error(F.lit("Caption without a user")).cast("string")))
     images = captions.groupBy("user_id", "image_id").agg(F.min("image_index").alias("image_index"))
     numbered = with_position(images, ["user_id"], ["image_index", "image_id"], index_buckets("image_index"), "_serial").select("user_id", "image_id", "_serial")
     rows = scrub(captions, rules, handles, column="summary").join(numbered, ["user_id", "image_id"])
