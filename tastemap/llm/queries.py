@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
-from . import bpe, calls, decontaminate, grace, jaccard, lines, quality, substrings, toxicity, urls
+from . import bpe, calls, decontaminate, grace, jaccard, lines, merkle, quality, substrings, toxicity, urls
 from .common import table
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -142,6 +142,40 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _field_sql(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _row_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Unsigned crc32 of the decimal id: eight shifts for each byte.
+_CRC32 = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+  lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT))"""
+
+
+@query("op11_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || source, '') AS t, {_row_sql("text")} AS leaf,
+  CASE WHEN {_CRC32} % 2 = 0 THEN {_row_sql("replace(text, chr(10), '')")} END AS other FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM d),
+up(t, k, i, n, h) AS (SELECT t, 0, i, n, leaf FROM l UNION ALL SELECT t, k + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY t, k, n, i // 3),
+sub AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top(k, i, n, h) AS (SELECT 0, i, n, h FROM sub UNION ALL SELECT k + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY k, n, i // 3),
+runs AS (SELECT t, k, i // 3 AS r, list(h ORDER BY i) AS hs FROM up WHERE n > 1 GROUP BY ALL),
+top_runs AS (SELECT k, i // 3 AS r, list(h ORDER BY i) AS hs FROM top WHERE n > 1 GROUP BY ALL),
+way(doc_id, t, leaf, k, i, n, proof, h) AS (SELECT doc_id, t, leaf, 0, i, n, '', coalesce(other, leaf) FROM l
+  UNION ALL SELECT doc_id, w.t, leaf, w.k + 1, i // 3, (n + 2) // 3, proof || array_to_string(hs[:i % 3], '') || array_to_string(hs[i % 3 + 2:], ''),
+    sha256(array_to_string(hs[:i % 3], '') || w.h || array_to_string(hs[i % 3 + 2:], '')) FROM way w JOIN runs ON w.t = runs.t AND w.k = runs.k AND i // 3 = r),
+way2(doc_id, t, leaf, subroot, k, i, n, proof, h) AS (SELECT doc_id, w.t, leaf, sub.h, 0, sub.i, sub.n, proof, w.h FROM way w JOIN sub USING (t) WHERE w.n = 1
+  UNION ALL SELECT doc_id, t, leaf, subroot, w.k + 1, i // 3, (n + 2) // 3, proof || array_to_string(hs[:i % 3], '') || array_to_string(hs[i % 3 + 2:], ''),
+    sha256(array_to_string(hs[:i % 3], '') || h || array_to_string(hs[i % 3 + 2:], '')) FROM way2 w JOIN top_runs ON w.k = top_runs.k AND i // 3 = r)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = (SELECT h FROM top WHERE n = 1) AS verified FROM way2 WHERE n = 1
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # at the top of the repository, above this package
