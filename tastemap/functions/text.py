@@ -257,3 +257,8 @@ def f1(precision: Column, recall: Column) -> Column:
 def digest(*fields: Column) -> Column:
     """Content hash of a canonical JSON object; give the fields in name order."""
     return F.sha2(F.to_json(F.struct(*fields)), 256)
+
+
+def literal(text: Column) -> Column:
+    """A pattern that matches the text itself, whatever characters it holds."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))

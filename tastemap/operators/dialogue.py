@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.fuzzy import best_window_ratio
-from ..functions.text import blank, dialogue_label, nonblank, response_form, round4, word_count
+from ..functions.text import blank, dialogue_label, literal, nonblank, response_form, round4, word_count
 from .judging import DIALOGUE_WEIGHTS, weighted
 from .ranking import top_rows
 
@@ -218,7 +218,7 @@ def recommended(label: Column, text: Column) -> Column:
     """
     body = F.replace(F.lower(F.trim(blank(text))), F.lit("_"), F.lit(" "))
     phrase = F.replace(F.lower(F.trim(blank(label))), F.lit("_"), F.lit(" "))
-    pieces = F.split(body, F.concat(F.lit(r"\Q"), phrase, F.lit(r"\E")), -1)
+    pieces = F.split(body, literal(phrase), -1)
     n, size = F.length(phrase), F.length(body)
     before = F.transform(
         F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: i < F.size(pieces)),
@@ -267,13 +267,22 @@ def format_ok(text: Column) -> Column:
     return F.length(F.trim(blank(text))) >= 24
 
 
-def scored_turns(turns: DataFrame, responses: DataFrame) -> DataFrame:
-    """Rule scores of the responses ``(model, user_id, turn_id, response)`` to the gold turns.
+def run_models(responses: DataFrame, most: int = 1000) -> list[str]:
+    """Models of a run, from its configuration's size: more than ``most`` are an error."""
+    found = [r[0] for r in responses.select("model").distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"a run has {most} models at most")
+    return sorted(m for m in found if m is not None)
 
-    A turn without a response is scored as an empty one.
+
+def scored_turns(turns: DataFrame, responses: DataFrame, models: list[str] | None = None) -> DataFrame:
+    """Rule scores of the responses ``(model, user_id, turn_id, response)`` to the gold turns, for every model of the run.
+
+    ``models`` are those that responded if none are named. A turn without a response of a model is scored as an empty one.
     """
     keys = ["user_id", "turn_id"]
-    rows = turns.join(responses, keys, "left").withColumn("response", F.trim(blank(F.col("response"))))
+    every = F.array(*[F.lit(m) for m in (run_models(responses) if models is None else models)]).cast("array<string>")
+    rows = turns.withColumn("model", F.explode(every)).join(responses, ["model", *keys], "left").withColumn("response", F.trim(blank(F.col("response"))))
     rows = rows.withColumn("_body", response_form(F.col("response")))
     for kind in ("required", "anchor", "optional", "forbidden"):
         rows = rows.withColumn(f"{kind}_labels", clean_labels(F.col(f"{kind}_labels")))

@@ -1,6 +1,8 @@
 """Controlled interventions: job grid, wrong-profile control, score summaries, bootstraps."""
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import digest, ratio, round6
-from .ranking import index_buckets, with_position
+from ..session import cut_lineage
+from .ranking import nth_row, with_position
 
 # Conditions, intents, contrasts, resamples and seed of the experiment.
 CONDITIONS = ["no_context", "timeline", "predicted_profile", "gold_profile", "wrong_profile"]
@@ -92,9 +95,11 @@ def estimate(n_chars: Column, n_messages: int, price_in: Column, price_out: Colu
 
 
 def pilot_users(users: DataFrame, length: str) -> DataFrame:
-    """Shortest, median and longest timeline."""
-    placed = with_position(users, [], [length, "user_id"], index_buckets(length, 64), "_at", "_n")
-    return placed.filter((F.col("_at") == 0) | (F.col("_at") == F.floor(F.col("_n") / 2)) | (F.col("_at") == F.col("_n") - 1)).drop("_at", "_n")
+    """Shortest, median and longest timeline, ties in the order of ids."""
+    users = cut_lineage(users)
+    n = users.count()
+    rows = [nth_row(users, [length, "user_id"], k) for k in sorted({0, n // 2, n - 1}) if n]
+    return functools.reduce(DataFrame.unionByName, rows) if rows else users
 
 
 def eligible(profiles: DataFrame, intent: str) -> DataFrame:
@@ -287,7 +292,7 @@ def cached_captions(cache: DataFrame, model: str, prompt_version: str) -> DataFr
     rows = cache.filter((F.col("model_name") == model) & (F.col("prompt_version") == prompt_version) & (F.size(path) >= 3))
     rows = rows.filter(F.element_at(path, -2) == "media").select(F.element_at(path, -3).alias("user_dir"), F.element_at(path, -1).alias("file_name"), "summary", "visible_text")
     value = F.struct("summary", "visible_text")
-    return rows.groupBy("user_dir", "file_name").agg(F.first("summary").alias("summary"), F.first("visible_text").alias("visible_text"), (F.countDistinct(value) > 1).alias("conflict"))
+    return rows.groupBy("user_dir", "file_name").agg(F.min(value).alias("v"), (F.countDistinct(value) > 1).alias("conflict")).select("user_dir", "file_name", "v.summary", "v.visible_text", "conflict")
 
 
 def caption_coverage(media: DataFrame, captions: DataFrame) -> DataFrame:

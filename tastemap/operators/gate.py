@@ -180,10 +180,17 @@ def evidence_metadata(evidence: Column, given: Column, given_counts: Column):
     return modalities, F.map_filter(pairs, lambda _, v: v > 0)
 
 
-def kept_posts(posts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Posts with a profile that is neither noise nor unusable."""
+def last_posts(posts: DataFrame, order: str = "created_at") -> DataFrame:
+    """One row per (user, post): the last one in ``order``, where an id occurs again."""
+    rest = [c for c in posts.columns if c not in ("user_id", "post_id")]
+    last = posts.groupBy("user_id", "post_id").agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return last.select("user_id", "post_id", *[F.col("_last")[c].alias(c) for c in rest])
+
+
+def kept_posts(posts: DataFrame, profiles: DataFrame, order: str = "created_at") -> DataFrame:
+    """Posts with a profile that is neither noise nor unusable; of a repeated id the last post counts."""
     usable = profiles.filter(~F.col("is_noise") & F.col("should_use_for_profile"))
-    return posts.join(usable, ["user_id", "post_id"])
+    return last_posts(posts, order).join(usable, ["user_id", "post_id"])
 
 
 def domain_records(kept: DataFrame) -> DataFrame:

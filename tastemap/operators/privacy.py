@@ -4,14 +4,18 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import compatibility_form
+from ..functions.text import compatibility_form, literal
 from ..session import cut_lineage
+from .ranking import global_positions
 
 # Placeholders, identifier patterns in their order, and calendar and path patterns.
 PLACEHOLDER_NAMES = [
@@ -85,22 +89,40 @@ def placeholder_hits(before: Column, after: Column, names: list[str]) -> list[Co
     ]
 
 
+#: Counters of a scrub and the placeholder each pattern leaves.
+COUNTED = {**{name: placeholder[1:-1] for name, _, placeholder in IDENTIFIERS}, "private_path": "PATH"}
+
+
+def _counted(before: Column, after: Column, names: list[str]) -> dict[str, Column]:
+    hits = placeholder_hits(before, after, [COUNTED[n] for n in names])
+    return dict(zip(names, hits))
+
+
 @functools.lru_cache(maxsize=1 << 14)
 def _term_pattern(term: str) -> re.Pattern:
     """A placeholder, or the term between word boundaries in any case."""
     return re.compile(rf"(?P<held>{PLACEHOLDER})|(?<!\w)(?i:{re.escape(term)})(?!\w)")
 
 
-@pandas_udf(T.StringType())
-def replace_terms(text: pd.Series, rules: pd.Series) -> pd.Series:
-    """Each text under its own rules, in their order; placeholders are stepped over."""
+@pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType())]))
+def replace_terms(text: pd.Series, rules: pd.Series) -> pd.DataFrame:
+    """Each text under its own rules, in their order, and the number of replacements; placeholders are stepped over."""
 
     def changed(value, found):
+        total = 0
         for rule in found:
-            value = _term_pattern(rule["form"]).sub(lambda m, new=rule["replacement"]: m.group() if m["held"] else new, value)
-        return value
+            hits = 0
 
-    return pd.Series([t if r is None or t is None else changed(t, r) for t, r in zip(text, rules)], dtype="object")
+            def put(m, new=rule["replacement"]):
+                nonlocal hits
+                hits += not m["held"]
+                return m.group() if m["held"] else new
+
+            value = _term_pattern(rule["form"]).sub(put, value)
+            total += hits
+        return value, total
+
+    return pd.DataFrame([(t, 0) if r is None or t is None else changed(t, r) for t, r in zip(text, rules)], columns=["text", "n"]).astype({"n": "int32"})
 
 
 def _words(text: Column) -> Column:
@@ -141,7 +163,7 @@ def _rules_by_word(rules: DataFrame) -> DataFrame:
         found = found.union(new)
 
 
-def scrub(texts: DataFrame, rules: DataFrame | None = None, handles: list[str] = (), calendar: bool = True, column: str = "text") -> DataFrame:
+def scrub(texts: DataFrame, rules: DataFrame | None = None, handles: list[str] = (), calendar: bool = True, column: str = "text", counts: bool = False) -> DataFrame:
     """Scrub ``column`` of rows with ``user_id``.
 
     ``rules``: reviewed ``(scope, kind, term, replacement)``; scope is a user or null for all, kind is ``replace``
@@ -150,12 +172,17 @@ def scrub(texts: DataFrame, rules: DataFrame | None = None, handles: list[str] =
     the text as the one before has left it. An empty term, or one without replacement, is an error.
 
     Rules of any number meet the texts in a join on words; a text carries only those it has a word of. Rewrites
-    are joined by hash and compared. Adds ``scrubbed``, ``was_rewritten``.
+    are joined by hash and compared. Adds ``scrubbed``, ``was_rewritten``, and with ``counts`` a struct ``hits``: the
+    replacements by pattern, ``keyword`` (terms), ``reviewed_rewrite`` and ``changed`` of the row, counted in the same pass.
     """
-    out = texts.withColumn("_t", drop_marker(mask_identifiers(compatibility_form(F.col(column))))).withColumn("was_rewritten", F.lit(False))
+    out = texts.withColumn("_p", compatibility_form(F.col(column))).withColumn("_m", mask_identifiers(F.col("_p")))
+    out = out.withColumn("_t", drop_marker(F.col("_m"))).withColumn("was_rewritten", F.lit(False)).withColumn("_keyword", F.lit(0))
+    found = list(dict.fromkeys(n for n, _, _ in IDENTIFIERS))
+    if counts:
+        out = out.withColumn("hits", F.struct(*[c.alias(n) for n, c in _counted(F.col("_p"), F.col("_m"), found).items()]))
+    out = out.drop("_p", "_m")
     if rules is None and not handles:
-        final = drop_marker(F.col("_t"))
-        return out.withColumn("scrubbed", mask_calendar(final) if calendar else final).drop("_t")
+        return _finished(out.withColumn("_c", drop_marker(F.col("_t"))), calendar, column, counts)
     if rules is None:
         rules = texts.sparkSession.createDataFrame([], "scope string, kind string, term string, replacement string")
     else:
@@ -176,9 +203,19 @@ def scrub(texts: DataFrame, rules: DataFrame | None = None, handles: list[str] =
     hits = said.join(terms, "word").filter("scope is null or scope = user_id")
     hits = hits.groupBy("_key", "term", "form").agg(F.max(F.struct("rank", "replacement"))["replacement"].alias("replacement"))
     by_text = hits.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct((-F.length("term")).alias("place"), "term", "form", "replacement"))).alias("_rules"))
-    final = drop_marker(replace_terms("_t", "_rules"))
-    out = out.join(by_text, "_key", "left").withColumn("scrubbed", final)
-    return (out.withColumn("scrubbed", mask_calendar(F.col("scrubbed"))) if calendar else out).drop("_t", "_key", "_rules")
+    out = out.join(by_text, "_key", "left").withColumn("_replaced", replace_terms("_t", "_rules")).withColumn("_keyword", F.col("_replaced.n"))
+    return _finished(out.withColumn("_c", drop_marker(F.col("_replaced.text"))).drop("_key", "_rules", "_replaced"), calendar, column, counts)
+
+
+def _finished(out: DataFrame, calendar: bool, column: str, counts: bool) -> DataFrame:
+    """The calendar step, and the counters of all steps."""
+    out = out.withColumn("scrubbed", mask_calendar(F.col("_c")) if calendar else F.col("_c"))
+    if counts:
+        late = _counted(F.col("_c"), F.col("scrubbed"), ["date", "private_path"])
+        known = {n: F.col(f"hits.{n}") for n in COUNTED if n != "private_path"}
+        sums = {**known, "date": known["date"] + late["date"], "private_path": late["private_path"], "keyword": F.col("_keyword"), "reviewed_rewrite": F.col("was_rewritten").cast("int"), "changed": (~F.col(column).eqNullSafe(F.col("scrubbed"))).cast("int")}
+        out = out.withColumn("hits", F.struct(*[c.cast("long").alias(n) for n, c in sums.items()]))
+    return out.drop("_t", "_c", "_keyword")
 
 
 def residual_patterns(text: Column) -> Column:
@@ -200,10 +237,10 @@ def checked_proposals(proposals: DataFrame) -> DataFrame:
     A span must occur literally in its record, change something, and touch no placeholder.
     """
     text, find = F.col("text"), F.col("find")
-    whole = F.size(F.split(text, F.concat(F.lit(r"\Q"), find, F.lit(r"\E")), -1)) - 1
+    whole = F.size(F.split(text, literal(find), -1)) - 1
     # A hit that touches a placeholder vanishes or breaks when placeholders turn into a mark.
     bare = F.regexp_replace(text, PLACEHOLDER, "￼")
-    clear = F.size(F.split(bare, F.concat(F.lit(r"\Q"), find, F.lit(r"\E")), -1)) - 1
+    clear = F.size(F.split(bare, literal(find), -1)) - 1
     reason = (
         F.when(text.isNull(), "unknown_record")
         .when(find.isNull() | (find == "") | (F.instr(text, find) == 0) | F.col("replace").isNull(), "nonliteral_or_invalid_span")
@@ -253,40 +290,84 @@ def compiled_rewrites(actions: DataFrame) -> DataFrame:
     return spans.select("text", rewrite_once("text", "edits").alias("rewritten")).filter("text != rewritten")
 
 
-def review_batches(records: DataFrame, tokens: Column, max_rows: int = 200, max_tokens: int = 16000, per_bucket: int = 1 << 20) -> DataFrame:
-    """Review batches with at most ``max_rows`` rows and about ``max_tokens`` tokens.
+def review_batches(records: DataFrame, tokens: Column, max_rows: int = 200, max_tokens: int = 16000, block: int = 8192) -> DataFrame:
+    """``records`` with ``batch``, the number of the review batch each belongs to in order of ``record_id``.
 
-    Rows are spread over hash buckets sized from a token sum, so a bucket never outgrows a
-    task, and each bucket is packed on its own by running totals of capped weights: a row
-    weighs its share of either limit, and a batch takes half-full slots, so no batch
-    exceeds a limit unless a single row does.
+    A batch takes consecutive records while it holds at most ``max_rows`` rows and ``max_tokens`` tokens; a record
+    above the limit is a batch of its own. Every record points to the one that would start the next batch if a
+    batch started with it; that follows from running sums alone. Inside a block of consecutive records the pointers
+    are followed at once, so that each possible entry of a block (its first ``max_rows`` records at most) points to an
+    entry of a later block. The entries taken from the first record on are found by doubling these pointers: the
+    rounds grow with the logarithm of the blocks, and no task holds more than one block.
+    """
+    sized = records.withColumn("_n", F.coalesce(tokens, F.lit(0)).cast("long"))
+    placed = cut_lineage(global_positions(sized, ["record_id"], "_p", {"_before": "_n"}).withColumn("_b", F.expr(f"_p div {block}")))
+    steps = cut_lineage(_next_starts(placed.select("_b", "_p", "_before", "_n"), max_rows, max_tokens, block))
+    exits = steps.groupBy("_b").applyInArrow(_block_exits(max_rows, block), "_p long, _to long")
+    entries = _taken_entries(cut_lineage(exits.filter("_to is not null")))
+    starts = steps.join(entries.select(F.expr(f"_p div {block}").alias("_b"), F.col("_p").alias("_entry")), "_b", "left")
+    marked = cut_lineage(starts.groupBy("_b").applyInArrow(_block_starts, "_b long, _p long, _start boolean"))
+    counts = marked.groupBy("_b").agg(F.sum(F.col("_start").cast("long")).alias("_s"))
+    offsets = global_positions(counts, ["_b"], "_i", {"_earlier": "_s"}).select("_b", "_earlier")
+    inside = W.partitionBy("_b").orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
+    numbered = marked.join(offsets, "_b").select("_p", (F.col("_earlier") + F.sum(F.col("_start").cast("long")).over(inside) - 1).alias("batch"))
+    return placed.join(numbered, "_p").drop("_b", "_p", "_before", "_n")
+
+
+def _next_starts(placed: DataFrame, max_rows: int, max_tokens: int, block: int) -> DataFrame:
+    """(_b, _p, _next): the record that starts the next batch after one that starts with ``_p``.
+
+    The running sum before a record is its sum of all earlier ones, so the last record whose sum lies within
+    ``max_tokens`` of this one is the first that may not fit. A block borrows the first rows of the next one.
     """
-    sized = records.withColumn("_n", tokens)
-    total = sized.agg(F.sum("_n").alias("t")).first()["t"] or 0
-    buckets = max(1, int(total // per_bucket) + 1)
-    weight = F.greatest(F.col("_n") / max_tokens, F.lit(1.0) / max_rows)
-    placed = sized.withColumn("_b", F.pmod(F.xxhash64("record_id"), F.lit(buckets))).withColumn("_w", F.least(weight, F.lit(1.0)))
-    packed = placed.groupBy("_b").applyInPandas(_packer(max_rows, max_tokens), _pack_schema(placed))
-    return packed.withColumn("batch", F.concat_ws("_", F.lit("batch"), "_b", "_i")).drop("_b", "_i", "_w", "_n")
-
-
-def _pack_schema(df: DataFrame) -> T.StructType:
-    return T.StructType([*df.schema.fields, T.StructField("_i", T.IntegerType())])
-
-
-def _packer(max_rows: int, max_tokens: int):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Greedy fill in record order, as long as both limits hold."""
-        pdf = pdf.sort_values("record_id")
-        batch, rows, size, out = 0, 0, 0, []
-        for n in pdf["_n"]:
-            if rows and (rows >= max_rows or size + n > max_tokens):
-                batch, rows, size = batch + 1, 0, 0
-            out.append(batch)
-            rows, size = rows + 1, size + n
-        return pdf.assign(_i=pd.Series(out, index=pdf.index, dtype="int32"))
-
-    return pack
+    after = placed.filter(F.col("_p") % block < max_rows + 1).filter(F.col("_p") >= block).withColumn("_b", F.col("_b") - 1)
+    tail = placed.agg(F.max_by(F.struct("_b", "_p", "_before", "_n"), "_p").alias("t")).filter("t is not null")  # a place behind the last record
+    tail = tail.select(F.explode(F.array(F.col("t._b"), F.col("t._b") - 1)).alias("_b"), (F.col("t._p") + 1).alias("_p"), (F.col("t._before") + F.col("t._n")).alias("_before"), F.lit(0).cast("long").alias("_n"))
+    near = placed.withColumn("_own", F.lit(True)).unionByName(after.unionByName(tail).withColumn("_own", F.lit(False)))
+    fits = W.partitionBy("_b").orderBy("_before").rangeBetween(0, max_tokens)
+    reach = F.greatest(F.col("_p") + 1, F.max("_p").over(fits))
+    return near.withColumn("_next", F.least(F.col("_p") + max_rows, reach)).filter("_own").select("_b", "_p", "_next")
+
+
+def _block_exits(max_rows: int, block: int):
+    def exits(table: pa.Table) -> pa.Table:
+        """Where the way from each possible entry leaves the block; the block's end is settled first."""
+        p, after = (table.column(c).to_numpy() for c in ("_p", "_next"))
+        order = np.argsort(p)
+        p, after = p[order], after[order]
+        leave = after.copy()
+        for k in range(len(p) - 1, -1, -1):
+            if after[k] <= p[-1]:
+                leave[k] = leave[after[k] - p[0]]
+        # The last block is not full; its ways lead nowhere.
+        to = pa.array(leave[:max_rows], mask=np.full(min(max_rows, len(p)), len(p) < block))
+        return pa.table({"_p": pa.array(p[:max_rows]), "_to": to})
+
+    return exits
+
+
+def _taken_entries(jumps: DataFrame) -> DataFrame:
+    """Entries on the way from record 0: those reached double with each round, as do the steps of a pointer."""
+    taken = jumps.sparkSession.range(1).select(F.col("id").alias("_p"))
+    while not jumps.isEmpty():
+        found = taken.join(jumps, "_p").select(F.col("_to").alias("_p"))
+        taken = cut_lineage(taken.union(found).distinct())
+        far = jumps.select(F.col("_p").alias("_to"), F.col("_to").alias("_far"))
+        jumps = cut_lineage(jumps.join(far, "_to").select("_p", F.col("_far").alias("_to")))
+    return taken
+
+
+def _block_starts(table: pa.Table) -> pa.Table:
+    """Which records of a block start a batch, from the block's entry on."""
+    b, p, after, entry = (table.column(c).to_numpy() for c in ("_b", "_p", "_next", "_entry"))
+    order = np.argsort(p)
+    b, p, after = b[order], p[order], after[order]
+    start = np.zeros(len(p), bool)
+    at = entry[0]  # nan where a batch spans the whole block
+    while at <= p[-1]:
+        start[int(at - p[0])] = True
+        at = after[int(at - p[0])]
+    return pa.table({"_b": pa.array(b), "_p": pa.array(p), "_start": pa.array(start)})
 
 
 def distinct_texts(texts: DataFrame, order: list[str]) -> DataFrame:

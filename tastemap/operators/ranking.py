@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def with_position(
     df: DataFrame,
@@ -71,3 +73,72 @@ def first_rows(df: DataFrame, keys: list[str], order: Column, columns: list[str]
     """First row per key as a partial aggregate (map-side combine, no sort)."""
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), order).alias("_first"))
     return picked.select(*keys, *[F.col("_first")[c].alias(c) for c in columns])
+
+
+def global_positions(df: DataFrame, order: list[Column | str], name: str = "position", running: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with the 0-based place of each row in the whole order, and for each ``running`` (new name: column) the
+    sum of the rows before it.
+
+    Rows are range-partitioned and sorted once; offsets of the ranges come from one small row a range. Rows that
+    tie in ``order`` may swap.
+    """
+    sums = running or {}
+    ranged = df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
+    ranged = cut_lineage(ranged)
+    ranges = ranged.groupBy("_range").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()])
+    before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    earlier = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    ranges = ranges.select("_range", (earlier("_n") - F.col("_first")).alias("_shift"), *[earlier(f"_s_{n}").alias(f"_b_{n}") for n in sums])
+    out = ranged.join(ranges, "_range").withColumn(name, F.col("_row") + F.col("_shift"))
+    inside = W.partitionBy("_range").orderBy("_row").rowsBetween(W.unboundedPreceding, -1)
+    for n, c in sums.items():
+        out = out.withColumn(n, F.col(f"_b_{n}") + F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    return out.drop("_range", "_row", "_shift", *[f"_b_{n}" for n in sums])
+
+
+#: Rows that one task sorts at most to end a selection, and bars of a histogram.
+FEW, BARS = 10_000, 1024
+
+
+def nth_row(df: DataFrame, order: list[str], k: int, few: int = FEW) -> DataFrame:
+    """The row at the 0-based place ``k`` of an order by whole numbers and texts, found without a sort of the table.
+
+    A histogram over the range of the first column (numbers in ``BARS`` bars, texts by the character after
+    their common start) tells which bar holds the place; only its rows are looked at next, then the next column
+    once all agree. What is left below ``few`` rows is sorted. Each pass is a partial aggregate with as many rows
+    as there are bars. Nulls come first. Rows equal in all columns are interchangeable.
+    """
+    order = list(order)
+    while True:
+        if not order:
+            return df.limit(1)
+        name, rest = order[0], order[1:]
+        kind = dict(df.dtypes)[name]
+        c = F.col(name)
+        row = df.agg(F.count("*").alias("n"), F.count(c).alias("filled"), F.min(c).alias("low"), F.max(c).alias("high")).first()
+        if k >= row["n"]:
+            return df.limit(0)
+        nulls = row["n"] - row["filled"]
+        if nulls:
+            if k < nulls:
+                df, order = df.filter(c.isNull()), rest
+                continue
+            df, k = df.filter(c.isNotNull()), k - nulls
+        if row["low"] == row["high"]:
+            order = rest
+            continue
+        if row["filled"] <= few:
+            last = df.orderBy(*order).limit(k + 1).withColumn("_place", F.row_number().over(W.orderBy(*order)))
+            return last.filter(F.col("_place") == k + 1).drop("_place")
+        if kind == "string":
+            low, high = row["low"].encode(), row["high"].encode()
+            same = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+            # Bytes in order; a text that ends here comes before all that go on.
+            bar = F.substring(c.cast("binary"), same + 1, 1)
+        else:
+            bar = F.floor((c - F.lit(row["low"])) / ((row["high"] - row["low"]) // BARS + 1))
+        for found in sorted(df.groupBy(bar.alias("bar")).agg(F.count("*").alias("n")).collect(), key=lambda r: r["bar"]):
+            if k < found["n"]:
+                df = df.filter(bar == F.lit(found["bar"]))
+                break
+            k -= found["n"]

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CAPTION_MODELS, DOMAINS
-from .privacy import residual_patterns, scrub
+from ..sources.files import manifest_problems
+from .privacy import COUNTED, residual_patterns, scrub
 from .ranking import index_buckets, top_rows, with_position
 from .timeline import phases, relative_days
 
@@ -106,13 +107,19 @@ def mapping_problems(mapping: DataFrame, users: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, checks).distinct()
 
 
+def _mapped(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Rows with the ``public_id`` of their user; a user without one is an error."""
+    joined = rows.join(mapping.withColumnRenamed("source_id", "user_id"), "user_id", "left")
+    missing = F.raise_error(F.concat(F.lit("User without mapping: "), F.coalesce(F.col("user_id").cast("string"), F.lit("null")))).cast("string")
+    return joined.withColumn("public_id", F.coalesce("public_id", missing))
+
+
 def candidate_posts(posts: DataFrame, mapping: DataFrame, rules: DataFrame | None = None, handles: list[str] = ()) -> DataFrame:
-    """Public posts: new ids, relative days, scrubbed texts, no media."""
-    rows = scrub(relative_days(posts), rules, handles)
-    rows = rows.join(mapping.withColumnRenamed("source_id", "user_id"), "user_id")
+    """Public posts: new ids, relative days, scrubbed texts, no media. A user without a mapping stops the release."""
+    rows = _mapped(scrub(relative_days(posts), rules, handles, counts=True), mapping)
     return rows.select(
         "user_id", "post_id", "post_index", F.col("public_id").alias("public_user_id"), public_post_id(F.col("public_id"), F.col("post_index")).alias("public_post_id"),
-        "relative_day", "post_type", "language", "text", "scrubbed", "was_rewritten",
+        "relative_day", "post_type", "language", "text", "scrubbed", "was_rewritten", "hits",
     )
 
 
@@ -145,7 +152,7 @@ def repaired_interests(interests: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def candidate_interests(interests: DataFrame, rules: DataFrame | None = None, handles: list[str] = ()) -> DataFrame:
     """Interests with scrubbed labels. Travel places that vanish get a number per user, in order of appearance."""
-    rows = scrub(interests, rules, handles, column="label")
+    rows = scrub(interests, rules, handles, column="label", counts=True)
     gone = (F.trim("scrubbed") == "[LOCATION]") & (F.col("domain") == "travel_city_exploration")
     places = rows.filter(gone).groupBy("user_id", "label").agg(F.min("interest_index").alias("first_at"))
     numbered = with_position(places, ["user_id"], ["first_at"], index_buckets("first_at"), "_area").select("user_id", "label", F.col("_area") + 1)
@@ -156,9 +163,9 @@ def candidate_interests(interests: DataFrame, rules: DataFrame | None = None, ha
 
 
 def candidate_evidence(evidence: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Public evidence rows: index and public post id."""
-    m = mapping.withColumnRenamed("source_id", "user_id")
-    rows = evidence.filter("problem is null").join(m, "user_id")
+    """Public evidence rows: index and public post id. Unresolved evidence and users without a mapping stop the release."""
+    sound = F.when(F.col("problem").isNull(), F.col("post_index")).otherwise(F.raise_error(F.concat("problem", F.lit(" of "), "user_id")).cast("long"))
+    rows = _mapped(evidence.withColumn("post_index", sound), mapping)
     return rows.select("user_id", "interest_index", "post_index", public_post_id(F.col("public_id"), F.col("post_index")).alias("public_post_id"))
 
 
@@ -167,27 +174,37 @@ def candidate_captions(captions: DataFrame, mapping: DataFrame, rules: DataFrame
     captions = captions.withColumn("user_id", F.coalesce("user_id", F.raise_error(F.lit("Caption without a user")).cast("string")))
     images = captions.groupBy("user_id", "image_id").agg(F.min("image_index").alias("image_index"))
     numbered = with_position(images, ["user_id"], ["image_index", "image_id"], index_buckets("image_index"), "_serial").select("user_id", "image_id", "_serial")
-    rows = scrub(captions, rules, handles, column="summary").join(numbered, ["user_id", "image_id"])
-    rows = rows.join(mapping.withColumnRenamed("source_id", "user_id"), "user_id")
+    rows = scrub(captions, rules, handles, column="summary", counts=True).join(numbered, ["user_id", "image_id"])
+    rows = _mapped(rows, mapping)
     known = F.when(F.col("model").isin(*CAPTION_MODELS), F.col("model")).otherwise(F.raise_error(F.concat(F.lit("Unexpected model "), "model")))
-    return rows.select(F.col("public_id").alias("public_user_id"), F.format_string("image_%05d", F.col("_serial") + 1).alias("image_id"), known.alias("model"), F.col("scrubbed").alias("summary"))
+    return rows.select(F.col("public_id").alias("public_user_id"), F.format_string("image_%05d", F.col("_serial") + 1).alias("image_id"), known.alias("model"), F.col("scrubbed").alias("summary"), "hits")
 
 
 def release_counts(posts: DataFrame, interests: DataFrame, captions: DataFrame, repaired: DataFrame) -> DataFrame:
-    """Audit counters of a candidate as one row."""
-
-    def n(df, name):
-        return df.agg(F.count("*").alias(name))
-
-    changed = F.sum((F.col("text") != F.col("scrubbed")).cast("long"))
-    rows = posts.agg(
-        F.countDistinct("user_id").alias("users"), F.count("*").alias("posts"), F.coalesce(changed, F.lit(0)).alias("changed_texts"),
-        F.coalesce(F.sum(F.col("was_rewritten").cast("long")), F.lit(0)).alias("reviewed_rewrite"),
-    )
+    """Audit counters of a candidate as one row; scrub counters add up the ``hits`` of all its strings."""
+    rows = posts.agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("posts"))
     labels = interests.agg(F.count("*").alias("interest_entries"), F.coalesce(F.sum((F.col("label") != F.col("public_label")).cast("long")), F.lit(0)).alias("changed_labels"))
     images = captions.agg(F.count("*").alias("captions"), F.countDistinct("public_user_id", "image_id").alias("images"))
+    fixed = repaired.agg(F.count("*").alias("repaired_evidence_indices"))
+    names = [*COUNTED, "keyword", "reviewed_rewrite"]
+    sums = [F.coalesce(F.sum(f"hits.{n}"), F.lit(0)).alias(n) for n in names]
+    hits = functools.reduce(DataFrame.union, [df.select("hits") for df in (posts, interests, captions)])
+    hits = hits.agg(F.count("*").alias("strings"), F.coalesce(F.sum("hits.changed"), F.lit(0)).alias("changed_strings"), *sums)
     # Each part is one row with its own counters; together they fold into one.
-    parts = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows, labels, images, n(repaired, "repaired_evidence_indices")])
+    parts = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows, labels, images, fixed, hits])
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+
+
+def source_counts(posts: DataFrame, captions: DataFrame, interests: DataFrame) -> DataFrame:
+    """Counters of what a topic release is made from and what it takes away, as one row."""
+    has = lambda pattern: F.coalesce(F.col("text").rlike(pattern), F.lit(False)).cast("long")
+    hashes = F.coalesce(F.size(F.filter(F.coalesce("media", F.array()), lambda m: F.coalesce(m["sha256"], F.lit("")) != "")), F.lit(0)).cast("long")
+    n = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    rows = posts.agg(
+        F.countDistinct("user_id").alias("source_users"), F.count("*").alias("source_posts"), n(has(rf"@{W}"), "posts_with_mentions"), n(has(rf"#{W}"), "posts_with_hashtags"),
+        n(F.col("created_at").isNotNull().cast("long"), "exact_timestamps_removed"), n(hashes, "media_hashes_removed"))
+    images = captions.agg(F.count("*").alias("source_captions"), F.countDistinct("user_id", "image_id").alias("source_images"))
+    parts = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [rows, images, interests.agg(F.count("*").alias("source_interest_labels"))])
     return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
@@ -320,17 +337,42 @@ def random_public_ids(users: DataFrame, seed: int) -> DataFrame:
 POST_TYPES = ["original", "reply", "quote", "repost", "retweet"]
 
 
+USER_FILES = ["posts.jsonl", "gold_profile.json", "image_captions.json"]
+PACKAGE_FILES = ["data/README.md", "data/privacy_audit.json", "data/manifest.json"]
+
+
 def _issues(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """One row for each row and check that does not hold."""
     found = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]))
-    return df.select(F.explode(found).alias("issue")).distinct()
+    return df.select(F.explode(found).alias("issue"))
+
+
+def file_set_issues(files: DataFrame, users: DataFrame) -> DataFrame:
+    """Package files beside or short of the three of each user and the package's own; ``files`` has path, ``users`` user_id."""
+    parts = F.split("path", "/")
+    in_users = F.startswith("path", F.lit("data/users/"))
+    rows = files.select("path", F.get(parts, F.lit(2)).alias("user_id"), F.get(parts, F.lit(3)).alias("name"), F.size(parts).alias("depth"), in_users.alias("in_users"))
+    fine = (F.col("depth") == 4) & F.col("name").isin(*USER_FILES)
+    checks = [
+        _issues(rows.filter("in_users"), {"Unexpected user file": fine, "Invalid participant": F.col("user_id").rlike(PUBLIC_USER)}),
+        _issues(rows.filter("not in_users"), {"Unexpected data file": F.col("path").isin(*PACKAGE_FILES)}),
+    ]
+    wanted = users.select("user_id", F.explode(F.array(*map(F.lit, USER_FILES))).alias("name"))
+    checks.append(wanted.join(rows.filter("in_users").filter(fine), ["user_id", "name"], "left_anti").select(F.lit("Missing user file").alias("issue")))
+    return functools.reduce(DataFrame.unionByName, checks)
 
 
-def verify_candidate(posts: DataFrame, interests: DataFrame, evidence: DataFrame, captions: DataFrame, counts: dict[str, int] | None = None) -> DataFrame:
-    """Violations of a record-level candidate, distinct, one row per message.
+def candidate_issues(
+    posts: DataFrame, interests: DataFrame, evidence: DataFrame, captions: DataFrame, domains: DataFrame | None = None,
+    counts: dict[str, int] | None = None, users: int | None = None, files: DataFrame | None = None, manifest: DataFrame | None = None, variant: str = VERSION,
+) -> DataFrame:
+    """Violations of a record-level candidate with their number of rows: issue, n.
 
     posts ``(user_id, post_id, post_index, relative_day, post_type, language, text)``, interests
     ``(user_id, interest_index, domain, status, label)``, evidence ``(user_id, interest_index, ordinal, post_index, post_id)``,
-    captions ``(user_id, image_id, image_index, model, summary)``; counts as declared in the audit.
+    captions ``(user_id, image_id, image_index, model, summary)``; where given: domains ``(user_id, domain, status)``, all seven
+    of each user; counts as declared in the audit; the expected number of users; files ``(path, sha256)`` of the
+    package and its manifest ``(release_variant, path, sha256)``.
     """
     checks = [
         _issues(
@@ -348,20 +390,39 @@ def verify_candidate(posts: DataFrame, interests: DataFrame, evidence: DataFrame
         _issues(captions, {"Invalid image": F.col("image_id") == F.format_string("image_%05d", F.col("image_index") + 1), "Unexpected caption model": F.col("model").isin(*CAPTION_MODELS)}),
     ]
     for df, column in ((posts, "text"), (interests, "label"), (captions, "summary")):
-        checks.append(df.select(F.explode(residual_patterns(F.col(column))).alias("n")).distinct().select(F.concat(F.lit("Residual "), "n").alias("issue")))
+        checks.append(df.select(F.explode(residual_patterns(F.col(column))).alias("n")).select(F.concat(F.lit("Residual "), "n").alias("issue")))
     known = posts.select("user_id", "post_index", F.col("post_id").alias("_post"))
     joined = evidence.join(known, ["user_id", "post_index"], "left")
     checks.append(_issues(joined, {"Evidence out of range": F.col("_post").isNotNull(), "Evidence mismatch": F.col("_post").isNull() | (F.col("_post") == F.col("post_id"))}))
     later = evidence.select("user_id", "interest_index", (F.col("ordinal") - 1).alias("ordinal"), F.col("post_index").alias("_next"))
     checks.append(_issues(evidence.join(later, ["user_id", "interest_index", "ordinal"]), {"Unsorted evidence": F.col("post_index") < F.col("_next")}))
-    for name, df in {"posts": posts, "interest_entries": interests, "captions": captions}.items():
-        if counts and name in counts:
-            checks.append(_issues(df.agg(F.count("*").alias("n")), {f"Count mismatch: {name}": F.col("n") == counts[name]}))
-    return functools.reduce(DataFrame.unionByName, checks).distinct()
-
-
-def verify_topics(parts: DataFrame, labels: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Violations of a topic derivative: unknown or suppressed topics, free text, wrong phases."""
+    people = posts.select("user_id").distinct()
+    if domains is not None:
+        per_user = domains.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("domain").isin(*DOMAINS), F.col("domain"))).alias("d"))
+        whole = (F.col("n") == len(DOMAINS)) & (F.col("d") == len(DOMAINS))
+        checks.append(_issues(people.join(per_user, "user_id", "full_outer"), {"Invalid domains": whole}))
+        checks.append(_issues(domains, {"Invalid domain schema": F.col("status").isin("active", "inactive")}))
+        checks.append(domains.select("user_id").distinct().join(people, "user_id", "left_anti").select(F.lit("Empty timeline").alias("issue")))
+    if users is not None:
+        checks.append(_issues(people.agg(F.count("*").alias("n")), {"Wrong user count": F.col("n") == users}))
+    measured = {"users": people, "posts": posts, "images": captions.select("user_id", "image_id").distinct(), "interest_entries": interests, "captions": captions}
+    for name, df in measured.items():
+        if counts is not None:
+            checks.append(_issues(df.agg(F.count("*").alias("n")), {f"Count mismatch: {name}": F.col("n") == F.lit(counts.get(name))}))
+    if files is not None:
+        checks.append(file_set_issues(files, people))
+    if manifest is not None and files is not None:
+        checks.append(manifest_problems(files, manifest, variant).select("issue"))
+    return functools.reduce(DataFrame.unionByName, checks).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def verify_candidate(posts: DataFrame, interests: DataFrame, evidence: DataFrame, captions: DataFrame, **given) -> DataFrame:
+    """Distinct messages of ``candidate_issues``; none when the candidate may be released."""
+    return candidate_issues(posts, interests, evidence, captions, **given).select("issue")
+
+
+def topic_issues(parts: DataFrame, labels: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Violations of a topic derivative with their number: unknown or suppressed topics, free text, wrong phases."""
     vocabulary = F.array(*[F.lit(t) for v in VOCABULARY.values() for t in v])
     kind = F.when(F.col("source") == "phase", "text").otherwise("visual")
     checks = [
@@ -376,7 +437,7 @@ def verify_topics(parts: DataFrame, labels: DataFrame, allowed: DataFrame) -> Da
         _issues(labels, {"invalid evidence indices": F.forall("evidence_post_indices", lambda i: (i >= 0) & (i < PHASES))}),
         labels.filter(F.col("label") != fallback_label(F.col("domain"))).select(F.col("label").alias("topic")).distinct().join(allowed, "topic", "left_anti").select(F.lit("suppressed label").alias("issue")),
     ]
-    return functools.reduce(DataFrame.unionByName, checks).distinct()
+    return functools.reduce(DataFrame.unionByName, checks).groupBy("issue").agg(F.count("*").alias("n"))
 
 
 def set_differences(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -95,11 +95,7 @@ def _similar(vectors: DataFrame, limit: float) -> DataFrame:
     a = heads.select(*SCOPE, "gram", F.col("c").alias("a"))
     b = heads.select(*SCOPE, "gram", F.col("c").alias("b"))
     pairs = a.join(b, [*SCOPE, "gram"]).filter("a < b").select(*SCOPE, "a", "b").distinct()
-    va = vectors.select(*SCOPE, F.col("c").alias("a"), "gram", F.col("w").alias("wa"), F.col("size").alias("na"))
-    vb = vectors.select(*SCOPE, F.col("c").alias("b"), "gram", F.col("w").alias("wb"), F.col("size").alias("nb"))
-    dots = pairs.join(va, [*SCOPE, "a"]).join(vb, [*SCOPE, "b", "gram"])
-    sims = dots.groupBy(*SCOPE, "a", "b").agg((F.sum(F.col("wa") * F.col("wb")) / (F.first("na") * F.first("nb"))).alias("sim"))
-    return sims.filter(F.col("sim") > limit + 1e-12)
+    return _dots(pairs, vectors, limit)
 
 
 def _as_vectors(weights: DataFrame) -> DataFrame:
@@ -111,27 +107,52 @@ def similar_tags(tags: DataFrame, limit: float = EMBEDDING) -> DataFrame:
     return _similar(_as_vectors(gram_weights(tags)), limit)
 
 
+def _dots(pairs: DataFrame, vectors: DataFrame, limit: float) -> DataFrame:
+    """Those of the pairs (``a``, ``b``) of sum vectors whose mean cosine is above ``limit``."""
+    va = vectors.select(*SCOPE, F.col("c").alias("a"), "gram", F.col("w").alias("wa"), F.col("size").alias("na"))
+    vb = vectors.select(*SCOPE, F.col("c").alias("b"), "gram", F.col("w").alias("wb"), F.col("size").alias("nb"))
+    dots = pairs.join(va, [*SCOPE, "a"]).join(vb, [*SCOPE, "b", "gram"])
+    sims = dots.groupBy(*SCOPE, "a", "b").agg((F.sum(F.col("wa") * F.col("wb")) / (F.first("na") * F.first("nb"))).alias("sim"))
+    return sims.filter(F.col("sim") > limit + 1e-12)
+
+
 def linked_groups(tags: DataFrame, limit: float = EMBEDDING) -> DataFrame:
     """Average linkage cut at cosine distance ``1 - limit``: ``(scope, tag, group)`` of merged tags.
 
     The mean cosine of two clusters is the dot product of their sum vectors over both sizes.
     Average linkage is reducible, so all pairs that are each other's nearest merge in one
-    round, and the result equals the one-pair-at-a-time order.
+    round, and the result equals the one-pair-at-a-time order. A merged cluster is at most as near to
+    another as one of its parts was, so its neighbours are among theirs: each round adds up the vectors of
+    the clusters that merged and scores only their pairs again; all others keep vector, pairs and scores.
     """
     weights = cut_lineage(gram_weights(tags))
     sims = cut_lineage(_similar(_as_vectors(weights), limit))
-    involved = sims.select(*SCOPE, F.col("a").alias("tag")).union(sims.select(*SCOPE, F.col("b").alias("tag"))).distinct()
-    member = cut_lineage(involved.withColumn("c", F.col("tag")))
+    involved = sims.select(*SCOPE, F.col("a").alias("c")).union(sims.select(*SCOPE, F.col("b").alias("c"))).distinct()
+    vectors = cut_lineage(_as_vectors(weights).drop("df").join(involved, [*SCOPE, "c"], "left_semi"))
+    parents = []  # of each round: (scope, c, into)
     while not sims.isEmpty():
         sides = sims.select(*SCOPE, F.col("a").alias("c"), F.col("b").alias("o"), "sim").union(sims.select(*SCOPE, "b", "a", "sim"))
         nearest = sides.groupBy(*SCOPE, "c").agg(F.min_by("o", F.struct(-F.round("sim", 12), F.least("c", "o"), F.greatest("c", "o"))).alias("o"))
         back = nearest.select(*SCOPE, F.col("o").alias("c"), F.col("c").alias("o"))
-        merges = nearest.join(back, [*SCOPE, "c", "o"]).filter("c > o").withColumnRenamed("o", "into")
-        member = cut_lineage(member.join(merges, [*SCOPE, "c"], "left").select(*SCOPE, "tag", F.coalesce("into", "c").alias("c")))
-        sizes = member.groupBy(*SCOPE, "c").agg(F.count("*").alias("size"))
-        summed = weights.join(member, [*SCOPE, "tag"]).groupBy(*SCOPE, "c", "gram").agg(F.first("df").alias("df"), F.sum("w").alias("w"))
-        sims = cut_lineage(_similar(summed.join(sizes, [*SCOPE, "c"]), limit))
-    return member.withColumnRenamed("c", "group")
+        merges = cut_lineage(nearest.join(back, [*SCOPE, "c", "o"]).filter("c > o").withColumnRenamed("o", "into"))
+        parents.append(merges)
+        # Both clusters of a merge are touched; they go on under the smaller name.
+        touched = merges.select(*SCOPE, "c", "into").union(merges.select(*SCOPE, F.col("into").alias("c"), "into"))
+        moved = vectors.join(touched, [*SCOPE, "c"])
+        sizes = moved.select(*SCOPE, "c", "into", "size").distinct().groupBy(*SCOPE, "into").agg(F.sum("size").alias("size"))
+        summed = moved.groupBy(*SCOPE, "into", "gram").agg(F.sum("w").alias("w")).join(sizes, [*SCOPE, "into"])
+        summed = summed.select(*SCOPE, F.col("into").alias("c"), "gram", "w", F.col("size").cast("int").alias("size"))
+        vectors = cut_lineage(vectors.join(touched.select(*SCOPE, "c"), [*SCOPE, "c"], "left_anti").unionByName(summed))
+        ta, tb = touched.toDF(*SCOPE, "a", "_ta"), touched.toDF(*SCOPE, "b", "_tb")
+        placed = sims.join(ta, [*SCOPE, "a"], "left").join(tb, [*SCOPE, "b"], "left")
+        kept = placed.filter("_ta is null and _tb is null").select(*sims.columns)
+        x, y = F.coalesce("_ta", "a"), F.coalesce("_tb", "b")
+        again = placed.filter("_ta is not null or _tb is not null").select(*SCOPE, F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).filter("a != b").distinct()
+        sims = cut_lineage(kept.unionByName(_dots(again, vectors, limit).select(*sims.columns)))
+    member = involved.withColumn("tag", F.col("c"))
+    for merges in parents:
+        member = member.join(merges, [*SCOPE, "c"], "left").select(*SCOPE, "tag", F.coalesce("into", "c").alias("c"))
+    return cut_lineage(member).select(*SCOPE, "tag", F.col("c").alias("group"))
 
 
 def canonical_tags(tags: DataFrame, aliases: dict[str, dict[str, str]] | None = None, fuzzy: float = FUZZY, embedding: float = EMBEDDING) -> DataFrame:

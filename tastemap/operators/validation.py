@@ -7,11 +7,14 @@ mean_confidence, status, modalities``, with member and evidence rows.
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, interest_form, nonblank
+from ..session import cut_lineage
 from .packs import SCOPE
 from .ranking import top_rows
 
@@ -256,6 +259,85 @@ def domain_evidence_rows(items: DataFrame, item_evidence: DataFrame, evidence: D
     return own.unionByName(tags).unionByName(reps).groupBy(*SCOPE, "post_id").agg(F.min(F.struct("place", "post_id")).alias("place"))
 
 
+# Types and reasons of the action log.
+DOWNGRADE, DOWNGRADE_REASON = "downgrade_interest", "insufficient_stability_or_evidence_spread"
+BACKFILL, SEED = "backfill_interest_from_pass1", "seed_interest_from_cluster"
+SEED_REASONS = {"stable": "status_requires_stable_interest_with_nontrivial_cluster", "short": "status_requires_recent_interest_with_nontrivial_cluster"}
+REWRITE, REWRITE_REASON = "rewrite_domain_summary", "missing_or_placeholder_summary"
+NOTE, NOTE_EMPTY, NOTE_LOW = "set_uncertainty_note", "no_structured_interests", "low_stable_score"
+COUNT_CHANGE = "interest_bucket_count_change"
+# End of fixed values.
+
+LOG = ["type", "interest", "from_bucket", "to_bucket", "reason", "before", "after"]
+
+
+def bucket_counts(items: DataFrame, name: str) -> DataFrame:
+    """``stable/short/weak`` counts of each (user, domain) as one text."""
+    n = [F.sum((F.col("bucket") == b).cast("int")).cast("string") for b in ("stable", "short", "weak")]
+    return items.groupBy(*SCOPE).agg(F.concat_ws("/", *n).alias(name))
+
+
+def _logged(rows: DataFrame, kind: str, **columns: Column) -> DataFrame:
+    given = {"type": F.lit(kind), **columns}
+    return rows.select(*SCOPE, *[given.get(c, F.lit(None)).cast("string").alias(c) for c in LOG])
+
+
+def validated(
+    items: DataFrame, ids: DataFrame, clusters: DataFrame, members: DataFrame, evidence: DataFrame, representatives: DataFrame, examples: DataFrame,
+    algorithm: DataFrame, summaries: DataFrame, candidates: tuple[DataFrame, DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """The whole validation of all domain summaries: cleaned, downgraded, merged, backfilled, seeded, summarised.
+
+    ``summaries`` has a row for each (user, domain) that was asked for; one without items, as after a failed answer,
+    is backfilled and seeded like any other. ``candidates`` are the first pass's, as ``cleaned`` returns them, with
+    ``time_hint``. Result: ``items`` and ``evidence`` of the final interests, ``texts``, and ``actions``: the log of what
+    was dropped, moved, added, rewritten and noted, one row each, with the counts of the buckets before and after
+    where they differ.
+    """
+    rows, ev = (cut_lineage(df) for df in cleaned(items, ids, clusters, members, evidence, representatives))
+    down = cut_lineage(downgraded(rows.filter("drop_reason is null"), ev, algorithm))
+    kept = down.filter("new_bucket is not null").withColumn("source_bucket", F.col("bucket")).withColumn("bucket", F.col("new_bucket"))
+    parts = ["source_bucket", "item", "late", *SCOPE, "bucket", "label", "canonical_tags", "description", "confidence", "reasoning"]
+    rest, reps = kept.select(*parts), representative_ids(ev, ids)
+    added = None
+    if candidates is not None:
+        found, found_ev = candidates
+        fine = found.filter("drop_reason is null").withColumn("source_bucket", F.col("bucket")).drop("bucket")
+        added = cut_lineage(backfill_candidates(fine, kept, algorithm).withColumn("late", F.lit(2)))
+        none = ids.limit(0)
+        rest = rest.unionByName(added.select(*parts))
+        ev, reps = ev.unionByName(found_ev).distinct(), reps.unionByName(representative_ids(found_ev, none))
+    final, final_ev = (cut_lineage(df) for df in merged(rest, ev, reps, ["late", "item"]))
+    seeds = cut_lineage(seeded(final, algorithm, clusters, examples).join(summaries.select(*SCOPE), SCOPE, "left_semi"))
+    shown = F.concat(F.lit("Evidence in this domain consistently points to "), "label", F.lit(" as a meaningful interest signal."))
+    first = top_rows(evidence.join(seeds.select(*SCOPE, "canonical_tag"), [*SCOPE, "canonical_tag"]), [*SCOPE, "canonical_tag"], ["post_id"], MAX_REPS, "_r")
+    first = first.groupBy(*SCOPE, "canonical_tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "post_id"))), lambda x: x["post_id"]).alias("representative_ids"))
+    planted = seeds.join(first, [*SCOPE, "canonical_tag"], "left").select(
+        *SCOPE, "bucket", F.lower(F.trim("label")).alias("merge_key"), "label", F.array("canonical_tag").alias("canonical_tags"), shown.alias("description"), "confidence",
+        F.lit(DEFAULT_REASONING).alias("reasoning"), "representative_ids", F.lit(0).alias("position"))
+    whole = cut_lineage(final.unionByName(planted))
+    inside = final_ev.schema["at"].dataType
+    grown = seeds.join(evidence, [*SCOPE, "canonical_tag"]).select(*SCOPE, "bucket", F.lower(F.trim("label")).alias("merge_key"), "post_id", F.lit(None).cast(inside).alias("at"))
+    texts = cut_lineage(summary_texts(summaries, whole))
+    blank_note = summaries.filter(nonblank(F.col("uncertainty_note")).isNull()).select(*SCOPE, "stable_score")
+    has = whole.select(*SCOPE).distinct().withColumn("_has", F.lit(True))
+    noted = blank_note.join(has, SCOPE, "left").withColumn("why", F.when(F.col("_has").isNull(), NOTE_EMPTY).when(F.col("stable_score") < STABLE_FLOOR, NOTE_LOW)).filter("why is not null")
+    counts = summaries.select(*SCOPE).join(bucket_counts(items, "before"), SCOPE, "left").join(bucket_counts(whole, "after"), SCOPE, "left")
+    counts = counts.withColumn("before", F.coalesce("before", F.lit("0/0/0"))).withColumn("after", F.coalesce("after", F.lit("0/0/0"))).filter("before != after")
+    log = [
+        _logged(rows.filter("drop_reason is not null"), "drop_interest", interest=F.col("label"), from_bucket=F.col("bucket"), reason=F.col("drop_reason")),
+        _logged(down.filter("late = 1"), DOWNGRADE, interest=F.col("label"), from_bucket=F.lit("stable"), to_bucket=F.lit("weak"), reason=F.lit(DOWNGRADE_REASON)),
+        _logged(seeds, SEED, interest=F.col("label"), to_bucket=F.col("bucket"), reason=F.when(F.col("bucket") == "stable", SEED_REASONS["stable"]).otherwise(SEED_REASONS["short"])),
+        _logged(texts.filter("rewritten"), REWRITE, reason=F.lit(REWRITE_REASON)),
+        _logged(noted, NOTE, reason=F.col("why")),
+        _logged(counts, COUNT_CHANGE, before=F.col("before"), after=F.col("after")),
+    ]
+    if added is not None:
+        hint = F.when(F.col("time_hint").isin("stable_candidate", "recent_candidate", "weak_candidate"), F.col("time_hint")).otherwise("weak_candidate")
+        log.append(_logged(added, BACKFILL, interest=F.col("label"), to_bucket=F.col("bucket"), reason=F.concat(F.lit("pass1_"), hint)))
+    return {"items": whole, "evidence": final_ev.unionByName(grown), "texts": texts, "actions": functools.reduce(DataFrame.unionByName, log)}
+
+
 # ------------------------------------------------------------------ export
 
 EXPORT_BUCKETS = {"stable": "long_term", "short": "short_term", "weak": "negative"}

@@ -112,13 +112,13 @@ def turns(spark, sf):
     )
 
 
-def responses(spark, sf):
+def responses(spark, sf, model="m"):
     """Responses with some rule words around the whole text; every eleventh is missing."""
     c = load(spark, sf, "conversations").filter("role = 'assistant' and conv_id % 11 != 3")
     n = F.col("conv_id")
     text = F.concat("text", F.when(n % 4 == 0, " I would try it because it fits.").when(n % 4 == 1, ' ```{"a": 1}').otherwise(""))
-    lead = F.when(n % 10 == 0, "do not pick ").otherwise("")
-    return c.select(F.lit("m").alias("model"), n.alias("user_id"), F.col("turn").alias("turn_id"), F.concat(lead, text).alias("response"))
+    lead = F.when((n % 10 == 0) & F.lit(model == "m"), "do not pick ").otherwise("")
+    return c.select(F.lit(model).alias("model"), n.alias("user_id"), F.col("turn").alias("turn_id"), F.concat(lead, text).alias("response"))
 
 
 def _form(x):
@@ -133,8 +133,8 @@ def _has(markers, x):
     return "(" + " OR ".join("contains({}, '{}')".format(x, m.replace("'", "''")) for m in markers) + ")"
 
 
-SCORES = rf"""c AS (SELECT conv_id AS n, turn, text AS t, substr(text, 1, 9) AS st, substr(text, 11, 8) AS mi FROM conversations WHERE role = 'assistant'
-), r AS (SELECT *, CASE WHEN n % 11 = 3 THEN '' ELSE trim(CASE WHEN n % 10 = 0 THEN 'do not pick ' ELSE '' END || t || CASE n % 4 WHEN 0 THEN ' I would try it because it fits.' WHEN 1 THEN ' ```{{"a": 1}}' ELSE '' END) END AS resp FROM c
+SCORES = rf"""c AS (SELECT 'm' AS md, conv_id AS n, turn, text AS t, substr(text, 1, 9) AS st, substr(text, 11, 8) AS mi FROM conversations WHERE role = 'assistant'
+), r AS (SELECT *, CASE WHEN n % 11 = 3 OR md = 'o' AND n % 5 = 2 THEN '' ELSE trim(CASE WHEN n % 10 = 0 AND md = 'm' THEN 'do not pick ' ELSE '' END || t || CASE n % 4 WHEN 0 THEN ' I would try it because it fits.' WHEN 1 THEN ' ```{{"a": 1}}' ELSE '' END) END AS resp FROM c
 ), f AS (SELECT *, {_form("resp")} AS body, {_form("st")} AS fs, {_form("mi")} AS fm, len(regexp_extract_all(resp, '[\p{{L}}\p{{N}}_]+')) AS words, lower(resp) AS low FROM r
 ), h AS (SELECT *, fs <> '' AND contains(body, fs) AS hs, fm <> '' AND contains(body, fm) AS hm FROM f
 ), k AS (SELECT *, CASE WHEN n % 7 = 0 THEN 0 WHEN n % 3 <> 0 AND fs = '' THEN 0 ELSE 1 END AS nr, CASE WHEN n % 7 <> 0 AND n % 3 <> 0 AND hs THEN 1 ELSE 0 END AS mr,
@@ -166,26 +166,32 @@ def label_hits(spark, sf):
 
 
 # A label's first occurrence decides in SQL; later ones are looked for by cutting the text after each.
-NEGATED = rf"""pos AS (SELECT n, turn, resp, {_low("resp")} AS b, CASE n % 5 WHEN 0 THEN [{_low("st")}, {_low("mi")}] WHEN 1 THEN [{_low("st")}] ELSE [] END AS labels, CASE n % 5 WHEN 0 THEN [fs, fm] WHEN 1 THEN [fs] ELSE [] END AS forms FROM h
-), lb AS (SELECT n, turn, b, unnest(labels) AS p, unnest(forms) AS f FROM pos), lbd AS (SELECT n, turn, b, f, first(p) AS p FROM lb WHERE f <> '' GROUP BY ALL
-), occ AS (SELECT n, turn, p, b, unnest(string_split(b, p)) AS piece, generate_subscripts(string_split(b, p), 1) AS i FROM lbd WHERE p <> ''
-), st2 AS (SELECT n, turn, p, b, i, sum(length(piece) + length(p)) OVER (PARTITION BY n, turn, p ORDER BY i) - length(p) AS s, count(*) OVER (PARTITION BY n, turn, p) AS m FROM occ
-), win2 AS (SELECT n, turn, p, substr(b, CAST(greatest(s - 60, 0) + 1 AS BIGINT), CAST(least(s + length(p) + 60, length(b)) - greatest(s - 60, 0) AS BIGINT)) AS win FROM st2 WHERE i < m
-), rec2 AS (SELECT n, turn, p, bool_or(NOT {_has(dg.NEGATIVE_MARKERS, "win")}) AS rec FROM win2 GROUP BY ALL), bad AS (SELECT n, turn, count(*) FILTER (rec) AS nb FROM rec2 GROUP BY ALL)"""
+NEGATED = rf"""pos AS (SELECT md, n, turn, resp, {_low("resp")} AS b, CASE n % 5 WHEN 0 THEN [{_low("st")}, {_low("mi")}] WHEN 1 THEN [{_low("st")}] ELSE [] END AS labels, CASE n % 5 WHEN 0 THEN [fs, fm] WHEN 1 THEN [fs] ELSE [] END AS forms FROM h
+), lb AS (SELECT md, n, turn, b, unnest(labels) AS p, unnest(forms) AS f FROM pos), lbd AS (SELECT md, n, turn, b, f, first(p) AS p FROM lb WHERE f <> '' GROUP BY ALL
+), occ AS (SELECT md, n, turn, p, b, unnest(string_split(b, p)) AS piece, generate_subscripts(string_split(b, p), 1) AS i FROM lbd WHERE p <> ''
+), st2 AS (SELECT md, n, turn, p, b, i, sum(length(piece) + length(p)) OVER (PARTITION BY md, n, turn, p ORDER BY i) - length(p) AS s, count(*) OVER (PARTITION BY md, n, turn, p) AS m FROM occ
+), win2 AS (SELECT md, n, turn, p, substr(b, CAST(greatest(s - 60, 0) + 1 AS BIGINT), CAST(least(s + length(p) + 60, length(b)) - greatest(s - 60, 0) AS BIGINT)) AS win FROM st2 WHERE i < m
+), rec2 AS (SELECT md, n, turn, p, bool_or(NOT {_has(dg.NEGATIVE_MARKERS, "win")}) AS rec FROM win2 GROUP BY ALL), bad AS (SELECT md, n, turn, count(*) FILTER (rec) AS nb FROM rec2 GROUP BY ALL)"""
 
 
-@query("forbidden_recommendations", f"WITH {SCORES}, {NEGATED} SELECT v.n AS user_id, v.turn AS turn_id, CAST(coalesce(nb, 0) AS INTEGER) AS n_recommended, CASE coalesce(nb, 0) WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS negative_avoidance FROM v LEFT JOIN bad USING (n, turn)")
+@query("forbidden_recommendations", f"WITH {SCORES}, {NEGATED} SELECT v.n AS user_id, v.turn AS turn_id, CAST(coalesce(nb, 0) AS INTEGER) AS n_recommended, CASE coalesce(nb, 0) WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS negative_avoidance FROM v LEFT JOIN bad USING (md, n, turn)")
 def forbidden_recommendations(spark, sf):
     return _scored(spark, sf).select("user_id", "turn_id", F.size("forbidden_recommended").alias("n_recommended"), "negative_avoidance")
 
 
-TOTAL = f"""{SCORES}, {NEGATED}, tot AS (SELECT v.*, CASE coalesce(nb, 0) WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS avo, coalesce(nb, 0) AS nb FROM v LEFT JOIN bad USING (n, turn)
-), tt AS (SELECT *, CASE WHEN n % 11 = 3 THEN NULL ELSE 'm' END AS model, CASE n % 2 WHEN 0 THEN 'stable_recommendation' ELSE 'short_term_exploration' END AS scenario_type, round(cov + 1e-10, 4) AS cov4, round((0.40::DOUBLE * cov + 0.25::DOUBLE * avo + 0.20::DOUBLE * conc + 0.15::DOUBLE * flu) / 5 * 100 + 1e-10, 4) AS score FROM tot)"""
+TOTAL = f"""{SCORES}, {NEGATED}, tot AS (SELECT v.*, CASE coalesce(nb, 0) WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS avo, coalesce(nb, 0) AS nb FROM v LEFT JOIN bad USING (md, n, turn)
+), tt AS (SELECT *, md AS model, CASE n % 2 WHEN 0 THEN 'stable_recommendation' ELSE 'short_term_exploration' END AS scenario_type, round(cov + 1e-10, 4) AS cov4, round((0.40::DOUBLE * cov + 0.25::DOUBLE * avo + 0.20::DOUBLE * conc + 0.15::DOUBLE * flu) / 5 * 100 + 1e-10, 4) AS score FROM tot)"""
 
 
-@query("scored_turns", f"WITH {TOTAL} SELECT model, n AS user_id, turn AS turn_id, scenario_type, cov4 AS interest_coverage, avo AS negative_avoidance, conc AS concreteness, flu AS fluency, score AS turn_score, CASE WHEN n % 3 <> 0 AND hs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS claim_recall FROM tt")
+# Two models, of which the second leaves out more turns.
+TWO = TOTAL.replace("'m' AS md, conv_id AS n", "unnest(['m', 'o']) AS md, conv_id AS n")
+
+
+@query("scored_turns", f"WITH {TWO} SELECT model, n AS user_id, turn AS turn_id, scenario_type, cov4 AS interest_coverage, avo AS negative_avoidance, conc AS concreteness, flu AS fluency, score AS turn_score, CASE WHEN n % 3 <> 0 AND hs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS claim_recall FROM tt")
 def scored_turns(spark, sf):
-    return _scored(spark, sf).select("model", "user_id", "turn_id", "scenario_type", "interest_coverage", "negative_avoidance", "concreteness", "fluency", "turn_score", "claim_recall")
+    other = responses(spark, sf, "o").filter("user_id % 5 != 2")
+    scored = dg.scored_turns(turns(spark, sf), responses(spark, sf).unionByName(other))
+    return scored.select("model", "user_id", "turn_id", "scenario_type", "interest_coverage", "negative_avoidance", "concreteness", "fluency", "turn_score", "claim_recall")
 
 
 @query("user_dialogue_means", f"""WITH {TOTAL} SELECT n AS user_id, count(*) AS turn_count, round(avg(cov4) + 1e-10, 4) AS interest_coverage_mean, round(avg(avo) + 1e-10, 4) AS negative_avoidance_mean, round(avg(score) + 1e-10, 4) AS turn_score_mean,

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ..functions.text import round6
 from ..operators import evaluation as ev
 from ..operators import judging
-from ..session import load
+from ..session import load, shared_folder
+from ..sources import readers
 from .adapters import REC, events, pick, sql_list
 from .registry import query
 
@@ -362,3 +363,16 @@ VERDICT_TEXTS = ['{"is_match": true, "reason": "same"}', '{"match": "no way"}',
 def match_verdicts(spark, sf):
     verdict, reason = judging.match_verdict(pick(VERDICT_TEXTS, F.col("k") % 6))
     return events(spark, sf).select("post_id", verdict.alias("is_match"), reason.alias("reason"), judging.is_transient(F.lit(None).cast("boolean"), reason).alias("transient"))
+
+
+@query("model_reports", """WITH p AS (SELECT 'm' || doc_id % 3 AS model, doc_id AS task_position, lang, doc_id % 4 = 0 AS hit FROM documents)
+SELECT model, row_number() OVER (PARTITION BY model ORDER BY task_position) - 1 AS position, task_position, avg(hit::INT) OVER (PARTITION BY model) AS accuracy FROM p""")
+def model_reports(spark, sf):
+    """Predictions and metrics written as report files and read back in their order."""
+    d = F.col("doc_id")
+    rows = load(spark, sf, "documents").select(F.concat(F.lit("m"), d % 3).alias("model"), d.alias("task_position"), "lang", (d % 4 == 0).alias("hit"))
+    target = shared_folder(spark)
+    readers.write_reports(rows, rows.groupBy("model").agg(F.avg(F.col("hit").cast("int")).alias("accuracy")), target)
+    metrics = spark.read.json(f"{target}/report")
+    place = F.get_json_object("value", "$.task_position").cast("long")
+    return readers.read_reports(spark, target).select("model", "position", place.alias("task_position")).join(metrics, "model")

@@ -183,14 +183,53 @@ def candidate_captions(spark, sf):
     return rows.select("public_user_id", "image_id", "model", F.md5("summary").alias("summary_md5"))
 
 
-@query("release_counts", f"""WITH {INT} SELECT (SELECT count(DISTINCT user_id) FROM post) AS users, (SELECT count(*) FROM post) AS posts, (SELECT count(*) FROM post WHERE NOT (post_id % 9 = 8 AND false)) AS changed_texts, 0::BIGINT AS reviewed_rewrite,
-  (SELECT count(*) FROM it) AS interest_entries, (SELECT count(*) FROM it WHERE place) AS changed_labels, (SELECT count(*) FROM conversations) AS captions, (SELECT count(DISTINCT conv_id) FROM conversations) AS images, (SELECT count(*) FROM it WHERE k % 6 <> 0 AND k % 5 = 0) AS repaired_evidence_indices""")
+def _added(name, mark, texts):
+    """How many placeholders of one name the scrub put into the texts of (before, after) rows."""
+    return f"(SELECT CAST(coalesce(sum(len(string_split(after, '[{mark}]')) - len(string_split(before, '[{mark}]'))), 0) AS BIGINT) FROM {texts}) AS {name}"
+
+
+# Before and after of every string; the two reviewed places of labels are handles as well.
+STRINGS = f"""srcp AS (SELECT text || list_extract({sql_list(SUFFIXES)}, 1 + post_id % 9) || list_extract({sql_list(DATES)}, 1 + post_id % 7) AS before, {_mask_sql("text")} || list_extract({sql_list(MASKED)}, 1 + post_id % 9) || list_extract({sql_list(DATES_MASKED)}, 1 + post_id % 7) AS after FROM post),
+srcl AS (SELECT label AS before, CASE WHEN place THEN '  [ACCOUNT]' ELSE label END AS after FROM it),
+srcc AS (SELECT text || ' in a forest with dogs' AS before, {_mask_sql("text")} || ' in a forest with dogs' AS after FROM conversations),
+strs AS (SELECT * FROM srcp UNION ALL SELECT * FROM srcl UNION ALL SELECT * FROM srcc)"""
+
+
+@query("release_counts", f"""WITH {INT}, {STRINGS} SELECT (SELECT count(DISTINCT user_id) FROM post) AS users, (SELECT count(*) FROM post) AS posts,
+  (SELECT count(*) FROM it) AS interest_entries, (SELECT count(*) FROM it WHERE place) AS changed_labels, (SELECT count(*) FROM conversations) AS captions, (SELECT count(DISTINCT conv_id) FROM conversations) AS images, (SELECT count(*) FROM it WHERE k % 6 <> 0 AND k % 5 = 0) AS repaired_evidence_indices,
+  (SELECT count(*) FROM strs) AS strings, (SELECT count(*) FROM strs WHERE before <> after) AS changed_strings, {", ".join(_added(n, m, "strs") for n, m in privacy.COUNTED.items())}, (SELECT count(*) FROM it WHERE place) * 0 AS keyword, 0::BIGINT AS reviewed_rewrite""")
 def release_counts(spark, sf):
     p, i, m = release_posts(spark, sf), release_interests(spark, sf), mapping(spark, sf)
     repaired = release.repaired_interests(i, release.resolved_evidence(i, p))
     return release.release_counts(release.candidate_posts(p, m), release.candidate_interests(i), release.candidate_captions(release_captions(spark, sf), m), repaired)
 
 
+@query("scrub_counts", rf"""WITH {SCRUBBED}, t AS (SELECT post_id, {_around("plain", "the", "#T#", flags="gi")} AS x FROM sc),
+u AS (SELECT post_id, len(string_split(x, '#T#')) - 1 AS the, {_around("x", "la", "#L#", flags="gi")} AS y FROM t)
+SELECT post_id, CASE WHEN post_id % 100 = 3 THEN 0 ELSE the + len(string_split(y, '#L#')) - 1 END AS keyword, CAST(post_id % 100 = 3 AS BIGINT) AS reviewed_rewrite, CAST(post_id % 9 = 0 AS BIGINT) + email_in AS email, 1::BIGINT AS changed
+FROM u JOIN (SELECT post_id, len(string_split({_mask_sql("text")}, '[EMAIL]')) - len(string_split(text, '[EMAIL]')) AS email_in FROM post) USING (post_id)""")
+def scrub_counts(spark, sf):
+    """Counters of each text under shared terms and rewrites; the suffixes make every text change."""
+    rows = _with_identifiers(spark, sf, dates=True).withColumn("user_id", F.col("user_id").cast("string")).filter("true")
+    rules = spark.createDataFrame([(None, "replace", "the", "[PERSON]"), (None, "replace", "la", "[LOCATION]")], "scope string, kind string, term string, replacement string")
+    rewrites = rows.filter(F.col("post_id") % 100 == 3).select(F.lit(None).cast("string").alias("scope"), F.lit("rewrite").alias("kind"), privacy.masked(F.col("text")).alias("term"), F.lit("A quiet note by @someone").alias("replacement")).distinct()
+    out = privacy.scrub(rows, rules.unionByName(rewrites), counts=True)
+    return out.select("post_id", "hits.keyword", "hits.reviewed_rewrite", "hits.email", "hits.changed")
+
+
+@query("source_counts", f"""WITH {INT} SELECT (SELECT count(DISTINCT user_id) FROM post) AS source_users, (SELECT count(*) FROM post) AS source_posts, (SELECT count(*) FROM post WHERE regexp_matches(text, '@[\\p{{L}}\\p{{N}}_]')) AS posts_with_mentions,
+  (SELECT count(*) FROM post WHERE regexp_matches(text, '#[\\p{{L}}\\p{{N}}_]')) AS posts_with_hashtags, (SELECT count(*) FROM post) AS exact_timestamps_removed, (SELECT CAST(sum(CASE WHEN post_id % 4 = 0 THEN n_images ELSE 0 END) AS BIGINT) FROM post) AS media_hashes_removed,
+  (SELECT count(*) FROM conversations) AS source_captions, (SELECT count(DISTINCT conv_id) FROM conversations) AS source_images, (SELECT count(*) FROM it) AS source_interest_labels""")
+def source_counts(spark, sf):
+    hashed = F.transform("media", lambda m: F.struct(F.when(m["media_type"] == "image", F.sha2(m["source_url"], 256)).alias("sha256")))
+    p = release_posts_plain(spark, sf).withColumn("media", hashed)
+    return release.source_counts(p, release_captions(spark, sf), release_interests(spark, sf))
+
+
+def release_posts_plain(spark, sf):
+    return posts(spark, sf).withColumn("user_id", _uid(F.col("user_id")))
+
+
 WORDS = r"[\p{L}\p{N}_]"
 def _topic_list(x, domain=None):
     """Topics found in a text; the patterns are constants, so that each is compiled once."""
@@ -289,42 +328,78 @@ def mapping_problems(spark, sf):
     return release.mapping_problems(m, release_posts(spark, sf))
 
 
-@query("candidate_violations", "SELECT unnest(['Evidence mismatch', 'Invalid language code', 'Residual email', 'Unexpected caption model']) AS issue")
+CAPTION_IMAGES = "cim AS (SELECT DISTINCT conv_id % 50 AS u, conv_id FROM conversations), cser AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY conv_id) AS serial FROM cim)"
+
+
+@query("candidate_violations", f"""WITH {INT}, {CAPTION_IMAGES}, v AS (
+  SELECT 'Invalid language code' AS issue, count(*) AS n FROM post WHERE post_id % 17 = 0
+  UNION ALL SELECT 'Residual email', count(*) FROM post WHERE post_id % 19 = 0
+  UNION ALL SELECT 'Invalid post type', count(*) FROM post WHERE post_id % 23 = 0
+  UNION ALL SELECT 'Evidence mismatch', count(*) FROM evi WHERE post_index = 1 AND interest_index % 5 = 2
+  UNION ALL SELECT 'Unexpected caption model', count(*) FROM conversations JOIN cser USING (conv_id) WHERE serial = 1
+  UNION ALL SELECT 'Invalid domains', count(DISTINCT user_id) FROM post WHERE user_id % 10 = 3
+  UNION ALL SELECT 'Wrong user count', 1
+  UNION ALL SELECT 'Count mismatch: posts', 1 UNION ALL SELECT 'Count mismatch: captions', 1
+  UNION ALL SELECT 'Unexpected user file', count(DISTINCT user_id) FROM post WHERE user_id % 7 = 1
+  UNION ALL SELECT 'Missing user file', count(DISTINCT user_id) FROM post WHERE user_id % 7 IN (1, 2)
+  UNION ALL SELECT 'Unexpected data file', 1
+  UNION ALL SELECT 'Manifest file set mismatch', count(DISTINCT user_id) FROM post WHERE user_id % 7 = 3
+  UNION ALL SELECT 'Checksum mismatch', count(DISTINCT user_id) FROM post WHERE user_id % 7 = 4)
+SELECT issue, n FROM v WHERE n > 0""")
 def candidate_violations(spark, sf):
-    """A candidate that was tampered with in four places."""
+    """A candidate that was tampered with in its rows, its files, its manifest and its declared counts."""
     m = mapping(spark, sf)
     p = release.candidate_posts(release_posts(spark, sf), m)
     i = release.candidate_interests(release_interests(spark, sf))
     e = release.candidate_evidence(release.resolved_evidence(release_interests(spark, sf), release_posts(spark, sf)), m)
     c = release.candidate_captions(release_captions(spark, sf), m)
-    bad = F.col("post_id") == 17
+    k = F.col("post_id")
     out_posts = p.select(
-        F.col("public_user_id").alias("user_id"), F.col("public_post_id").alias("post_id"), "post_index", "relative_day", "post_type",
-        F.when(bad, "English").otherwise(F.col("language")).alias("language"), F.when(bad, "mail me: x@y.org").otherwise(F.col("scrubbed")).alias("text"),
+        F.col("public_user_id").alias("user_id"), F.col("public_post_id").alias("post_id"), "post_index", "relative_day",
+        F.when(k % 23 == 0, "poll").otherwise(F.col("post_type")).alias("post_type"), F.when(k % 17 == 0, "English").otherwise(F.col("language")).alias("language"),
+        F.when(k % 19 == 0, "mail me: x@y.org").otherwise(F.col("scrubbed")).alias("text"),
     )
     users = m.withColumnRenamed("source_id", "user_id")
     out_interests = i.join(users, "user_id").select(F.col("public_id").alias("user_id"), "interest_index", "domain", "status", F.col("public_label").alias("label"))
     listed = e.groupBy("user_id", "interest_index").agg(F.array_sort(F.collect_list(F.struct("post_index", "public_post_id"))).alias("l"))
     ev = listed.select("user_id", "interest_index", F.posexplode("l").alias("ordinal", "x")).join(users, "user_id")
-    wrong = (F.col("public_id") == "participant_006") & (F.col("interest_index") == 1)
+    wrong = (F.col("x.post_index") == 1) & (F.col("interest_index") % 5 == 2)
     out_evidence = ev.select(F.col("public_id").alias("user_id"), "interest_index", "ordinal", "x.post_index", F.when(wrong, "participant_006_post_9999").otherwise(F.col("x.public_post_id")).alias("post_id"))
     image = F.regexp_extract("image_id", r"(\d+)$", 1).cast("int") - 1
     out_captions = c.select(F.col("public_user_id").alias("user_id"), "image_id", image.alias("image_index"), F.when(F.col("image_id") == "image_00001", "other-model").otherwise(F.col("model")).alias("model"), "summary")
-    return release.verify_candidate(out_posts, out_interests, out_evidence, out_captions)
-
-
-@query("topic_violations", "SELECT 'free text detected' AS issue UNION ALL SELECT 'suppressed topic'")
+    number = F.regexp_extract("public_id", r"(\d+)$", 1).cast("int") - 1
+    people = m.select(F.col("public_id").alias("user_id"), number.alias("u"))
+    domains = people.select("user_id", "u", F.explode(F.array(*map(F.lit, DOMAINS))).alias("domain"), F.lit("active").alias("status")).filter(~((F.col("u") % 10 == 3) & (F.col("domain") == "pets")))
+    # Gold files of some users are named otherwise or gone; the manifest misses some files and has other digests.
+    name = F.explode(F.array(*map(F.lit, release.USER_FILES)))
+    files = people.select("user_id", "u", name.alias("name"))
+    gold = F.col("name") == "gold_profile.json"
+    files = files.filter(~(gold & (F.col("u") % 7 == 2))).withColumn("name", F.when(gold & (F.col("u") % 7 == 1), "gold.txt").otherwise(F.col("name")))
+    files = files.select("u", gold.alias("gold"), F.concat(F.lit("data/users/"), "user_id", F.lit("/"), "name").alias("path"))
+    files = files.withColumn("sha256", F.sha2("path", 256))
+    listed = files.filter(~(F.col("gold") & (F.col("u") % 7 == 3))).select(F.lit(release.VERSION).alias("release_variant"), "path", F.when(F.col("gold") & (F.col("u") % 7 == 4), "0").otherwise(F.col("sha256")).alias("sha256"))
+    extra = spark.range(1).select(F.lit("data/tmp.bin").alias("path"), F.lit("1").alias("sha256"))
+    files = files.select("path", "sha256").unionByName(extra)
+    listed = listed.unionByName(extra.select(F.lit(release.VERSION).alias("release_variant"), "path", "sha256"))
+    counts = {"users": people.count(), "posts": out_posts.count() + 1, "images": out_captions.select("user_id", "image_id").distinct().count(), "interest_entries": out_interests.count()}
+    return release.candidate_issues(out_posts, out_interests, out_evidence, out_captions, domains, counts, counts["users"] + 1, files, listed)
+
+
+@query("topic_violations", """SELECT 'free text detected' AS issue, count(*) AS n FROM (SELECT DISTINCT doc_id % 50 AS u FROM documents) WHERE u % 5 = 1
+UNION ALL SELECT 'suppressed topic', 1 UNION ALL SELECT 'invalid vocabulary', count(*) FROM (SELECT DISTINCT doc_id % 50 AS u FROM documents) WHERE u % 5 = 3""")
 def topic_violations(spark, sf):
-    """A topic release with one free text and one topic that too few users support."""
+    """A topic release where some users have a free text, a doubled topic, or a topic that too few users support."""
     m = _mentions(spark, sf)
     allowed = release.allowed_topics(m)
     parts = _parts(spark, sf, m, allowed)
-    first = (F.col("user_id") == "src_1") & (F.col("source") == "phase") & (F.col("part") == "0")
-    rare = (F.col("user_id") == "src_2") & (F.col("source") == "phase") & (F.col("part") == "0")
-    tampered = parts.withColumn("topics", F.when(rare, F.array(F.lit("cruise travel"))).otherwise(F.col("topics"))).withColumn(
-        "summary", F.when(first, "I like it").when(rare, "Generalized text topics: cruise travel.").otherwise(F.col("summary"))
+    u = F.regexp_extract("user_id", r"(\d+)$", 1).cast("int")
+    here = (F.col("source") == "phase") & (F.col("part") == "0")
+    free, unsorted, rare = here & (u % 5 == 1), here & (u % 5 == 3), here & (u % 5 == 2)
+    topics = F.when(rare, F.array(F.lit("cruise travel"))).when(unsorted, F.array_repeat(F.lit("cruise travel"), 2)).otherwise(F.col("topics"))
+    tampered = parts.withColumn("topics", topics).withColumn(
+        "summary", F.when(free, "I like it").when(rare, "Generalized text topics: cruise travel.").when(unsorted, "Generalized text topics: cruise travel; cruise travel.").otherwise(F.col("summary"))
     )
-    return release.verify_topics(tampered, _topic_labels(spark, sf, allowed), allowed)
+    return release.topic_issues(tampered, _topic_labels(spark, sf, allowed), allowed)
 
 
 @query("set_differences", "SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
@@ -385,7 +460,11 @@ def review_texts(spark, sf):
     return privacy.distinct_texts(a.unionByName(b), ["at"]).select("kind", F.md5("text").alias("text_md5"), F.col("first_seen.at").alias("first_seen"))
 
 
-@query("review_batches")
+@query("review_batches", """WITH RECURSIVE r AS (SELECT CAST(ceil(n_chars / 4) AS BIGINT) AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),
+w(i, batch, n_rows, size) AS (SELECT i, 0::BIGINT, 1, n FROM r WHERE i = 1 UNION ALL
+  SELECT r.i, CASE WHEN n_rows >= 200 OR size + n > 16000 THEN batch + 1 ELSE batch END, CASE WHEN n_rows >= 200 OR size + n > 16000 THEN 1 ELSE n_rows + 1 END, CASE WHEN n_rows >= 200 OR size + n > 16000 THEN n ELSE size + n END
+  FROM w JOIN r ON r.i = w.i + 1)
+SELECT batch, count(*) AS n_rows, CAST(sum(n) AS BIGINT) AS tokens FROM w JOIN r USING (i) GROUP BY batch""")
 def review_batches(spark, sf):
     records = load(spark, sf, "documents").select(F.col("doc_id").alias("record_id"), "n_chars")
     rows = privacy.review_batches(records, F.ceil(F.col("n_chars") / 4))

@@ -210,6 +210,47 @@ def summary_texts(spark, sf):
     return rows.select("user_id", "domain", "rewritten", "domain_summary", F.nullif("uncertainty_note", F.lit("")).alias("uncertainty_note"))
 
 
+# The whole validation: candidates of the first pass are the usable items with a time hint.
+WHOLE = f"""{DOWN}, {SEEDS}, live AS (SELECT DISTINCT user_id, domain FROM d1 WHERE nb IN ('stable', 'short')
+), bf AS (SELECT o.*, CASE o.item % 4 WHEN 0 THEN 'stable' WHEN 1 THEN 'short' ELSE 'weak' END AS tb FROM ok o ANTI JOIN live USING (user_id, domain)
+), every_item AS (SELECT user_id, domain, nb AS bucket, label, conf, moved::INT AS late, item FROM d1 WHERE nb IS NOT NULL UNION ALL SELECT user_id, domain, tb, label, conf, 2, item FROM bf
+), fm AS (SELECT user_id, domain, bucket, arg_min(label, (-conf, late, item)) AS label, max(conf) AS confidence FROM every_item GROUP BY user_id, domain, bucket, lower(trim(label))
+), sdd AS (SELECT o.user_id, o.domain, CASE o.istatus WHEN 'stable' THEN 'stable' ELSE 'short' END AS bucket, o.display_label AS label, o.mean_confidence AS confidence FROM (SELECT * FROM sd WHERE istatus IN ('stable', 'recent') QUALIFY row_number() OVER (PARTITION BY user_id, domain, istatus ORDER BY rnk DESC, canonical_tag) = 1) o JOIN dom d ON d.user_id = o.user_id AND d.domain = o.domain
+  WHERE ((o.istatus = 'stable' AND d.status IN ('stable', 'stable_with_recent_surge')) OR (o.istatus = 'recent' AND d.status = 'recent')) AND NOT EXISTS (SELECT 1 FROM fm WHERE fm.user_id = o.user_id AND fm.domain = o.domain AND fm.bucket = CASE o.istatus WHEN 'stable' THEN 'stable' ELSE 'short' END)
+), fin AS (SELECT * FROM fm UNION ALL SELECT * FROM sdd
+), cnt AS (SELECT d.user_id, d.domain, (SELECT count(*) FILTER (bucket = 'stable') || '/' || count(*) FILTER (bucket = 'short') || '/' || count(*) FILTER (bucket = 'weak') FROM g1 WHERE g1.user_id = d.user_id AND g1.domain = d.domain) AS before,
+    (SELECT count(*) FILTER (bucket = 'stable') || '/' || count(*) FILTER (bucket = 'short') || '/' || count(*) FILTER (bucket = 'weak') FROM fin WHERE fin.user_id = d.user_id AND fin.domain = d.domain) AS after FROM dom d)"""
+
+
+def _validated(spark, sf):
+    p = _parts(spark, sf)
+    items, ids = _items(spark, sf)
+    hint = pick(["stable_candidate", "recent_candidate", "weak_candidate", "unheard of"], F.col("item") % 4)
+    found, found_ev = validation.cleaned(items, ids, p["clusters"], p["members"], p["evidence"], p["reps"])
+    u = F.col("user_id")
+    told = F.when(u % 3 == 0, " A fine summary.").when(u % 3 == 1, "Domain evidence status is weak").otherwise("")
+    summaries = p["domains"].select("user_id", "domain", "stable_score", told.alias("domain_summary"), F.when(u % 4 == 1, "Unsure").otherwise(" ").alias("uncertainty_note"), F.lit(False).alias("failed"))
+    return validation.validated(
+        items, ids, p["clusters"], p["members"], p["evidence"], p["reps"], p["examples"], p["domains"], summaries, (found.withColumn("time_hint", hint), found_ev))
+
+
+@query("validated_interests", f"WITH {WHOLE} SELECT user_id, domain, bucket, label, round(confidence + 1e-10, 6) AS confidence FROM fin")
+def validated_interests(spark, sf):
+    return _validated(spark, sf)["items"].select("user_id", "domain", "bucket", "label", round6(F.col("confidence")).alias("confidence"))
+
+
+@query("validation_actions", f"""WITH {WHOLE}, note AS (SELECT d.user_id, d.domain, CASE WHEN NOT EXISTS (SELECT 1 FROM fin WHERE fin.user_id = d.user_id AND fin.domain = d.domain) THEN 'no_structured_interests' WHEN stable_score < 0.55 THEN 'low_stable_score' END AS why FROM dom d WHERE d.user_id % 4 <> 1)
+SELECT user_id, domain, 'drop_interest' AS type, label AS interest, bucket AS from_bucket, NULL::VARCHAR AS to_bucket, 'excluded_non_interest_attribute' AS reason, NULL::VARCHAR AS before, NULL::VARCHAR AS after FROM g3 WHERE label = 'my job'
+UNION ALL SELECT user_id, domain, 'downgrade_interest', label, 'stable', 'weak', 'insufficient_stability_or_evidence_spread', NULL, NULL FROM d1 WHERE moved
+UNION ALL SELECT user_id, domain, 'backfill_interest_from_pass1', label, NULL, tb, 'pass1_' || CASE item % 4 WHEN 0 THEN 'stable_candidate' WHEN 1 THEN 'recent_candidate' ELSE 'weak_candidate' END, NULL, NULL FROM bf
+UNION ALL SELECT user_id, domain, 'seed_interest_from_cluster', label, NULL, bucket, 'status_requires_' || CASE bucket WHEN 'stable' THEN 'stable' ELSE 'recent' END || '_interest_with_nontrivial_cluster', NULL, NULL FROM sdd
+UNION ALL SELECT user_id, domain, 'rewrite_domain_summary', NULL, NULL, NULL, 'missing_or_placeholder_summary', NULL, NULL FROM dom WHERE user_id % 3 <> 0
+UNION ALL SELECT user_id, domain, 'set_uncertainty_note', NULL, NULL, NULL, why, NULL, NULL FROM note WHERE why IS NOT NULL
+UNION ALL SELECT user_id, domain, 'interest_bucket_count_change', NULL, NULL, NULL, NULL, before, after FROM cnt WHERE before <> after""")
+def validation_actions(spark, sf):
+    return _validated(spark, sf)["actions"]
+
+
 @query("domain_evidence_rollup", f"""WITH {DOWN}, pl AS (SELECT e.user_id, e.domain, e.post_id, CASE e.bucket WHEN 'stable' THEN 0 WHEN 'short' THEN 1 ELSE 2 END AS a FROM mev e UNION ALL SELECT user_id, domain, post_id, 3 FROM rec UNION ALL SELECT user_id, domain, post_id, 4 FROM rep)
 SELECT user_id, domain, post_id, CAST(min(a) AS INTEGER) AS source_level FROM pl GROUP BY ALL""")
 def domain_evidence_rollup(spark, sf):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from ..functions import jsonrepair, text as T
 from ..operators import context as cx
 from ..schemas import DOMAINS
-from ..session import load
-from ..sources import readers
+from ..session import load, shared_folder
+from ..sources import files, readers
 from ..streaming.incremental import gated_and_masked, pending_requests
 from .adapters import CUES, POST, REC, events, pick, posts, sql_list
 from .gate import GATED
@@ -250,23 +250,47 @@ def rendered_prompts(spark, sf):
     return d.select("doc_id", F.md5(cx.rendered("User {user}: {text} {end}", user=F.col("doc_id") % 50, text=F.col("text"))).alias("prompt_md5"))
 
 
-def _lines(spark, sf):
-    """Documents as lines of timeline files, with broken and blank lines in between."""
+def _timeline_files(spark, sf):
+    """Documents as timeline files, one a user, with broken and blank lines in between; the files' folder."""
     n = F.col("doc_id")
     line = F.to_json(F.struct((n % 50).cast("string").alias("user_id"), n.cast("string").alias("post_id"), F.lit("2024-01-05T00:00:00Z").alias("created_at"), F.col("text").alias("text")))
-    return load(spark, sf, "documents").select(
-        F.concat(F.lit("/data/u"), n % 50, F.lit("/posts.jsonl")).alias("path"), F.floor(n / 50).cast("int").alias("line_index"), F.when(n % 9 == 4, "{broken").when(n % 9 == 5, "  ").otherwise(line).alias("value")
-    )
+    rows = load(spark, sf, "documents").select(
+        (n % 50).cast("string").alias("u"), n.alias("n"), F.when(n % 9 == 4, "{broken").when(n % 9 == 5, "  ").otherwise(line).alias("value"))
+    folder = shared_folder(spark)
+    rows.repartition("u").sortWithinPartitions("u", "n").select("u", "value").write.partitionBy("u").option("lineSep", "\n").text(folder)
+    return folder
 
 
-@query("indexed_post_lines", "SELECT 'u' || doc_id % 50 AS directory, CAST(doc_id // 50 AS INTEGER) AS post_index, doc_id::VARCHAR AS post_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 9 NOT IN (4, 5)")
+@query("indexed_post_lines", "SELECT 'u=' || doc_id % 50 AS directory, doc_id // 50 AS post_index, doc_id::VARCHAR AS post_id, md5(text) AS text_md5 FROM documents WHERE doc_id % 9 NOT IN (4, 5)")
 def indexed_post_lines(spark, sf):
-    return readers.indexed_posts(_lines(spark, sf)).select("directory", "post_index", "post_id", F.md5("text").alias("text_md5"))
+    lines = files.numbered_lines(spark, _timeline_files(spark, sf))
+    return readers.indexed_posts(lines).select("directory", "post_index", "post_id", F.md5("text").alias("text_md5"))
 
 
-@query("discovered_timelines", """WITH l AS (SELECT doc_id % 50 AS u, min(doc_id) FILTER (doc_id % 9 <> 5) AS f FROM documents GROUP BY 1) SELECT 'u' || u AS user_id, '/data/u' || u || '/posts.jsonl' AS path FROM l UNION ALL SELECT u::VARCHAR, '/data/u' || u || '/posts.jsonl' FROM l WHERE f % 9 <> 4""")
+@query("discovered_timelines", """WITH l AS (SELECT doc_id % 50 AS u, min(doc_id) FILTER (doc_id % 9 <> 5) AS f FROM documents GROUP BY 1) SELECT 'u=' || u AS user_id, 'u=' || u AS directory FROM l UNION ALL SELECT u::VARCHAR, 'u=' || u FROM l WHERE f % 9 <> 4""")
 def discovered_timelines(spark, sf):
-    return readers.discovered_users(_lines(spark, sf))
+    found = readers.discovered_users(files.first_lines(spark, _timeline_files(spark, sf)))
+    return found.select("user_id", readers.directory_of(F.col("path")).alias("directory"))
+
+
+@query("release_manifest", """WITH l AS (SELECT doc_id, doc_id % 50 AS u, CASE WHEN doc_id % 9 = 5 THEN '  ' ELSE text END AS line FROM documents),
+f AS (SELECT u, sha256(string_agg(replace(line, chr(10), ' ') || chr(10), '' ORDER BY doc_id)) AS h, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes FROM l GROUP BY u),
+w AS (SELECT 'u=' || u AS folder, h AS sha256, bytes, CASE WHEN u % 10 = 3 THEN NULL WHEN u % 10 = 4 THEN repeat('0', 64) ELSE h END AS listed FROM f)
+SELECT folder, sha256, bytes, CASE WHEN listed IS NULL THEN 'Manifest file set mismatch' WHEN listed <> sha256 THEN 'Checksum mismatch' END AS issue FROM w
+UNION ALL SELECT 'u=gone', NULL, NULL, 'Manifest file set mismatch'""")
+def release_manifest(spark, sf):
+    """Digests of written files, compared with a manifest that leaves out, alters and adds some entries."""
+    n = F.col("doc_id")
+    rows = load(spark, sf, "documents").select((n % 50).cast("string").alias("u"), n.alias("n"), F.when(n % 9 == 5, "  ").otherwise(F.replace("text", F.lit("\n"), F.lit(" "))).alias("value"))
+    folder = shared_folder(spark)
+    rows.repartition("u").sortWithinPartitions("u", "n").select("u", "value").write.partitionBy("u").option("lineSep", "\n").text(folder)
+    found = files.checksums(spark, folder, "_SUCCESS")
+    u = F.regexp_extract("path", r"^u=(\d+)/", 1).cast("int")
+    listed = found.filter(u % 10 != 3).select(F.lit("v1").alias("release_variant"), "path", F.when(u % 10 == 4, "0" * 64).otherwise(F.col("sha256")).alias("sha256"))
+    listed = listed.unionByName(spark.range(1).select(F.lit("v1").alias("release_variant"), F.lit("u=gone/x").alias("path"), F.lit("0").alias("sha256")))
+    issues = files.manifest_problems(found, listed, "v1")
+    both = found.join(issues, "path", "full_outer")
+    return both.select(F.regexp_extract("path", "^([^/]+)/", 1).alias("folder"), "sha256", "bytes", "issue")
 
 
 @query("user_media_summaries", f"WITH {POST} SELECT user_id, count(*) AS post_count, CAST(sum(n_images) AS BIGINT) AS images, CAST(sum(n_videos) AS BIGINT) AS videos, CAST(sum(n_images) AS BIGINT) AS local_media, 0::BIGINT AS remote_media FROM post GROUP BY 1")

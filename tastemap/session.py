@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,17 +49,29 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of an iteration's state.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session
-    without that setting (tests on one machine) gets a folder of its own.
-    """
-    spark = df.sparkSession
+def _shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; a session on one machine gets one of its own."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
+        folder = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; it goes when the session ends."""
+    path = f"{_shared_base(spark)}/{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of an iteration's state, in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(_shared_base(df.sparkSession))
     return df.checkpoint(eager=True)
