@@ -55,7 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder, read back: a lineage cut that any executor can read again.
 
-    The files go when the session ends.
+    The files go with ``free``, or when the session ends.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
@@ -63,7 +63,17 @@ def written(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes written tables once all that is made from them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

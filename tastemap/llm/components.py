@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: every larger neighbour of a vertex goes to the least vertex the vertex knows.
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        first = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.filter("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every smaller neighbour, and the vertex itself, goes to the least smaller one.
         large = written(large)
         least = written(large.groupBy("u").agg(F.min("v").alias("m")))
@@ -31,8 +31,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Done when every vertex has one edge and no root has one.
         many = after.groupBy("u").count().filter("count > 1").select("u")
         inner = after.select("v").distinct().join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        done = many.union(inner).isEmpty()
+        free(stars, first, large, least)
         stars = after
-        if many.union(inner).isEmpty():
+        if done:
             break
     roots = stars.select("v").distinct()
     return stars.select(F.col("u").alias("v"), F.col("v").alias("root")).union(roots.select("v", F.col("v").alias("root")))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_slices, hash_filter, passes, row_key, slices, written
+from .common import as_bytes, by_slices, free, hash_filter, passes, row_key, slices, written
 from .components import connected_components
 
 #: Shingles that count as frequent: seen this often in so many bytes of text; the most frequent are broadcast.
@@ -258,13 +258,14 @@ def _pivot_distances(batches, size: int, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column("region"), batch.column("uid"), batch.column("pivot"), pa.array(rings, pa.int32()), pa.array(linked)], ["region", "uid", "pivot", "ring", "linked"])
 
 
-def _region_links(regions: DataFrame, texts: DataFrame, weights: DataFrame, size: int, percent: int, rows: int, weight: int) -> DataFrame:
+def _region_links(regions: DataFrame, texts: DataFrame, weights: DataFrame, size: int, percent: int, rows: int, weight: int, scratch: list[DataFrame]) -> DataFrame:
     """Links of all regions (``region``, ``uid``), the large ones cut into smaller regions first.
 
     A large region gets a pivot, and rings by distance to it, each as wide as two linked documents can be
     apart. Documents link only within a ring or with the ring before, so ring and ring before are a new region;
     those in the first ring are linked with the pivot and need no join among themselves. Regions that stay
     large after LEVELS pivots are joined by blocks: documents outside the first ring against all.
+    Tables it writes go to ``scratch``.
     """
     out = None
 
@@ -275,6 +276,7 @@ def _region_links(regions: DataFrame, texts: DataFrame, weights: DataFrame, size
     for level in range(LEVELS + 2):
         sized = regions.join(weights, "uid").groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.col("n") + 200).alias("weight"), F.min("uid").alias("first"), F.max("uid").alias("last"))
         large = written(sized.filter(((F.col("rows") > rows) | (F.col("weight") > weight)) & (F.col("rows") > 2)))
+        scratch.append(large)
         any_large = not large.isEmpty() and level <= LEVELS
         small = regions.join(large, "region", "left_anti") if any_large else regions
         packed = small.join(texts, "uid").repartition("region").sortWithinPartitions("region", "uid")
@@ -285,6 +287,7 @@ def _region_links(regions: DataFrame, texts: DataFrame, weights: DataFrame, size
         named = written(pivots.join(texts.select(F.col("uid").alias("pivot"), F.col("text").alias("pivot_text")), "pivot"))
         told = regions.join(texts, "uid").join(named, "region").filter("uid != pivot").select("region", "uid", "pivot", "text", "pivot_text")
         told = written(told.mapInArrow(lambda b: _pivot_distances(b, size, percent), "region string, uid long, pivot long, ring int, linked boolean"))
+        scratch += [named, told]
         add(told.filter("linked").select(F.col("pivot").alias("a"), F.col("uid").alias("b")))
         name = lambda *parts: F.concat_ws("/", "region", *[p.cast("string") for p in parts])
         if level < LEVELS:
@@ -305,6 +308,7 @@ def _region_links(regions: DataFrame, texts: DataFrame, weights: DataFrame, size
             dealt = dealt.select("region", "uid", F.explode(cells).alias("cell"))
             regions = dealt.select(name(F.col("cell.i"), F.col("cell.j")).alias("region"), "uid")
         regions = written(regions.distinct())
+        scratch.append(regions)
     return out
 
 
@@ -313,8 +317,11 @@ def _outlined(regions: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
     Large regions are first cut by size into rings that hold all sizes which can link, each with the ring before.
     """
+    scratch = []
+
     def by_size(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         sized = written(df.groupBy("region").agg((F.count("*") <= OUTLINE_ROWS).alias("small")))
+        scratch.append(sized)
         return df.join(sized.filter("small"), "region", "left_semi"), df.join(sized.filter("not small"), "region", "left_semi")
 
     small, large = by_size(regions)
@@ -326,9 +333,11 @@ def _outlined(regions: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     order = Window.partitionBy("region").orderBy("n")
     sized = small.union(more).join(points.select("uid", "n"), "uid").withColumns({"under": F.lag("n").over(order), "over": F.lead("n").over(order)})
     alike = (F.col("under") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("over") * percent)
-    small = written(sized.filter(alike).select("region", "uid"))
-    small = small.join(points, "uid").repartition("region").sortWithinPartitions("region", "uid").select("region", "uid", "n", "outline")
-    return written(small.mapInArrow(lambda b: _possible_members(b, percent), "region string, uid long").union(dense))
+    near = written(sized.filter(alike).select("region", "uid"))
+    small = near.join(points, "uid").repartition("region").sortWithinPartitions("region", "uid").select("region", "uid", "n", "outline")
+    out = written(small.mapInArrow(lambda b: _possible_members(b, percent), "region string, uid long").union(dense))
+    free(rings, near, *scratch)
+    return out
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", percent: int = 90, size: int = 3, rows: int = REGION_ROWS, weight: int = REGION_WEIGHT, by_row: bool = False) -> DataFrame:
@@ -383,20 +392,29 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     able = signed.filter("n > 0 and doc_id is not null")
     points = able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("outline").alias("outline"), F.first("keys").alias("keys"))
     points = written(points.withColumn("uid", F.monotonically_increasing_id()))
+    # Prefixes and outlines are the bulk of both tables; what is needed to the end is written apart, and the rest goes.
+    ids = written(signed.select(*mine, "n", "digest"))
+    free(signed)
     keys = points.select("uid", F.explode("keys").alias("key"))
     pivots = written(keys.groupBy("key").agg(F.min("uid").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("key", "pivot"))
     members = keys.join(pivots, "key").filter("uid != pivot").select("pivot", "uid").distinct()
     members = written(members)
+    slim = written(points.select("uid", "rep", "n", "digest", "outline"))
+    free(points, pivots)
     regions = members.union(members.select("pivot", F.col("pivot").alias("uid")).distinct()).select(F.col("pivot").cast("string").alias("region"), "uid")
 
-    regions = _outlined(regions, points.select("uid", "n", "outline"), percent)
+    regions = _outlined(regions, slim.select("uid", "n", "outline"), percent)
+    points = written(slim.drop("outline"))
+    free(members, slim)
     # The largest region of a document is its main one. A region whose members all have one other main region lies
     # inside that one, and adds nothing.
     sized = written(regions.groupBy("region").agg(F.count("*").alias("size")))
     main = regions.join(sized, "region").groupBy("uid").agg(F.max(F.struct("size", "region"))["region"].alias("main"))
     mains = regions.join(main, "uid").groupBy("region").agg(F.min("main").alias("least"), F.max("main").alias("most"))
     inside = written(mains.filter("least = most and least != region").select("region"))
-    regions = written(regions.join(inside, "region", "left_anti"))
+    outer = written(regions.join(inside, "region", "left_anti"))
+    free(regions, sized, inside)
+    regions = outer
 
     wanted = points.select("uid", "rep", "digest").join(regions.select("uid").distinct(), "uid")
     wanted = written(wanted)
@@ -416,14 +434,18 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     some = base.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     some = some.mapInArrow(only, some.schema).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("uid", "digest", "text")
     texts = written(some.mapInArrow(checked, "uid long, text string").dropDuplicates(["uid"]))
-    links = written(_region_links(regions, texts, points.select("uid", "n"), size, percent, rows, weight))
+    free(wanted)
+    scratch: list[DataFrame] = []
+    links = written(_region_links(regions, texts, points.select("uid", "n"), size, percent, rows, weight, scratch))
+    free(texts, regions, *scratch)
     roots = connected_components(links)
     labelled = points.select("uid", "rep").join(roots.withColumnRenamed("v", "uid"), "uid")
     least = labelled.groupBy("root").agg(F.min("rep").alias("least"))
     labelled = labelled.join(least, "root").select("uid", "root", "least")
     named = points.select("uid", "digest", "rep").join(labelled, "uid", "left")
     named = written(named.select("digest", F.coalesce("least", "rep").alias("component_id"), *([F.coalesce("root", "uid").alias("component")] if by_row else [])))
-    joined = signed.select(*mine, "n", "digest").join(named, "digest", "left")
+    free(links, points)
+    joined = ids.join(named, "digest", "left")
     own = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     more = ["k", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).alias("component")] if by_row else []
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *more)
