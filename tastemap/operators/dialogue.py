@@ -310,7 +310,8 @@ def scored_turns(turns: DataFrame, responses: DataFrame, models: list[str] | Non
         round4(claim_recall).alias("claim_recall"), round4(F.when(F.size(pool) > 0, F.size(hit) / F.size(pool)).otherwise(1.0)).alias("interest_hit_rate"),
         round4(F.col("_r")).alias("required_hit_rate"), round4(F.col("_a")).alias("anchor_hit_rate"), round4(F.col("_o")).alias("optional_hit_rate"),
         round4(F.col("_c")).alias("interest_coverage"), F.col("_n").alias("negative_avoidance"), F.col("_k").alias("concreteness"), F.col("_f").alias("fluency"),
-        round4(F.col("_c") / 5.0).alias("strategy_score"), "matched_required", "matched_anchor", "matched_optional", "forbidden_recommended", "forbidden_negated", round4(total).alias("turn_score"),
+        round4(F.col("_c") / 5.0).alias("strategy_score"), "matched_required", "matched_anchor", "matched_optional", "forbidden_recommended", "forbidden_negated",
+        *[F.array_except(f"{k}_labels", f"matched_{k}").alias(f"missing_{k}") for k in ("required", "anchor", "optional")], round4(total).alias("turn_score"),
     )
 
 

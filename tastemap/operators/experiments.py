@@ -148,32 +148,45 @@ def paired_differences(scores: DataFrame, contrasts: list[tuple[str, str]] = CON
     return both.filter("n = 2").drop("n")
 
 
+#: Cells of the histogram a bootstrap draws from.
+CELLS = 1024
+
+
 @pandas_udf(T.ArrayType(T.DoubleType()))
-def bootstrap_interval(values: pd.Series, counts: pd.Series) -> pd.Series:
-    """95% interval of the mean over resamples, from a histogram of the values.
+def bootstrap_interval(values: pd.Series, counts: pd.Series, variances: pd.Series) -> pd.Series:
+    """95% interval of the mean over resamples, from a histogram: mean, count and variance of each cell.
 
-    Drawing n users with replacement and drawing the histogram cells multinomially are the
-    same experiment, so the work does not grow with the users.
+    Drawing n users with replacement and drawing the histogram cells multinomially are the same experiment, so the
+    work does not grow with the users. What varies inside the cells is added as one normal draw a resample.
     """
 
-    def interval(v, c):
-        v, c = np.asarray(v, dtype=float), np.asarray(c, dtype=float)
-        n = int(c.sum())
-        means = np.random.default_rng(SEED).multinomial(n, c / n, size=RESAMPLES) @ v / n
+    def interval(v, c, var):
+        v, c, var = (np.asarray(x, dtype=float) for x in (v, c, var))
+        n, rng = int(c.sum()), np.random.default_rng(SEED)
+        drawn = rng.multinomial(n, c / n, size=RESAMPLES)
+        means = drawn @ v / n
+        if var.any():
+            means = means + rng.normal(size=RESAMPLES) * np.sqrt(drawn @ var) / n
         return [float(q) for q in np.quantile(means, [0.025, 0.975])]
 
-    return pd.Series([interval(v, c) for v, c in zip(values, counts)])
+    return pd.Series([interval(*x) for x in zip(values, counts, variances)])
+
 
+def paired_bootstrap(differences: DataFrame, cells: int = CELLS) -> DataFrame:
+    """Mean difference and bootstrap interval per contrast.
 
-def paired_bootstrap(differences: DataFrame) -> DataFrame:
-    """Mean difference and bootstrap interval per contrast. Scores are whole numbers, so a histogram has few cells."""
+    The differences of a contrast fall into at most ``cells`` cells of equal width. Whole scores have a cell for each
+    value, and cells of fractional ones keep their mean and variance, so scores of any precision take the same room.
+    """
     keys = ["model", "intent", "contrast"]
-    hist = differences.groupBy(*keys, "delta").agg(F.count("*").alias("c"))
-    cells = hist.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("delta", "c"))).alias("h"), F.sum("c").alias("n"), F.sum(F.col("delta") * F.col("c")).alias("s")
-    )
-    ci = bootstrap_interval(F.transform("h", lambda x: x["delta"].cast("double")), F.transform("h", lambda x: x["c"].cast("double")))
-    out = cells.withColumn("ci", ci)
+    ends = differences.groupBy(*keys).agg(F.min("delta").cast("double").alias("low"), F.max("delta").cast("double").alias("high"))
+    d = F.col("delta").cast("double")
+    cell = F.when(F.col("high") > F.col("low"), F.least(F.lit(cells - 1), F.floor((d - F.col("low")) / (F.col("high") - F.col("low")) * cells))).otherwise(0)
+    hist = differences.join(ends, keys).groupBy(*keys, cell.alias("cell")).agg(F.count("*").alias("c"), F.avg(d).alias("v"), F.var_pop(d).alias("var"))
+    rows = hist.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", "v", "c", "var"))).alias("h"), F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("s"))
+    part = lambda name: F.transform("h", lambda x: x[name].cast("double"))
+    ci = bootstrap_interval(part("v"), part("c"), part("var"))
+    out = rows.withColumn("ci", ci)
     return out.select(*keys, "n", round6(F.col("s") / F.col("n")).alias("mean"), F.col("ci")[0].alias("ci_low"), F.col("ci")[1].alias("ci_high"))
 
 

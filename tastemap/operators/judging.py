@@ -129,6 +129,33 @@ def judge_eligible(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("hard_fail") & (F.col("gold_status") == "active") & (F.col("status") == "active"))
 
 
+def rubric_report(scored: DataFrame, by: list[str]) -> DataFrame:
+    """Means of the rubric scores and the main score (0 to 1) over active tasks, with the counts of tasks; 0 without active ones."""
+    active = F.col("gold_status") == "active"
+    mean = lambda c: F.coalesce(F.avg(F.when(active, F.col(c))), F.lit(0.0))
+    return scored.groupBy(*by).agg(
+        F.count("*").alias("n_tasks"), F.sum(active.cast("long")).alias("n_active_tasks"), F.sum(F.coalesce("status_correct", F.lit(False)).cast("long")).alias("n_status_correct"),
+        *[mean(k).alias(f"active_{k}_mean") for k in RUBRIC_KEYS], (mean("final_task_score") / 100.0).alias("benchmark_main_score"))
+
+
+def cache_key(task: Column, model: Column, prompt_version: Column, gold: Column, pred: Column) -> Column:
+    """Identity of a judgement: the same task, judge, prompt version, gold and prediction give the same key.
+
+    ``gold`` and ``pred`` are structs (or strings of canonical JSON); nulls inside them count.
+    """
+    fields = F.struct(gold.alias("gold"), model.alias("judge_model"), pred.alias("pred"), prompt_version.alias("prompt_version"), task.alias("task_id"))
+    return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
+
+
+def with_cached(requests: DataFrame, responses: DataFrame, key: str = "cache_key") -> DataFrame:
+    """Requests with the newest response of their key (``content``, null while none came) and whether it came from the cache.
+
+    ``responses``: the key, content and created_at; a key may have been answered more than once.
+    """
+    newest = responses.groupBy(key).agg(F.max_by("content", "created_at").alias("content"), F.lit(True).alias("from_cache"))
+    return requests.join(newest, key, "left").withColumn("from_cache", F.coalesce("from_cache", F.lit(False)))
+
+
 def rubric_scores(rows: DataFrame, content: str = "content") -> DataFrame:
     """Rubric result of every row; rows that are not judged get zeros and the reason."""
     judged = ~F.col("hard_fail") & (F.col("gold_status") == "active") & (F.col("status") == "active")

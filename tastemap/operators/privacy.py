@@ -370,6 +370,19 @@ def _block_starts(table: pa.Table) -> pa.Table:
     return pa.table({"_b": pa.array(b), "_p": pa.array(p), "_start": pa.array(start)})
 
 
+def review_records(posts: DataFrame, labels: DataFrame, captions: DataFrame) -> DataFrame:
+    """record_id, kind and text: the distinct scrubbed texts of posts, labels and captions in the order they are first seen.
+
+    Each input has user_id, position and text; a user's posts come first, then labels, then captions. The id says
+    nothing of the user.
+    """
+    kinds = [(posts, "post"), (labels, "label"), (captions, "caption")]
+    rows = [df.select("user_id", F.lit(rank).alias("rank"), "position", F.lit(kind).alias("kind"), masked(F.col("text")).alias("text")) for rank, (df, kind) in enumerate(kinds)]
+    first = distinct_texts(functools.reduce(DataFrame.unionByName, rows), ["user_id", "rank", "position"])
+    placed = global_positions(first, ["first_seen", "kind", "text"], "_at")
+    return placed.select(F.format_string("r%06d", "_at").alias("record_id"), "kind", "text")
+
+
 def distinct_texts(texts: DataFrame, order: list[str]) -> DataFrame:
     """Distinct (kind, scrubbed text) with where it is first seen, for review."""
     return texts.groupBy("kind", "text").agg(F.min(F.struct(*order)).alias("first_seen"))

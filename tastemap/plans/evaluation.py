@@ -7,7 +7,7 @@ from ..functions.text import round6
 from ..operators import evaluation as ev
 from ..operators import judging
 from ..session import load, shared_folder
-from ..sources import readers
+from ..sources import config, readers
 from .adapters import REC, events, pick, sql_list
 from .registry import query
 
@@ -341,6 +341,51 @@ def rubric_scores(spark, sf):
     return judging.rubric_scores(rows).select("model", "task_id", round6(F.col("final_task_score")).alias("final_task_score"), "judge_total_score", "status_correct", "brief_rationale")
 
 
+RUBRIC = f"""{LABELS}, x AS (SELECT *, user_id % 6 AS a, (user_id * 3) % 8 AS b, user_id % 23 = 0 AS nojudge FROM oc), y AS (SELECT *, act AND NOT hard_fail AND status = 'active' AS judged FROM x),
+z AS (SELECT *, CASE WHEN judged AND NOT nojudge THEN a ELSE 0 END AS s1, CASE WHEN judged AND NOT nojudge THEN least(5, b) ELSE 0 END AS s2,
+  CASE WHEN hard_fail THEN false WHEN NOT act THEN status <> 'active' ELSE judged AND NOT nojudge END AS ok FROM y)"""
+
+
+@query("rubric_report", f"""WITH {RUBRIC} SELECT model, count(*) AS n_tasks, count(*) FILTER (act) AS n_active_tasks, count(*) FILTER (ok) AS n_status_correct, round(avg(s1) FILTER (act) + 1e-10, 6) AS anchor_correctness, round(avg(s2) FILTER (act) + 1e-10, 6) AS anchor_coverage,
+  0.0::DOUBLE AS summary_faithfulness, round(avg((0.35::DOUBLE * s1 + 0.25::DOUBLE * s2 + 0.25::DOUBLE * s1) / 5 * 100) FILTER (act) / 100 + 1e-10, 6) AS benchmark_main_score FROM z GROUP BY model""")
+def rubric_report(spark, sf):
+    u = F.col("user_id")
+    body = F.to_json(F.struct((u % 6).alias("anchor_correctness"), (u * 3 % 8).alias("anchor_coverage"), (u % 6).alias("evidence_grounding"), F.lit("bad").alias("summary_faithfulness")))
+    rows = outcomes(spark, sf).withColumn("content", F.when(u % 23 != 0, body)).withColumn("error", F.lit("timeout"))
+    r = judging.rubric_report(judging.rubric_scores(rows), ["model"])
+    means = [round6(F.col(f"active_{k}_mean")).alias(k) for k in ("anchor_correctness", "anchor_coverage", "summary_faithfulness")]
+    return r.select("model", "n_tasks", "n_active_tasks", "n_status_correct", *means, round6(F.col("benchmark_main_score")).alias("benchmark_main_score"))
+
+
+@query("cached_judgements", """WITH k AS (SELECT doc_id, sha256('{"gold":{"quality":' || coalesce(quality::VARCHAR, 'null') || ',"toxic":' || coalesce(toxic::VARCHAR, 'null') || '},"judge_model":"judge-' || doc_id % 2 || '","pred":{"lang":"' || lang || '"},"prompt_version":"v2","task_id":"' || doc_id || '"}') AS cache_key FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, cache_key, CASE WHEN doc_id % 3 = 0 THEN 'new ' || doc_id END AS content, doc_id % 3 = 0 AS from_cache FROM k""")
+def cached_judgements(spark, sf):
+    """Every third request was answered twice; the newer answer counts. Another prompt version is another key."""
+    d = F.col("doc_id")
+    rows = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id", "left")
+    key = lambda version: judging.cache_key(d.cast("string"), F.concat(F.lit("judge-"), d % 2), F.lit(version), F.struct("quality", "toxic"), F.struct("lang"))
+    asked = rows.select("doc_id", key("v2").alias("cache_key"))
+    some = rows.filter(d % 3 == 0)
+    answers = [some.select(key("v2").alias("cache_key"), F.concat(F.lit(word), d).alias("content"), F.lit(at).alias("created_at")) for word, at in (("old ", 1), ("new ", 2))]
+    other = rows.select(key("v1").alias("cache_key"), F.lit("stale").alias("content"), F.lit(3).alias("created_at"))
+    return judging.with_cached(asked, answers[0].unionByName(answers[1]).unionByName(other)).select("doc_id", "cache_key", "content", "from_cache")
+
+
+@query("fixed_users", "SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS position, c_name AS name FROM customer WHERE c_custkey % 7 <> 3 ORDER BY c_custkey LIMIT 100")
+def fixed_users(spark, sf):
+    """The first hundred names of a list in which every seventh line is blank."""
+    k = F.col("c_custkey")
+    listed = load(spark, sf, "customer").select(k.alias("position"), F.when(k % 7 == 3, " ").otherwise(F.col("c_name")).alias("name"))
+    return config.fixed_users(listed, 100)
+
+
+@query("user_list_problems", """WITH l AS (SELECT o_orderkey, 'u' || o_custkey AS name FROM orders), a AS (SELECT 'u' || doc_id AS name FROM documents)
+SELECT 'Repeated user' AS issue, name FROM l GROUP BY name HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'User without a file', name FROM l WHERE name NOT IN (SELECT name FROM a)""")
+def user_list_problems(spark, sf):
+    listed = load(spark, sf, "orders").select(F.col("o_orderkey").alias("position"), F.concat(F.lit("u"), "o_custkey").alias("name"))
+    return config.user_list_problems(listed, load(spark, sf, "documents").select(F.concat(F.lit("u"), "doc_id").alias("name")))
+
+
 @query("judge_eligible_tasks", f"WITH {LABELS} SELECT model, task_id FROM oc WHERE act AND NOT hard_fail AND status = 'active'")
 def judge_eligible_tasks(spark, sf):
     return judging.judge_eligible(outcomes(spark, sf)).select("model", "task_id")

@@ -452,12 +452,16 @@ def compiled_rewrites(spark, sf):
     return privacy.compiled_rewrites(clean).select(F.md5("text").alias("text_md5"), F.md5("rewritten").alias("rewritten_md5"))
 
 
-@query("review_texts", f"""WITH {POST}, t AS (SELECT 'post' AS kind, {_mask_sql("text")} AS x, doc_id AS i FROM documents UNION ALL SELECT 'caption', {_mask_sql("text")}, conv_id FROM conversations)
-SELECT kind, md5(x) AS text_md5, min(i) AS first_seen FROM t GROUP BY ALL""")
+@query("review_texts", f"""WITH {POST}, t AS (SELECT 'post' AS kind, doc_id % 50 AS u, 0 AS r, doc_id AS i, {_mask_sql("text")} AS x FROM documents UNION ALL SELECT 'label', p_partkey % 50, 1, p_partkey, p_name FROM part
+  UNION ALL SELECT 'caption', conv_id % 50, 2, conv_id * 100 + turn, {_mask_sql("text")} FROM conversations),
+f AS (SELECT kind, x, min((u, r, i)) AS first FROM t GROUP BY ALL)
+SELECT printf('r%06d', row_number() OVER (ORDER BY first, kind, x) - 1) AS record_id, kind, md5(x) AS text_md5 FROM f""")
 def review_texts(spark, sf):
-    a = load(spark, sf, "documents").select(F.lit("post").alias("kind"), privacy.masked(F.col("text")).alias("text"), F.col("doc_id").alias("at"))
-    b = load(spark, sf, "conversations").select(F.lit("caption").alias("kind"), privacy.masked(F.col("text")).alias("text"), F.col("conv_id").alias("at"))
-    return privacy.distinct_texts(a.unionByName(b), ["at"]).select("kind", F.md5("text").alias("text_md5"), F.col("first_seen.at").alias("first_seen"))
+    d, k, c = F.col("doc_id"), F.col("p_partkey"), F.col("conv_id")
+    a = load(spark, sf, "documents").select((d % 50).alias("user_id"), d.alias("position"), "text")
+    b = load(spark, sf, "part").select((k % 50).alias("user_id"), k.alias("position"), F.col("p_name").alias("text"))
+    e = load(spark, sf, "conversations").select((c % 50).alias("user_id"), (c * 100 + F.col("turn")).alias("position"), "text")
+    return privacy.review_records(a, b, e).select("record_id", "kind", F.md5("text").alias("text_md5"))
 
 
 @query("review_batches", """WITH RECURSIVE r AS (SELECT CAST(ceil(n_chars / 4) AS BIGINT) AS n, row_number() OVER (ORDER BY doc_id) AS i FROM documents),

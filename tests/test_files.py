@@ -6,7 +6,7 @@ import random
 import pytest
 
 from tastemap.plans.adapters import CUES
-from tastemap.sources import files, readers
+from tastemap.sources import config, files, readers
 from tastemap.streaming import incremental
 
 
@@ -83,12 +83,27 @@ def test_checksums_and_guarded_sinks(spark, tmp_path):
         readers.write_jsonl(rows, str(tmp_path / "b"))
 
 
-def test_cue_config_is_checked(tmp_path):
-    write(tmp_path / "c.json", json.dumps({"domains": [{"name": "pets", "seed_keywords": [" Dog "], "seed_hashtags": ["#Cats", "#"]}]}))
-    assert readers.read_cues(str(tmp_path / "c.json")) == {"pets": (["dog"], ["cats"])}
-    write(tmp_path / "d.json", json.dumps({"domains": [{"name": "nope"}]}))
+def test_cue_config_is_checked(spark, tmp_path):
+    entry = lambda name, words=(), tags=(): {"name": name, "seed_keywords": list(words), "seed_hashtags": list(tags)}
+    write(tmp_path / "c.json", json.dumps({"domains": [entry(" pets", [" Dog ", "dog", ""], ["#Cats", "#", "##"]), entry("gaming")]}))
+    assert config.read_cues(spark, str(tmp_path / "c.json")) == {"pets": (["dog"], ["cats"]), "gaming": ([], [])}
+    for name, domains in (("d", [entry("nope")]), ("e", [entry("pets"), entry("pets ")]), ("f", [])):
+        write(tmp_path / f"{name}.json", json.dumps({"domains": domains}))
+        with pytest.raises(ValueError):
+            config.read_cues(spark, str(tmp_path / f"{name}.json"))
+
+
+def test_aliases_and_fixed_user_lists(spark, tmp_path):
+    write(tmp_path / "a.json", json.dumps({"pets": {"doggo": "dog", "pup": "dog"}, "gaming": {}}))
+    assert config.read_aliases(spark, str(tmp_path / "a.json")) == {"pets": {"doggo": "dog", "pup": "dog"}}
+    assert config.read_aliases(spark, None) == {}
+    listed = spark.createDataFrame([(0, "u1"), (1, " "), (2, "u2 "), (3, "u3"), (4, "u1")], "position long, name string")
+    files = spark.createDataFrame([("u1",), ("u3",)], "name string")
+    assert [tuple(r) for r in config.fixed_users(listed, 2).orderBy("position").collect()] == [(0, "u1"), (1, "u2")]
+    assert {tuple(r) for r in config.user_list_problems(listed, files, 2).collect()} == {("Repeated user", "u1"), ("User without a file", "u2")}
+    assert {tuple(r) for r in config.user_list_problems(listed.limit(1), files, 5).collect()} == {("List too short", None)}
     with pytest.raises(ValueError):
-        readers.read_cues(str(tmp_path / "d.json"))
+        config.fixed_users(listed, -1)
 
 
 def test_stream_equals_batch(spark, tmp_path):

@@ -87,3 +87,20 @@ def test_file_sets_of_a_package(spark):
     issues = lambda p: sorted(r["issue"] for r in release.file_set_issues(files(p), users).collect())
     assert issues(paths) == []
     assert issues(paths[1:] + ["data/users/bob/posts.jsonl", "data/users/participant_001/sub/posts.jsonl", "notes.txt"]) == ["Invalid participant", "Missing user file", "Unexpected data file", "Unexpected user file"]
+
+
+def test_bootstrap_of_fractional_scores_draws_from_few_cells(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    fine = np.round(rng.gamma(2.0, 0.7, 4000) - 1, 6)
+    whole = rng.integers(-3, 6, 500)
+    rows = [("m", "i", "fine", float(x)) for x in fine] + [("m", "i", "whole", float(x)) for x in whole] + [("m", "i", "one", 0.25)] * 9
+    found = {r["contrast"]: r for r in experiments.paired_bootstrap(spark.createDataFrame(rows, "model string, intent string, contrast string, delta double"), cells=32).collect()}
+    for name, values in (("fine", fine), ("whole", whole)):
+        draws = np.random.default_rng(1).choice(values, size=(5000, len(values))).mean(axis=1)
+        low, high = np.quantile(draws, [0.025, 0.975])
+        width = high - low
+        assert abs(found[name]["ci_low"] - low) < 0.06 * width and abs(found[name]["ci_high"] - high) < 0.06 * width
+        assert abs(found[name]["mean"] - values.mean()) < 1e-5 and found[name]["n"] == len(values)
+    assert (found["one"]["ci_low"], found["one"]["ci_high"]) == (0.25, 0.25)
