@@ -35,7 +35,8 @@ def drop_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_d
     fills a third of the corpus spreads over many ranges. First occurrences and counts do not stream out of the
     sorted ranges: hash aggregates find them, partly before a shuffle, from the ranges that were written.
 
-    A document is a row; rows equal in id and text are one document. Null text is one empty line.
+    A document is a row; rows equal in id and text are one document. Null text is one empty line. An empty table has
+    no bitmaps, other columns are not read, and a document may have any number of lines.
     """
     found = line_occurrences(docs, doc, text, min_chars)
     ranged = written(found.repartitionByRange("h1", "h2", "k", "pos").sortWithinPartitions("h1", "h2", "k", "pos"))
@@ -51,14 +52,16 @@ def drop_bitmaps(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_d
 
 
 def without_lines(docs: DataFrame, bitmaps: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_dropped and the kept text of every row of ``docs``."""
+    """doc_id, n_lines, n_dropped and the kept text of every row of ``docs``; an empty table has no rows.
+
+    The bitmap's gaps are filled once a document, so the cost is linear in its lines, however many it has.
+    """
     rows = docs.select(row_key(doc, text).alias("k"), F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.join(bitmaps, "k", "left").select("doc_id", "text", _lines(F.col("text")).alias("lines"), "words")
-    sparse = F.map_from_entries("words")
-    dense = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 64).cast("int")), lambda w: F.coalesce(F.element_at(sparse, w), F.lit(0)))
-    rows = rows.withColumn("dense", F.when(F.col("words").isNotNull(), dense))
-    # One mask per position; a shift of the word's bits by a column needs the SQL form.
-    kept = F.expr("filter(lines, (x, i) -> (shiftrightunsigned(element_at(dense, cast(i div 64 as int) + 1), cast(i % 64 as int)) & 1L) = 0L)")
+    # Empty words up to each word, then its bits.
+    dense = "flatten(transform(words, (x, i) -> concat(array_repeat(0L, x.word - if(i = 0, -1, words[i - 1].word) - 1), array(x.bits))))"
+    # The array is bound as an argument: written as a column, it would be built again for every line. A shift by a column needs the SQL form.
+    kept = F.expr(f"transform(array({dense}), d -> filter(lines, (x, i) -> (shiftrightunsigned(coalesce(get(d, cast(i div 64 as int)), 0L), cast(i % 64 as int)) & 1L) = 0L))[0]")
     rows = rows.withColumn("kept", F.when(F.col("words").isNotNull(), kept).otherwise(F.col("lines")))
     n = F.size("lines").cast("long")
     return rows.select("doc_id", n.alias("n_lines"), (n - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))

@@ -4,6 +4,7 @@ import functools
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -413,3 +414,15 @@ def test_outlines_never_part_sets_that_link(n):
             pair = sorted((base, other), key=len)
             shapes = [np.frombuffer(jaccard.outline(s), np.uint8).astype(np.int64) for s in pair]
             assert jaccard._with_possible_partner(np.array([len(s) for s in pair]), shapes, 90).all()
+
+
+def test_lines_of_one_very_long_document_cost_in_proportion(spark):
+    many = [f"line {k}" for k in range(100_000)]
+    texts = ["\n".join(many[:50_000] + [f"own {d} {k}" for k in range(50_000)]) for d in range(2)] + ["\n".join(many[k:k + 1] * 2) for k in range(8)]
+    docs = frame(spark, texts)
+    began = time.time()
+    bitmaps = lines.drop_bitmaps(docs, min_docs=2)
+    found = sorted(map(tuple, lines.without_lines(docs, bitmaps).collect()))
+    assert time.time() - began < 60
+    assert [r[1:3] for r in found] == [(100_000, 50_000)] * 2 + [(2, 2)] * 8
+    assert found[1][3] == "\n".join(f"own 1 {k}" for k in range(50_000)) and found[2][3] == ""
