@@ -115,7 +115,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame, needs:
     turn. Calls and results meet in a hash join by (conv_id, call_id), so a conversation that holds a third of
     all calls spreads by call. The first result by turn and content is linked and ``n_results`` counts them;
     of calls that share an identifier the first by turn, place, name and arguments stands and ``n_calls`` counts
-    them. A null identifier links with nothing.
+    them. A null identifier links with nothing. Arguments and contents of any length are read whole, other columns
+    are not read, and empty tables give no rows.
 
     Returns conv_id, call_id, turn, step (null: no call, or a cycle), n_calls, n_results, valid, errors, json.
     """

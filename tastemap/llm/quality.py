@@ -205,6 +205,10 @@ def score(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text"
 
 
 def predictions(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document; labels of the held fold are never learnt from."""
+    """doc_id, held_out, score and predicted of every document; labels of the held fold are never learnt from.
+
+    Texts of any length count whole, null as empty; equal texts have equal scores, repeated rows are rows of their
+    own, null ids stay null. Columns beyond id and text are not read, and no rows give no rows.
+    """
     scored = score(docs, fit(docs, labels, label, folds, held))
     return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), F.col("quality").alias("score"), (F.col("quality") >= threshold).cast("int").alias("predicted"))

@@ -91,7 +91,8 @@ def judge(pages: DataFrame, rules: DataFrame, page: str = "page_id", url: str =
     always stands, so a block never reaches a page that a rule allows.
 
     A null url, or one without ``://``, has an empty host and path, no rule and no aliases. Repeated rows and
-    null ids are judged like any other; other columns are not read.
+    null ids are judged like any other; other columns are not read. Urls and pages of any length are read whole, and
+    an empty table gives no rows.
     """
     rows = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), *([F.col(html).alias("html")] if html else []))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url")), "node": node_of(F.col("url"))})
