@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, hash_filter, passes, row_key, slices, written
+from .common import as_bytes, free, hash_filter, passes, row_key, slices, written
 from .suffix_arrays import common_prefixes, suffix_order, window_anchors
 
 #: Bytes of a gram that can anchor a window.
@@ -266,34 +266,41 @@ def repeated_spans(rows: DataFrame, window: int = 400, group_contexts: int = GRO
     for part in (*PARTS, 0):
         distinct = contexts.groupBy("grp", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("k", "lo", "size", "at")).alias("rep"))
         distinct = written(distinct.select("grp", "ctx", "copies", "rep.*"))
-        whole = contexts.join(distinct.filter("copies > 1").select("grp", "ctx"), ["grp", "ctx"], "left_semi").select("k", "lo", (F.col("lo") + F.col("size")).alias("hi"))
+        # A context's digest covers its anchor, so it finds its copies alone.
+        whole = written(contexts.select("ctx", "k", "lo", "size").join(distinct.filter("copies > 1").select("ctx"), "ctx", "left_semi").select("k", "lo", (F.col("lo") + F.col("size")).alias("hi")))
         marks = whole if marks is None else marks.union(whole)
         if not part:
+            free(contexts, distinct)
             return marks
         widths = written(distinct.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1"))
-        asked = distinct.join(widths.select("grp"), "grp").select("grp", "k", "lo", "size", "at", "copies")
+        asked, lists = distinct.join(widths.select("grp"), "grp").select("grp", "k", "lo", "size", "at", "copies"), []
         if "data" in contexts.columns:
             cut = asked.join(contexts.select("grp", "k", "lo", "data").distinct(), ["grp", "k", "lo"]).select("grp", "k", "lo", "at", "copies", "data")
         else:
             asked = written(asked.groupBy("k").agg(F.collect_list(F.struct("grp", "lo", "size", "at", "copies")).alias("asked")))
+            lists.append(asked)
             needed = hash_filter(asked.select(_key_head().alias("h")), "h")
             texts = rows.mapInArrow(_with_key(needed), rows.schema)
             cut = texts.join(asked, "k").mapInArrow(_cut_out, "grp long, k binary, lo int, at int, copies long, data binary")
         cut = written(cut)
+        free(contexts, distinct, *lists)
         hot = widths.filter(F.col("n") > group_contexts).select("grp")
         any_hot = not hot.isEmpty()
         small = cut.join(hot, "grp", "left_anti") if any_hot else cut
         shards = small.repartition("grp").sortWithinPartitions("grp")
-        marks = marks.union(shards.mapInArrow(lambda b: _shard_marks(b, window, shard_bytes), "k binary, lo int, hi int"))
+        marks = marks.union(written(shards.mapInArrow(lambda b: _shard_marks(b, window, shard_bytes), "k binary, lo int, hi int")))
         if not any_hot:
+            free(cut, widths)
             return marks
         large = cut.join(hot, "grp", "left_semi")
         # A context with copies goes in as often as needed for its parts to count as repeated.
         large = large.withColumn("twice", F.explode(F.when(F.col("copies") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         large = written(large.select(*_LARGE))
+        free(cut, widths)
         groups = large.mapInArrow(lambda b, part=part: _part_groups(b, window, part), "h long")
         again = hash_filter(groups.groupBy("h").count().filter("count > 1"), "h")
         contexts = written(large.mapInArrow(lambda b, part=part, again=again: _split_contexts(b, window, part, again), _CONTEXT + ", data binary"))
+        free(large)
     return marks
 
 
