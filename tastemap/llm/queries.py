@@ -93,31 +93,46 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace.exact_groups(table(spark, sf_dir, "documents"))
 
 
-TOOL_FIELDS = [("lookup", "text", "string", True), ("lookup", "turn", "integer", True), ("lookup", "topic", "string", False), ("instruct", "text", "string", True), ("instruct", "strict", "boolean", True)]
+TOOL_FIELDS = [
+    ("lookup", "text", "string", True), ("lookup", "turn", "integer", True), ("lookup", "size", "integer", True), ("lookup", "topic", "string", False),
+    ("instruct", "text", "string", True), ("instruct", "turn", "string", True), ("instruct", "strict", "boolean", True),
+]
+#: A text below so many letters is left out of a call's arguments; sizes that this divides are given as texts.
+SHORT, ODD = 60, 3
 
 
 @query("op9_call_linking", """
-WITH m AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-c AS (SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id, turn) AS n_calls, row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE role WHEN 'user' THEN 'lookup' ELSE 'instruct' END, text) AS r FROM m WHERE role IN ('user', 'system')),
+WITH m0 AS (SELECT conv_id, turn, role, text, length(coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+m AS (SELECT *, '{"size":' || CASE WHEN n % 3 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END || ',"turn":' || turn || CASE WHEN n < 60 THEN '' ELSE ',"text":' || CAST(to_json(text) AS VARCHAR) END || '}' AS raw FROM m0),
+c AS (SELECT conv_id, turn, role, text, n, count(*) OVER (PARTITION BY conv_id, turn) AS n_calls, row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE role WHEN 'user' THEN 'lookup' ELSE 'instruct' END, raw) AS r FROM m WHERE role IN ('user', 'system')),
 a AS (SELECT conv_id, turn - 1 AS turn, min(coalesce(text, '')) AS content, count(*) AS n_results FROM m WHERE role = 'assistant' GROUP BY ALL),
 k AS (SELECT * FROM c WHERE r = 1),
 s AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) * 2 AS run FROM k),
 l AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS INTEGER) AS step FROM s),
-j AS (SELECT coalesce(k.conv_id, a.conv_id) AS conv_id, coalesce(k.turn, a.turn) AS t, k.turn AS own, role, text, n_calls, content, n_results FROM k FULL JOIN a ON k.conv_id = a.conv_id AND k.turn = a.turn)
+j AS (SELECT coalesce(k.conv_id, a.conv_id) AS conv_id, coalesce(k.turn, a.turn) AS t, k.turn AS own, role, text, n, n_calls, content, n_results FROM k FULL JOIN a ON k.conv_id = a.conv_id AND k.turn = a.turn)
 SELECT j.conv_id, CAST(t AS VARCHAR) AS call_id, coalesce(own, t + 1) AS turn, step, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
-       coalesce(role = 'user', false) AS valid,
-       CASE WHEN role IS NULL THEN 'no call' WHEN role = 'system' THEN 'missing:strict,unknown:turn' ELSE '' END AS errors,
-       '{"arguments":' || CASE WHEN role IS NULL THEN 'null' ELSE '{"text":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || t || '}' END || ',"call_id":"' || t || '","name":'
+       coalesce(role = 'user' AND n >= 60 AND n % 3 <> 0, false) AS valid,
+       CASE WHEN role IS NULL THEN 'no call' WHEN role = 'system' THEN 'missing:strict' || CASE WHEN n < 60 THEN ',missing:text' ELSE '' END || ',type:turn,unknown:size'
+         ELSE concat_ws(',', CASE WHEN n < 60 THEN 'missing:text' END, CASE WHEN n % 3 = 0 THEN 'type:size' END) END AS errors,
+       '{"arguments":' || CASE WHEN role IS NULL THEN 'null' ELSE '{"size":' || CASE WHEN n % 3 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END || CASE WHEN n < 60 THEN '' ELSE ',"text":' || CAST(to_json(text) AS VARCHAR) END || ',"turn":' || t || '}' END || ',"call_id":"' || t || '","name":'
          || CASE role WHEN 'user' THEN '"lookup"' WHEN 'system' THEN '"instruct"' ELSE 'null' END || ',"result":' || coalesce(CAST(to_json(content) AS VARCHAR), 'null') || '}' AS json
 FROM j LEFT JOIN l ON j.conv_id = l.conv_id AND j.own = l.turn
 """)
 def op9_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every user or system turn is a call whose result is the assistant turn after it; a call needs the one two turns before."""
+    """Every user or system turn is a call whose result is the assistant turn after it; a call needs the one two turns before.
+
+    Arguments come from the row, and break the schemas in several ways: short texts are left out, some sizes are
+    texts, and instructions have an unknown size, a turn of another type and no ``strict``.
+    """
     messages = table(spark, sf_dir, "conversations")
     asked = messages.filter(F.col("role").isin("user", "system") & F.col("turn").isNotNull())
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    size = F.when(n % ODD == 0, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n.cast("string"))
+    rest = F.to_json(F.struct("turn", F.when(n >= SHORT, F.col("text")).alias("text")))  # nulls are left out
+    arguments = F.concat(F.lit('{"size":'), size, F.lit(","), F.substring(rest, 2, 1 << 30))
     asked = asked.select(
         "conv_id", F.col("turn").cast("string").alias("call_id"), F.when(F.col("role") == "user", "lookup").otherwise("instruct").alias("name"),
-        F.to_json(F.struct("turn", "text"), {"ignoreNullFields": "false"}).alias("arguments"), "turn", F.lit(0).alias("place"))
+        arguments.alias("arguments"), "turn", F.lit(0).alias("place"))
     told = messages.filter((F.col("role") == "assistant") & F.col("turn").isNotNull())
     told = told.select("conv_id", (F.col("turn") - 1).cast("string").alias("call_id"), F.col("text").alias("content"), "turn")
     written_calls, written_results = calls.message_calls(messages)
