@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, interest_form, nonblank
+from ..schemas import DOMAIN_DEFINITIONS
 from ..session import cut_lineage
 from .packs import SCOPE
 from .ranking import top_rows
@@ -393,6 +394,38 @@ def example_lookup(evidence: DataFrame, representatives: DataFrame, examples: Da
     return best.select(*keys, "nth", "post_id", F.coalesce("_rep", "_ex").alias("text"), F.col("_rep").isNotNull().alias("is_representative"))
 
 
+def rewrite_requests(
+    domains: DataFrame, items: DataFrame, evidence: DataFrame, representatives: DataFrame, examples: DataFrame, texts: DataFrame, k_items: int = 3, k_weak: int = 2,
+) -> DataFrame:
+    """Request rows that ask for a natural summary of each (user, domain): request_key, status and user_prompt (JSON).
+
+    The prompt carries the exported stable and short interests, each with up to two example posts that can be shown, the
+    first ``k_weak`` weak labels with two examples of theirs as hints, the validated summary and its note. Every
+    domain of ``domains`` has a row, with empty lists where it has no interests. All lists are bounded.
+    """
+    status = export_status(items, domains)
+    key = [*SCOPE, "bucket", "merge_key"]
+    shown = example_lookup(evidence, representatives, examples, key)
+    lists = shown.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "post_id", "text"))), lambda x: F.struct(x["post_id"].alias("post_id"), x["text"].alias("text"))).alias("evidence_examples"))
+    live = export_interests(items, status, k_items).filter("bucket != 'weak'").join(lists, key, "left")
+    none = F.array().cast(lists.schema["evidence_examples"].dataType)
+    entry = F.struct("position", "label", F.coalesce("evidence_examples", none).alias("evidence_examples"))
+    pick = lambda b: F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, entry))), lambda x: x.dropFields("position"))
+    both = live.groupBy(*SCOPE).agg(pick("stable").alias("long_term_interests"), pick("short").alias("short_term_interests"))
+    weak = items.filter((F.col("bucket") == "weak") & (F.col("position") < k_weak))
+    labels = weak.groupBy(*SCOPE).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "label"))), lambda x: x["label"]).alias("weak_signal_labels"))
+    cited = evidence.join(weak.select(*key, "position"), key).withColumn("at", F.struct("position", "at"))
+    cited = cited.groupBy(*SCOPE, "post_id").agg(F.min("at").alias("at"))
+    hints = example_lookup(cited, representatives, examples, SCOPE)
+    hints = hints.groupBy(*SCOPE).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "post_id", "text"))), lambda x: F.struct(x["post_id"].alias("post_id"), x["text"].alias("text"))).alias("weak_signal_examples"))
+    rows = status.join(both, SCOPE, "left").join(labels, SCOPE, "left").join(hints, SCOPE, "left").join(texts.select(*SCOPE, "domain_summary", "uncertainty_note"), SCOPE, "left")
+    definition = F.create_map(*[F.lit(x) for pair in DOMAIN_DEFINITIONS.items() for x in pair])[F.col("domain")]
+    filled = {c: F.coalesce(c, F.array().cast(rows.schema[c].dataType)) for c in ("long_term_interests", "short_term_interests", "weak_signal_labels", "weak_signal_examples")}
+    rows = rows.withColumns(filled).withColumn("domain_definition", definition)
+    body = F.struct("domain", "domain_definition", "status", *filled, F.col("domain_summary").alias("source_domain_summary"), "uncertainty_note")
+    return rows.select(*SCOPE, F.concat_ws("__", F.lit("rewrite"), F.col("user_id").cast("string"), "domain").alias("request_key"), "status", F.to_json(body).alias("user_prompt"))
+
+
 def natural_summary(status: Column, rewrite: Column, source: Column, uncertainty: Column, atomic: Column) -> Column:
     """Rewritten summary, else the source summary, else a fallback by status."""
     plain = F.lit("This domain does not currently provide a reliable profile signal.")

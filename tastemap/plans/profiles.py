@@ -325,6 +325,29 @@ def rewrite_examples(spark, sf):
     return rows.drop("text")
 
 
+@query("rewrite_requests", f"""WITH {EXPORT}, xs AS (SELECT DISTINCT user_id, domain, post_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, domain, tag ORDER BY post_id) AS n FROM (SELECT DISTINCT user_id, domain, tag, post_id FROM rec)) WHERE n <= 3
+), shown AS (SELECT user_id, domain, post_id FROM rep UNION SELECT user_id, domain, post_id FROM xs
+), o AS (SELECT DISTINCT m.user_id, m.domain, m.bucket, m.merge_key, m.post_id FROM mev m SEMI JOIN shown USING (user_id, domain, post_id)
+), per AS (SELECT user_id, domain, bucket, merge_key, least(2, count(*)) AS n FROM o GROUP BY ALL
+), li AS (SELECT ex.user_id, ex.domain, count(*) FILTER (ex.bucket = 'stable') AS ns, count(*) FILTER (ex.bucket = 'short') AS nh, CAST(sum(coalesce(per.n, 0)) FILTER (ex.bucket <> 'weak') AS BIGINT) AS nx, first(ex.label) FILTER (ex.bucket = 'stable' AND ex.position = 0) AS lead FROM ex LEFT JOIN per USING (user_id, domain, bucket, merge_key) GROUP BY ALL
+), wk AS (SELECT user_id, domain, count(*) AS nw FROM mp WHERE bucket = 'weak' AND position < 2 GROUP BY ALL
+), wx AS (SELECT o.user_id, o.domain, least(2, count(DISTINCT o.post_id)) AS nwx FROM o JOIN mp USING (user_id, domain, bucket, merge_key) WHERE bucket = 'weak' AND position < 2 GROUP BY ALL)
+SELECT s.user_id, s.domain, 'rewrite__' || s.user_id || '__' || s.domain AS request_key, s.status, CAST(coalesce(ns, 0) AS INTEGER) AS n_long_term, CAST(coalesce(nh, 0) AS INTEGER) AS n_short_term, CAST(coalesce(nx, 0) AS INTEGER) AS n_examples, lead, CAST(coalesce(nw, 0) AS INTEGER) AS n_weak_labels, CAST(coalesce(nwx, 0) AS INTEGER) AS n_weak_examples, 'Sum ' || s.user_id AS source_domain_summary
+FROM stt s LEFT JOIN li USING (user_id, domain) LEFT JOIN wk USING (user_id, domain) LEFT JOIN wx USING (user_id, domain)""")
+def rewrite_requests(spark, sf):
+    p, items, ev = _merged(spark, sf)
+    reps = p["reps"].join(p["posts"], ["user_id", "post_id"])
+    texts = p["domains"].select("user_id", "domain", F.concat(F.lit("Sum "), "user_id").alias("domain_summary"), F.lit(None).cast("string").alias("uncertainty_note"))
+    rows = validation.rewrite_requests(p["domains"], items, ev, reps, p["examples"], texts)
+    entry = "array<struct<label: string, evidence_examples: array<struct<post_id: bigint>>>>"
+    body = F.from_json("user_prompt", f"long_term_interests {entry}, short_term_interests {entry}, weak_signal_labels array<string>, weak_signal_examples array<struct<post_id: bigint>>, source_domain_summary string")
+    size = lambda c: F.size(body[c])
+    total = F.aggregate(F.concat(body["long_term_interests"], body["short_term_interests"]), F.lit(0), lambda n, x: n + F.size(x["evidence_examples"]))
+    return rows.select(
+        "user_id", "domain", "request_key", "status", size("long_term_interests").alias("n_long_term"), size("short_term_interests").alias("n_short_term"), total.alias("n_examples"), F.get(body["long_term_interests"], F.lit(0))["label"].alias("lead"),
+        size("weak_signal_labels").alias("n_weak_labels"), size("weak_signal_examples").alias("n_weak_examples"), body["source_domain_summary"].alias("source_domain_summary"))
+
+
 @query("summary_requests", f"""WITH {BASE}, c AS (SELECT user_id, domain, count(*) AS n FROM ce GROUP BY ALL), r AS (SELECT user_id, domain, count(*) AS n FROM rep GROUP BY ALL)
 SELECT 'summary__' || d.user_id || '__' || d.domain || '__2' AS request_key, CAST(c.n AS INTEGER) AS n_clusters, CAST(r.n AS INTEGER) AS n_representatives, CAST(least(12, r.n) AS INTEGER) AS n_images, d.status, d.user_id % 2 = 0 AS has_first FROM dom d JOIN c USING (user_id, domain) JOIN r USING (user_id, domain)""")
 def summary_requests(spark, sf):
