@@ -67,6 +67,7 @@ def cleaned(items: DataFrame, ids: DataFrame, clusters: DataFrame, members: Data
     known = member_map(clusters, members)
     allowed = allowed_posts(evidence, representatives)
     cited = ids.filter("kind = 'all'").join(allowed, [*SCOPE, "post_id"], "left_semi").groupBy(*ITEM, "post_id").agg(F.min("ord").alias("ord"))
+    cited = cut_lineage(cited)
     given = items.select(*ITEM, F.posexplode("given_tags").alias("at", "token")).withColumn("key", interest_form(F.col("token"))).join(known, [*SCOPE, "key"])
     given = given.groupBy(*ITEM, "canonical_tag").agg(F.min("at").alias("at"))
 
@@ -94,6 +95,7 @@ def cleaned(items: DataFrame, ids: DataFrame, clusters: DataFrame, members: Data
         *ITEM, "label", "canonical_tags", F.coalesce(nonblank(F.col("description")), text).alias("description"), conf.alias("confidence"),
         F.coalesce(nonblank(F.col("reasoning")), F.lit(DEFAULT_REASONING)).alias("reasoning"), "drop_reason", *extra,
     )
+    rows = cut_lineage(rows)
     good = rows.filter("drop_reason is null")
     own = cited.join(good.select(*ITEM), ITEM, "left_semi").select(*ITEM, F.struct(F.lit(0).alias("t"), F.col("ord").cast("long").alias("o")).alias("at"), "post_id")
     bare = good.join(cited.select(*ITEM).distinct(), ITEM, "left_anti").select(*ITEM, F.posexplode("canonical_tags").alias("t", "canonical_tag"))
@@ -295,7 +297,8 @@ def validated(
     was dropped, moved, added, rewritten and noted, one row each, with the counts of the buckets before and after
     where they differ.
     """
-    rows, ev = (cut_lineage(df) for df in cleaned(items, ids, clusters, members, evidence, representatives))
+    rows, ev = cleaned(items, ids, clusters, members, evidence, representatives)
+    ev = cut_lineage(ev)
     down = cut_lineage(downgraded(rows.filter("drop_reason is null"), ev, algorithm))
     kept = down.filter("new_bucket is not null").withColumn("source_bucket", F.col("bucket")).withColumn("bucket", F.col("new_bucket"))
     parts = ["source_bucket", "item", "late", *SCOPE, "bucket", "label", "canonical_tags", "description", "confidence", "reasoning"]
@@ -307,6 +310,7 @@ def validated(
         added = cut_lineage(backfill_candidates(fine, kept, algorithm).withColumn("late", F.lit(2)))
         none = ids.limit(0)
         rest = rest.unionByName(added.select(*parts))
+        found_ev = cut_lineage(found_ev)
         ev, reps = ev.unionByName(found_ev).distinct(), reps.unionByName(representative_ids(found_ev, none))
     final, final_ev = (cut_lineage(df) for df in merged(rest, ev, reps, ["late", "item"]))
     seeds = cut_lineage(seeded(final, algorithm, clusters, examples).join(summaries.select(*SCOPE), SCOPE, "left_semi"))

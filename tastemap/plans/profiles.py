@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import round6, tag_form
 from ..operators import packs, scoring, tags, timeline, validation
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .adapters import REC, pick, records
 from .registry import query
-from .timeline import DOMAIN_AGG, FLAGS, INTEREST_AGG, REPRESENTATIVES, TAGGED, tagged_records
+from .timeline import DOMAIN_AGG, FLAGS, INTEREST_AGG, REPRESENTATIVES, TAGGED
 
 IFLAGS = FLAGS.replace("fl AS (", "ifl AS (").replace("r.*,", "r.*, r.tag AS interest,")
 REPS = REPRESENTATIVES.format(limit=15, third=5, sixth=2, tail=5)
@@ -23,7 +23,7 @@ BASE = f"""{REC}, {FLAGS}, {DOMAIN_AGG}, {IFLAGS}, {INTEREST_AGG.replace("FROM f
 def _parts(spark, sf):
     """The tables of the packs: records with tags, windows, statistics, clusters and so on."""
     # Stages are tables of their own: each one is written once and read by the stages after it.
-    rec = cut_lineage(records(spark, sf).withColumn("tag", tag_form(F.col("raw_tag"))).withColumn("text", F.concat(F.lit("been cooking "), F.col("raw_tag"))))
+    rec = cut_lineage(spread(records(spark, sf)).withColumn("tag", tag_form(F.col("raw_tag"))).withColumn("text", F.concat(F.lit("been cooking "), F.col("raw_tag"))))
     window = scoring.observation_window(rec)
     canonical = rec.select("user_id", "domain", "tag").distinct().withColumn("canonical_tag", F.col("tag"))
     p = {
@@ -33,11 +33,12 @@ def _parts(spark, sf):
         "members": tags.cluster_members(rec, canonical),
         "evidence": tags.cluster_evidence(rec, canonical),
         "posts": rec.select("user_id", "post_id", F.col("post_id").alias("post_index"), "created_at", "text"),
-        "reps": timeline.representative_posts(tagged_records(spark, sf)).select("user_id", "domain", "post_id", "pick_order"),
+        "reps": timeline.representative_posts(rec.select("user_id", "domain", "post_id", "confidence", "post_signal_strength", "created_at", F.when(F.col("k") >= 7, F.col("tag")).alias("first_tag"))).select("user_id", "domain", "post_id", "pick_order"),
         "sources": timeline.post_signal_sources(rec.withColumn("position", F.col("post_id")), "position"),
     }
     modal = rec.groupBy("user_id", "domain", F.col("tag").alias("canonical_tag")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("evidence_modalities")))).alias("modalities"))
-    p["domains"], p["reps"] = cut_lineage(p["domains"]), cut_lineage(p["reps"])
+    for part in ("interests", "members", "evidence", "domains", "reps"):
+        p[part] = cut_lineage(p[part])
     p["clusters"] = packs.cluster_entries(tags.tag_clusters(rec, canonical), p["interests"], p["members"], p["evidence"], p["posts"]).join(modal, ["user_id", "domain", "canonical_tag"])
     p["clusters"] = cut_lineage(p["clusters"])
     p["examples"] = packs.evidence_examples(p["evidence"], p["posts"])
@@ -73,12 +74,12 @@ def member_spellings(spark, sf):
     return validation.member_map(p["clusters"], p["members"])
 
 
-def _items(spark, sf):
+def _items(rec):
     """Summary items as a model might write them: one per (user, domain, tag) cited in some posts.
 
     Every fourth has no label, some cite nothing, one kind is about jobs, labels repeat in upper case.
     """
-    r = records(spark, sf).withColumn("tag", tag_form(F.col("raw_tag")))
+    r = rec.select("user_id", "domain", "post_id", "tag", "k")
     g = r.groupBy("user_id", "domain", "tag").agg(F.min("post_id").alias("item"), F.max("k").alias("k"))
     k = F.col("k")
     bucket = pick(["stable", "short", "weak"], F.floor(F.col("item") / 7) % 3)
@@ -88,8 +89,9 @@ def _items(spark, sf):
         F.when(F.col("item") % 4 == 0, F.array(F.lit("unknown"), F.replace("tag", F.lit("_"), F.lit("-")), F.col("tag"))).otherwise(F.array().cast("array<string>")).alias("given_tags"),
         F.lit("").alias("description"), (k / 50.0).cast("string").alias("confidence"), F.lit(None).cast("string").alias("reasoning"),
     )
+    rows = cut_lineage(rows)
     cites = r.join(rows.select("user_id", "domain", "tag", "bucket", "item"), ["user_id", "domain", "tag"]).filter("item % 3 != 0 and post_id % 2 = 0")
-    ids = cites.select("user_id", "domain", "bucket", "item", F.lit("all").alias("kind"), F.col("post_id").alias("ord"), "post_id")
+    ids = cut_lineage(cites.select("user_id", "domain", "bucket", "item", F.lit("all").alias("kind"), F.col("post_id").alias("ord"), "post_id"))
     ids = ids.unionByName(ids.withColumn("kind", F.lit("rep")).withColumn("ord", -F.col("post_id"))).unionByName(ids.withColumn("post_id", F.lit(-1).cast("long")))
     return rows.drop("tag"), ids
 
@@ -106,9 +108,9 @@ ITEMS = f"""{BASE}, g0 AS (SELECT user_id, domain, tag, min(post_id) AS item, ma
 
 def _cleaned(spark, sf):
     p = _parts(spark, sf)
-    items, ids = _items(spark, sf)
+    items, ids = _items(p["rec"])
     rows, ev = validation.cleaned(items, ids, p["clusters"], p["members"], p["evidence"], p["reps"])
-    return p, ids, cut_lineage(rows), cut_lineage(ev)
+    return p, ids, rows, cut_lineage(ev)
 
 
 @query("cleaned_interests", f"""WITH {ITEMS} SELECT user_id, domain, bucket, item, label, coalesce(ctag, '') AS canonical_tags, round(conf + 1e-10, 6) AS confidence,
@@ -148,10 +150,14 @@ def downgraded_interests(spark, sf):
 
 def _merged(spark, sf):
     p, ids, rows, ev = _cleaned(spark, sf)
+    return p, *_merged_from(p, ids, rows, ev)
+
+
+def _merged_from(p, ids, rows, ev):
     moved = validation.downgraded(rows.filter("drop_reason is null"), ev, p["domains"]).filter("new_bucket is not null")
     moved = moved.withColumn("source_bucket", F.col("bucket")).withColumn("bucket", F.col("new_bucket"))
     items, evidence = validation.merged(moved, ev, validation.representative_ids(ev, ids), ["late", "item"])
-    return p, cut_lineage(items), cut_lineage(evidence)
+    return cut_lineage(items), cut_lineage(evidence)
 
 
 @query("merged_interests", f"WITH {DOWN} SELECT user_id, domain, bucket, label, round(confidence + 1e-10, 6) AS confidence, coalesce(ctags, '') AS canonical_tags, position FROM mp")
@@ -169,8 +175,8 @@ def merged_evidence(spark, sf):
 @query("backfilled_candidates", f"""WITH {DOWN}, have AS (SELECT DISTINCT user_id, domain FROM mp WHERE bucket IN ('stable', 'short'))
 SELECT o.user_id, o.domain, o.item, CASE o.item % 4 WHEN 0 THEN 'stable' WHEN 1 THEN 'short' ELSE 'weak' END AS bucket FROM ok o ANTI JOIN have USING (user_id, domain)""")
 def backfilled_candidates(spark, sf):
-    p, _, rows, _ = _cleaned(spark, sf)
-    _, items, _ = _merged(spark, sf)
+    p, ids, rows, ev = _cleaned(spark, sf)
+    items, _ = _merged_from(p, ids, rows, ev)
     hint = pick(["stable_candidate", "recent_candidate", "weak_candidate", "unheard of"], F.col("item") % 4)
     good = rows.filter("drop_reason is null").withColumn("time_hint", hint).drop("bucket")
     return validation.backfill_candidates(good, items, p["domains"]).select("user_id", "domain", "item", "bucket")
@@ -224,7 +230,7 @@ WHOLE = f"""{DOWN}, {SEEDS}, live AS (SELECT DISTINCT user_id, domain FROM d1 WH
 
 def _validated(spark, sf):
     p = _parts(spark, sf)
-    items, ids = _items(spark, sf)
+    items, ids = _items(p["rec"])
     hint = pick(["stable_candidate", "recent_candidate", "weak_candidate", "unheard of"], F.col("item") % 4)
     found, found_ev = validation.cleaned(items, ids, p["clusters"], p["members"], p["evidence"], p["reps"])
     u = F.col("user_id")
