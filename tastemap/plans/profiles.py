@@ -155,7 +155,8 @@ def _merged(spark, sf):
 
 def _merged_from(p, ids, rows, ev):
     moved = validation.downgraded(rows.filter("drop_reason is null"), ev, p["domains"]).filter("new_bucket is not null")
-    moved = moved.withColumn("source_bucket", F.col("bucket")).withColumn("bucket", F.col("new_bucket"))
+    # Three parts of the merge read these.
+    moved = cut_lineage(moved.withColumn("source_bucket", F.col("bucket")).withColumn("bucket", F.col("new_bucket")))
     items, evidence = validation.merged(moved, ev, validation.representative_ids(ev, ids), ["late", "item"])
     return cut_lineage(items), cut_lineage(evidence)
 

@@ -52,6 +52,25 @@ def test_phases_and_overflowing_representatives(spark):
     assert picked == [f"p{i:02d}" for i in range(16) if i != 5]
 
 
+def test_only_groups_above_the_limit_are_placed_in_time(spark, monkeypatch):
+    placed = []
+
+    def counted(df, *args):
+        placed.append(df.count())
+        return ranking.with_position(df, *args)
+
+    monkeypatch.setattr(timeline, "with_position", counted)
+    rows = [(user, "d", f"p{i:02d}", datetime(2024, 1, 28 - i), 0.5, 0.5, f"tag{i:02d}") for user, n in (("many", 6), ("few", 3), (None, 5), ("one", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "user_id string, domain string, post_id string, created_at timestamp, confidence double, post_signal_strength double, first_tag string")
+    picked = timeline.representative_posts(df, 4).orderBy("user_id", "pick_order").collect()
+    got = {}
+    for r in picked:
+        got.setdefault(r["user_id"], []).append(r["post_id"])
+    # Thinned groups in time order, the others in the order of their tags.
+    assert got == {None: ["p04", "p03", "p01", "p00"], "few": ["p00", "p01", "p02"], "many": ["p05", "p03", "p01", "p00"], "one": ["p00"]}
+    assert placed == [11]  # all 15 rows before
+
+
 def scrubbed(spark, texts, rules=None, handles=()):
     df = spark.createDataFrame([("u", i, t) for i, t in enumerate(texts)], "user_id string, i int, text string")
     rules = spark.createDataFrame(rules, "scope string, kind string, term string, replacement string") if rules else None

@@ -48,3 +48,9 @@ def test_subsequence_and_ratios_against_plain_tables():
             for cutoff in (70.0, 85.0):
                 assert (best_window_ratio(a, b, cutoff) >= cutoff) == (got >= cutoff)
     assert SequenceMatcher(None, "a", "a").ratio() == 1.0
+
+
+def test_the_stem_of_a_token_is_one_variable(spark):
+    plan = spark.createDataFrame([("hikes",)], "t string").select(T.tag_form(F.col("t")).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("ing)") == 1  # written out in every use of the stem before
+    assert [r[0] for r in spark.createDataFrame([("Road-trips & hiking",), ("__",), (None,)], "t string").select(T.tag_form(F.col("t"))).collect()] == ["road_trip_hik", "", ""]
