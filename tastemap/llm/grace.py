@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import whole_groups, written
 
 #: Content that one table holds at once, and the fan-out of a bucket that holds more.
 TABLE_BYTES, FANOUT = 24 << 20, 16
@@ -160,7 +160,7 @@ def exact_groups(docs: DataFrame, doc: str = "doc_id", text: str = "text", table
         deeper = not large.isEmpty()
         fits = open_rows.join(large, "bucket", "left_anti") if deeper else open_rows
         # Whole buckets, each in one task and in one piece.
-        part = fits.repartition(F.col("bucket")).sortWithinPartitions("bucket")
+        part = whole_groups(fits, "bucket").sortWithinPartitions("bucket")
         made = part.select("bucket", "rep", "n", "last_id", "last_row", "sha", "body").mapInArrow(_bucket_groups, _GROUP)
         groups = made if groups is None else groups.unionByName(made)
         if not deeper:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, by_slices, free, hash_filter, passes, row_key, slices, written
+from .common import as_bytes, by_slices, free, hash_filter, passes, row_key, slices, whole_groups, written
 from .components import connected_components
 
 #: Shingles that count as frequent: seen this often in so many bytes of text; the most frequent are broadcast.
@@ -279,7 +279,7 @@ def _region_links(regions: DataFrame, texts: DataFrame, weights: DataFrame, size
         scratch.append(large)
         any_large = not large.isEmpty() and level <= LEVELS
         small = regions.join(large, "region", "left_anti") if any_large else regions
-        packed = small.join(texts, "uid").repartition("region").sortWithinPartitions("region", "uid")
+        packed = whole_groups(small.join(texts, "uid"), "region").sortWithinPartitions("region", "uid")
         add(packed.select("region", "uid", "text").mapInArrow(lambda b: _joined_regions(b, size, percent), "a long, b long"))
         if not any_large:
             return out
@@ -334,7 +334,7 @@ def _outlined(regions: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     sized = small.union(more).join(points.select("uid", "n"), "uid").withColumns({"under": F.lag("n").over(order), "over": F.lead("n").over(order)})
     alike = (F.col("under") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("over") * percent)
     near = written(sized.filter(alike).select("region", "uid"))
-    small = near.join(points, "uid").repartition("region").sortWithinPartitions("region", "uid").select("region", "uid", "n", "outline")
+    small = whole_groups(near.join(points, "uid"), "region").sortWithinPartitions("region", "uid").select("region", "uid", "n", "outline")
     out = written(small.mapInArrow(lambda b: _possible_members(b, percent), "region string, uid long").union(dense))
     free(rings, near, *scratch)
     return out

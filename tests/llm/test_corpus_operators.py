@@ -65,6 +65,36 @@ def test_repeated_substrings_equal_brute_force(spark, window, limits):
     assert [got[i] for i in range(len(texts))] == list(brute_repeats(texts, window))
 
 
+@pytest.fixture
+def pieces(spark):
+    """Joins by shuffles first, which adaptive execution splits or turns into broadcasts that read pieces of partitions."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_repeated_substrings_of_groups_beside_large_ones_stay_in_one_shard(spark, pieces):
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = [word(120) for _ in range(40)]
+    # Passages of two documents, and one passage of many, whose groups are large.
+    texts = [word(60) + x + word(60) for x in shared * 2] + [word(50) + shared[0] + word(50) for _ in range(30)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.content)) for r in substrings.without_repeats(frame(spark, texts), window=80, group_contexts=10).collect()}
+    assert [got[i] for i in range(len(texts))] == list(brute_repeats(texts, 80))
+
+
+def test_exact_groups_beside_full_buckets_stay_whole(spark, pieces):
+    texts = [f"{i % 300} " + "x" * (i % 300) for i in range(900)]
+    found = {r.doc_id: (r.keep_id, r.group_size) for r in grace.exact_groups(frame(spark, texts), table_bytes=300).collect()}
+    assert found == {i: (i % 300 + 600, 3) for i in range(900)}
+
+
 def test_repeated_substrings_without_rows_and_with_repeated_rows(spark):
     assert substrings.without_repeats(frame(spark, [])).collect() == []
     rows = substrings.without_repeats(frame(spark, ["q" * 50 + "r" * 50] * 2, ids=[7, 7]), window=90).collect()
