@@ -56,6 +56,35 @@ def test_leader_clustering_in_several_blocks(spark):
     assert all(abs(r["dup_weight"] - 1 / sizes[r["leader_post_id"]]) < 1e-12 for r in got)
 
 
+def test_leaders_of_blocks_meet_later_posts_by_tiles(spark, monkeypatch):
+    """Several blocks and tiles a user; a bag travels once a tile, however many posts it may resemble."""
+    monkeypatch.setattr(dedup, "TILE", 32)
+    rng = random.Random(0)
+    words = [f"w{i}" for i in range(60)]
+    rows, expected = [], {}
+    for user, n in (("a", 150), ("b", 40), ("c", 1)):
+        texts = []
+        for i in range(n):
+            t = list(rng.choice(texts)) if texts and rng.random() < 0.5 else [rng.choice(words) for _ in range(rng.randint(4, 25))]
+            t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(t + ["the"] * rng.randint(0, 12))
+        posts = [(f"{user}{i}", datetime(2024, 1, 1) + timedelta(days=rng.randint(0, 25)), i, t) for i, t in enumerate(texts)]
+        expected |= leaders_by_hand(posts)
+        rows += [(user, p, t, i, " ".join(x)) for p, t, i, x in posts]
+    df = spark.createDataFrame(rows, "user_id string, post_id string, created_at timestamp, post_index long, text string")
+    largest, cut = [], dedup.cut_lineage
+
+    def counted(df):
+        out = cut(df)
+        largest.append(out.count())
+        return out
+
+    monkeypatch.setattr(dedup, "cut_lineage", counted)
+    got = dedup.near_duplicate_clusters(df, first_block=16).collect()
+    assert {r["post_id"]: r["leader_post_id"] for r in got} == expected
+    assert max(largest) <= len(rows)
+
+
 def char_grams(word):
     w, out = f" {word} ", []
     for n in (3, 4, 5):
