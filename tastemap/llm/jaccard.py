@@ -29,38 +29,37 @@ PIVOTS, LEAF = 6, 24
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word, 7)
-        value -= value >> 63 << 64
-        if len(self) < 200_000 and len(word) <= 64:
-            self[word] = value
-        return value
-
-
-def shingle_sets(texts: list[bytes], size: int, known: _WordHashes) -> list[np.ndarray]:
-    """Sorted 64-bit hashes of each text's distinct shingles of ``size`` words.
+def _shingles(text: bytes, size: int) -> np.ndarray:
+    """64-bit hashes of the text's shingles of ``size`` words, in their order and with repeats.
 
     Words are parted by ASCII blanks, A-Z lower-cased. A text of fewer words is one shingle, none without words.
     """
-    out = []
-    for text in texts:
-        words = text.lower().split()
-        n = len(words)
-        if not n:
-            out.append(np.zeros(0, np.int64))
-            continue
-        h = np.fromiter(map(known.__getitem__, words), np.int64, n).view(np.uint64)
-        width = min(size, n)
-        total = np.full(n - width + 1, np.uint64(width), np.uint64)
-        for k in range(width):
-            total = (total * _A) ^ (h[k : n - width + 1 + k] * _B)
-            total += total >> np.uint64(31)
-        total *= _C
-        total ^= total >> np.uint64(29)
-        total *= _D
-        out.append(np.unique(total.view(np.int64)))
-    return out
+    words = text.lower().split()
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64)
+    # Hashing each word anew takes less time than looking it up, and no memory.
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    width = min(size, n)
+    total = np.full(n - width + 1, np.uint64(width), np.uint64)
+    for k in range(width):
+        total = (total * _A) ^ (h[k : n - width + 1 + k] * _B)
+        total += total >> np.uint64(31)
+    total *= _C
+    total ^= total >> np.uint64(29)
+    total *= _D
+    return total.view(np.int64)
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """The values in order, each once."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of each text's distinct shingles of ``size`` words."""
+    return [_distinct(_shingles(text, size)) for text in texts]
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -220,7 +219,6 @@ class Region:
 
 def _joined_regions(batches: Iterator[pa.RecordBatch], size: int, percent: int):
     """Links of whole regions, which come one after another."""
-    known = _WordHashes()
     region, ids, sets = None, [], []
 
     def release():
@@ -236,18 +234,18 @@ def _joined_regions(batches: Iterator[pa.RecordBatch], size: int, percent: int):
                     yield release()
                 region, ids, sets = name, [], []
             ids.append(uid)
-            sets += shingle_sets([text], size, known)
+            sets += shingle_sets([text], size)
     if len(ids) > 1:
         yield release()
 
 
 def _pivot_distances(batches, size: int, percent: int):
     """region, uid, pivot and distance of rows that carry their text and the text of their pivot."""
-    known, reach = _WordHashes(), 1 - percent / 100
+    reach = 1 - percent / 100
     for batch in batches:
-        mine = shingle_sets(as_bytes(batch.column("text")), size, known)
+        mine = shingle_sets(as_bytes(batch.column("text")), size)
         texts = as_bytes(batch.column("pivot_text"))
-        cache = {t: s for t, s in zip(set(texts), shingle_sets(list(set(texts)), size, known))}
+        cache = {t: s for t, s in zip(set(texts), shingle_sets(list(set(texts)), size))}
         rings, linked = [], []
         for own, text in zip(mine, texts):
             other = cache[text]
@@ -365,9 +363,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     mine = ["doc_id", "k"] if by_row else ["doc_id"]
 
     def frequent(batches):
-        known = _WordHashes()
         for part in (part for batch in batches for part in slices(batch, "text", BATCH_BYTES)):
-            found, count = np.unique(np.concatenate(shingle_sets(as_bytes(part.column("text")), size, known)), return_counts=True)
+            found, count = np.unique(np.concatenate(shingle_sets(as_bytes(part.column("text")), size)), return_counts=True)
             some = count >= BATCH_FREQUENT
             yield pa.RecordBatch.from_arrays([pa.array(found[some]), pa.array(count[some])], ["shingle", "n"])
 
@@ -376,11 +373,10 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
     order = docs.sparkSession.sparkContext.broadcast((often["shingle"].to_numpy(np.int64), often["n"].to_numpy(np.int64)))
 
     def signatures(batches):
-        known = _WordHashes()
         common, counts = order.value
 
         def one(texts):
-            sets = shingle_sets(texts, size, known)
+            sets = shingle_sets(texts, size)
             keys = [prefix(s, common, counts, percent) if len(s) else s for s in sets]
             cuts = np.cumsum([0] + [len(k) for k in keys])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -426,9 +422,8 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", pe
 
     def checked(batches):
         """The rows whose text has the point's set: an id may repeat with another text."""
-        known = _WordHashes()
         for batch in batches:
-            sets = shingle_sets(as_bytes(batch.column("text")), size, known)
+            sets = shingle_sets(as_bytes(batch.column("text")), size)
             yield batch.filter(pa.array([_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist())], pa.bool_())).select(["uid", "text"])
 
     some = base.select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
