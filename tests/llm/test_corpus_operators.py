@@ -456,3 +456,15 @@ def test_lines_of_one_very_long_document_cost_in_proportion(spark):
     assert time.time() - began < 60
     assert [r[1:3] for r in found] == [(100_000, 50_000)] * 2 + [(2, 2)] * 8
     assert found[1][3] == "\n".join(f"own 1 {k}" for k in range(50_000)) and found[2][3] == ""
+
+
+def test_shingle_sets_hold_no_words_and_equal_sets_of_words():
+    rng = random.Random(5)
+    texts = ["", " \t\n", "One two", *(" ".join(rng.choice("aB cD é x1 x2 x3".split()) for _ in range(rng.randint(1, 60))) for _ in range(50))]
+    words = [t.encode().lower().split() for t in texts]
+    plain = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set() for w in words]
+    found = jaccard.shingle_sets([t.encode() for t in texts], 3)
+    assert [len(s) for s in found] == [len(s) for s in plain]
+    for a, b in zip(range(0, 50), range(3, 53)):
+        assert len(set(found[a].tolist()) & set(found[b].tolist())) == len(plain[a] & plain[b])
+    assert all((s[1:] > s[:-1]).all() for s in found)
